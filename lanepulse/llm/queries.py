@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, token_store
+from . import chat_format, media, packing, sentencepiece_codec, token_store
 from .common import Scratch, table, tokenizer_path
 
 _CONTROL = "\\### Assistant: </turn> ok"
@@ -19,6 +20,27 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(formatted).drop("n_tokens", "loss_tokens")
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = media.store_texts(docs, Scratch(spark, "op3").path("media"))
+    entries = media.interleave(docs, "doc_id", media.document_html(F.col("text")))
+    found = media.resolve(entries, media.media_features(store))
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return found.select(F.col("key").alias("doc_id"), *names)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = sentencepiece_codec.decode(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model), model)
+    rows = rows.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    rows = rows.withColumn("n_pieces", F.size("ids").cast("long"))
+    return token_store.crc_of_ids(rows, "doc_id", "n_pieces", "decoded_sha256", "round_trip")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op9").path("ids.orc")
     token_store.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
@@ -27,6 +49,9 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_media_columns": op3_media_columns,
+    "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op9_token_store": op9_token_store,
 }
 
