@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media, packing, sentencepiece_codec, token_store
-from .common import Scratch, table, tokenizer_path
+from . import chat_format, media, packing, quality, sentencepiece_codec, token_store, toxicity
+from .common import Scratch, fold_bucket, table, tokenizer_path
 
 _CONTROL = "\\### Assistant: </turn> ok"
 
@@ -41,6 +41,26 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.crc_of_ids(rows, "doc_id", "n_pieces", "decoded_sha256", "round_trip")
 
 
+def _folded(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id", (fold_bucket(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = Scratch(spark, "op6").keep(quality.document_statistics(table(spark, sf_dir, "documents")), "statistics")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(stats, labels.filter(fold_bucket(F.col("doc_id"), 5) != 0))
+    return _folded(quality.score(stats, model), 5, 0)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels.filter(fold_bucket(F.col("doc_id"), 4) != 2))
+    return _folded(toxicity.score(docs, model), 4, 2)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op9").path("ids.orc")
     token_store.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
@@ -52,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_packing": op4_packing,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_token_store": op9_token_store,
 }
 
