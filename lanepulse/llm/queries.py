@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media, minhash, packing, quality, sentencepiece_codec, token_store, toxicity
+from . import chat_format, embed_dedup, media, minhash, packing, quality, sentencepiece_codec, token_store, toxicity
 from .common import Scratch, fold_bucket, table, tokenizer_path
 
 _CONTROL = "\\### Assistant: </turn> ok"
@@ -54,6 +54,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(quality.score(stats, model), 5, 0)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_token_store": op9_token_store,
     "op10_minhash": op10_minhash,
@@ -121,4 +126,17 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10_SQL, "op1_chat_formatting": OP1_SQL}
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = least.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_embedding_dedup": OP7_SQL, "op10_minhash": OP10_SQL, "op1_chat_formatting": OP1_SQL}
