@@ -22,6 +22,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,24 @@ def fit(stats: DataFrame, labels: DataFrame, shrink: float = 0.3, ridge: float =
     return from_moments(moments, d, shrink, ridge)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000) -> DataFrame:
+    """``docs`` (doc_id, text) of at most ``max_docs`` labelled ids, in the order of a hash of the id."""
+    ids = labels.filter("label is not null and doc_id is not null").select("doc_id").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+
+
+def score_column(text: Column, model: Discriminant) -> Column:
+    """The score of each row's whole text."""
+
+    @F.pandas_udf("double")
+    def of(series: pd.Series) -> pd.Series:
+        x = np.array([statistics((t or "").encode("utf-8", "surrogatepass")) for t in series]).reshape(-1, len(FEATURES))
+        return pd.Series(model.score(x))
+
+    return of(text)
+
+
 def score(stats: DataFrame, model: Discriminant) -> DataFrame:
     """(doc_id, score) of each row of ``stats``."""
     d = len(FEATURES)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, media, minhash, packing, quality, sentencepiece_codec, token_store, toxicity
+from . import chat_format, embed_dedup, line_dedup, media, minhash, packing, quality, sentencepiece_codec, token_store, toxicity
 from .common import Scratch, fold_bucket, table, tokenizer_path
 
 _CONTROL = "\\### Assistant: </turn> ok"
@@ -20,6 +20,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(formatted).drop("n_tokens", "loss_tokens")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     store = media.store_texts(docs, Scratch(spark, "op3").path("media"))
@@ -77,6 +81,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_line_dedup": op2_line_dedup,
     "op3_media_columns": op3_media_columns,
     "op4_packing": op4_packing,
     "op5_sentencepiece": op5_sentencepiece,

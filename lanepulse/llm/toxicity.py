@@ -28,6 +28,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -237,6 +238,20 @@ def fit(
     return model
 
 
+def score_column(text: Column, model: Distance) -> Column:
+    """The score of each row's whole text."""
+
+    @F.pandas_udf("double")
+    def of(series: pd.Series) -> pd.Series:
+        parts = []
+        for lo in range(0, len(series), 500):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in series.iloc[lo : lo + 500]]
+            parts.append(predict(model, histograms(model, texts) if model.constant is None else np.zeros((len(texts), 1))))
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return of(text)
+
+
 def score(docs: DataFrame, model: Distance, doc_id: str | Column = "doc_id", text: str | Column = "text") -> DataFrame:
     """(doc_id, score) of each row's whole text."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
