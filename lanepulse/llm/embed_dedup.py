@@ -90,7 +90,7 @@ class MultiIndex:
         return a[at, i] + b[at, j]
 
 
-def build(sample: np.ndarray, rows: int, similarity: float, recall: float, per_cell: int = 64, probes: int = 4000) -> MultiIndex:
+def build(sample: np.ndarray, rows: int, similarity: float, recall: float, per_cell: int = 64, probes: int = 2000) -> MultiIndex:
     """Codebooks and margin from unit vectors of a sample of ``rows`` vectors."""
     k = int(np.clip(np.sqrt(rows / per_cell), 1, 256))
     h = sample.shape[1] // 2
@@ -100,11 +100,11 @@ def build(sample: np.ndarray, rows: int, similarity: float, recall: float, per_c
     side = rng.normal(size=x.shape)
     side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
     costs = [index.cost(x, similarity * x + np.sqrt(1 - similarity**2) * side)]
-    close = x @ sample.T >= similarity
-    i, j = np.nonzero(close)
-    i, j = i[i != j], j[i != j]
-    if len(i):
-        costs.append(index.cost(x[i], sample[j]))
+    for lo in range(0, len(x), 200):
+        i, j = np.nonzero(x[lo : lo + 200] @ sample.T >= similarity)
+        i, j = i[i + lo != j] + lo, j[i + lo != j]
+        for at in range(0, len(i), 10_000):
+            costs.append(index.cost(x[i[at : at + 10_000]], sample[j[at : at + 10_000]]))
     index.margin = max(float(np.quantile(c, recall)) for c in costs) + 1e-9
     return index
 
