@@ -3,14 +3,15 @@
 1. Each text's shingle set gives MinHash samples; bands of them are bucket keys, and all
    samples are folded into a parity bitmap (odd sketch). Texts with equal sets fall together
    at once: from here on one text stands for its set.
-2. In every bucket of several sets each is paired with the least one. Odd sketches estimate
-   the similarity of a pair from the population count of their XOR; pairs within reach of the
-   threshold are confirmed on the full sets of both whole texts.
-3. Confirmed links are contracted to components. Buckets that still hold several components
-   are compared block by block, by sketches alone, and only pairs across components that were
-   not refused yet go to confirmation: first the best few of each set and component, in the
-   last rounds all. Nothing is left when no such pair remains, so no pair that shares a bucket
-   and passes the sketch is dropped.
+2. In every bucket of several sets each is paired with the least one, at first over some of the
+   bands, then over all buckets that still hold several components. Odd sketches estimate the
+   similarity of a pair from the population count of their XOR; pairs within reach of the
+   threshold are confirmed on the full sets of both whole texts, and confirmed links are
+   contracted to components.
+3. Buckets that still hold several components are compared block by block, by sketches alone:
+   first the closest few across each two components go to confirmation, then all pairs across
+   components that were not judged yet. So no pair that shares a bucket and passes the sketch
+   is dropped, and no pairs within a component are made.
 
 A pair at the threshold of 0.85 shares no bucket with a chance of 2e-7 (26 bands of 5), and
 fails the sketch with one of about 3e-6 (4.5 standard deviations).
@@ -143,8 +144,8 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
 
 def close_pairs(blocks: DataFrame, reach: int, best: int) -> DataFrame:
     """Pairs across components within each (key, left, right) block whose sketches are within
-    ``reach`` and which neither side refused: for each set and other component the ``best``
-    closest, or all if ``best`` is 0. Blocks hold at most two chunks of bounded size."""
+    ``reach``: for each set and other component the ``best`` closest, or all if ``best`` is 0.
+    Blocks hold at most two chunks of bounded size."""
 
     def run(batches):
         for t in group_runs(batches, 3):
@@ -153,17 +154,13 @@ def close_pairs(blocks: DataFrame, reach: int, best: int) -> DataFrame:
             order = np.argsort(rep, kind="stable")
             chunk, rep, comp = chunk[order], rep[order], comp[order]
             words = _words(t.column(6))[order]
-            refused = {int(rep[i]): set(t.column(7)[int(order[i])].as_py() or ()) for i in range(len(rep)) if t.column(7)[int(order[i])].is_valid}
             a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
             z = xor_counts(words[a], words[b])
-            i, j = np.nonzero((z <= reach) & (comp[a][:, None] != comp[b][None, :]))
-            x, y, d = rep[a][i], rep[b][j], z[i, j]
+            close = (z <= reach) & (comp[a][:, None] != comp[b][None, :])
             if left == right:
-                keep = x < y
-                x, y, d, i, j = x[keep], y[keep], d[keep], i[keep], j[keep]
-            if refused and len(x):
-                keep = np.array([q not in refused.get(p, ()) for p, q in zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)], bool)
-                x, y, d, i, j = x[keep], y[keep], d[keep], i[keep], j[keep]
+                close = np.triu(close, 1)
+            i, j = np.nonzero(close)
+            x, y, d = rep[a][i], rep[b][j], z[i, j]
             if best and len(x):
                 other = comp[b][j]
                 o = np.lexsort((y, d, other, x))
@@ -179,28 +176,46 @@ def close_pairs(blocks: DataFrame, reach: int, best: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked) of each pair by its full sets: 100 * intersection >= percent * union."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def confirm(pairs: DataFrame, texts: DataFrame, n_texts: int, shingle: int, percent: int) -> DataFrame:
+    """(a, b, linked) of each pair by its full sets: 100 * intersection >= percent * union.
+
+    Texts are dealt into blocks of about ``BLOCK`` / 2; a text travels once to each block pair
+    in which it has pairs, however many these are."""
+    blocks = max(1, n_texts * 2 // BLOCK)
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = pairs.select(of("a").alias("left"), of("b").alias("right"), "a", "b")
+    needed = pairs.select("left", "right", F.col("a").alias("doc_id")).union(pairs.select("left", "right", "b")).distinct()
+    carried = needed.join(texts, "doc_id").select("left", "right", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = carried.union(pairs.withColumn("text", F.lit(None).cast("string")))
+    rows = rows.repartition("left", "right").sortWithinPartitions("left", "right")
 
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                a, b = some.column(0).to_pylist(), some.column(1).to_pylist()
-                names = dict(zip(a, text_bytes(some.column(2)), strict=True)) | dict(zip(b, text_bytes(some.column(3)), strict=True))
-                values, edges = shingle_sets(list(names.values()), shingle)
-                sets = {n: values[edges[i] : edges[i + 1]] for i, n in enumerate(names)}
-                linked = []
-                for x, y in zip(a, b, strict=True):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    linked.append(both > 0 and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        for t in group_runs(batches, 2):
+            a, b = t.column(2).to_pylist(), t.column(3)
+            is_text = b.is_null().to_numpy()
+            at = np.flatnonzero(is_text).tolist()
+            bodies = text_bytes(t.column(4).take(pa.array(at)))
+            sets = {}
+            for lo, hi in batches_by_bytes(bodies, CHUNK):
+                values, edges = shingle_sets(bodies[lo:hi], shingle)
+                sets |= {a[at[lo + i]]: values[edges[i] : edges[i + 1]] for i in range(hi - lo)}
+            pair = np.flatnonzero(~is_text).tolist()
+            x, y = [a[i] for i in pair], b.take(pa.array(pair)).to_pylist()
+            linked = []
+            for p, q in zip(x, y, strict=True):
+                both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                linked.append(both > 0 and 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _far(x: Column, y: Column, bits: int) -> Column:
+    """Population count of the XOR of two sketches."""
+    word = lambda c, w: F.conv(F.hex(F.substr(c, F.lit(8 * w + 1), F.lit(8))), 16, -10).cast("long")
+    return sum((F.bit_count(word(x, w).bitwiseXOR(word(y, w))) for w in range(bits // 64)), F.lit(0))
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str | Column = "doc_id",
@@ -226,51 +241,43 @@ def near_duplicates(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     sets = scratch.keep(sets, "sets")
-    keyed = sets.filter("rep is not null").select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).filter("n > 1")
-    buckets = scratch.keep(keyed.join(shared, "key").select("key", "rep", "low", "n"), "buckets")
-    sketches = sets.select("rep", "sketch").join(buckets.select("rep").distinct(), "rep")
-    sketches = scratch.keep(sketches, "sketches")
-
-    words = bits // 64
-    far = lambda x, y: sum(
-        F.bit_count(F.conv(F.hex(F.substr(x, F.lit(8 * w + 1), F.lit(8))), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substr(y, F.lit(8 * w + 1), F.lit(8))), 16, -10).cast("long")))
-        for w in range(words)
-    )
-    pairs = buckets.filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    pairs = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a")
-    pairs = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-    pairs = scratch.keep(pairs.filter(far(F.col("x"), F.col("y")) <= reach).select("a", "b"), "pairs")
-
-    judged: DataFrame | None = None
-    texts: DataFrame | None = None
-    component = None
-    for best in (4, 64, *[0] * 1000):
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if texts is None:
-            n = buckets.select("rep").distinct().count()
-            if n == 0:
-                break
-            involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-            involved = F.broadcast(involved) if n <= broadcast_ids else involved
-            texts = scratch.keep(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        done = scratch.keep(confirm(pairs, texts.join(ids, "doc_id", "left_semi"), shingle, percent), "judged")
+    named = sets.filter("rep is not null").select("rep", "bands", "sketch")
+    component = judged = texts = None
+    for stage in ("some bands", "all bands", "closest", "all"):
+        # each set with its component so far
+        now = named if component is None else named.join(component.withColumnRenamed("node", "rep"), "rep", "left")
+        now = now.withColumn("comp", F.coalesce("component", "rep") if component is not None else F.col("rep"))
+        bands_now = F.slice("bands", 1, max(1, bands // 3)) if stage == "some bands" else F.col("bands")
+        keyed = now.select("rep", "comp", F.explode(bands_now).alias("key"))
+        mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        mixed = mixed.filter("lo <> hi").select("key", "n", "low")
+        if stage in ("some bands", "all bands"):
+            pairs = keyed.join(mixed, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+            pairs = pairs.join(now.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("comp").alias("ca")), "a")
+            pairs = pairs.join(now.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("comp").alias("cb")), "b")
+            pairs = pairs.filter((F.col("ca") != F.col("cb")) & (_far(F.col("x"), F.col("y"), bits) <= reach)).select("a", "b")
+        else:
+            # chunks of a bucket, and one block for each pair of chunks
+            chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+            rest = keyed.join(mixed, "key").join(named.select("rep", "sketch"), "rep")
+            rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
+            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+            blocks = rest.select("key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "rep", "comp", "sketch")
+            blocks = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+            pairs = close_pairs(blocks, reach, 4 if stage == "closest" else 0)
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs")
+        ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+        n = ids.count()
+        if n == 0:
+            continue
+        ids = F.broadcast(ids) if n <= broadcast_ids else ids
+        texts = scratch.keep(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        done = scratch.keep(confirm(pairs, texts, n, shingle, percent), "judged")
+        scratch.drop(texts, pairs)
         judged = done if judged is None else judged.union(done)
         component = scratch.keep(connected_components(judged.filter("linked").select("a", "b"), scratch), "components")
-        labelled = buckets.join(component.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = labelled.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        refused = judged.filter("not linked").groupBy(F.col("b").alias("rep")).agg(F.collect_set("a").alias("refused"))
-        rest = labelled.join(mixed, "key").join(sketches, "rep").join(refused, "rep", "left")
-        # chunks of a bucket, and one block for each pair of chunks
-        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-        rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        blocks = rest.select("key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "rep", "comp", "sketch", "refused")
-        blocks = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-        pairs = scratch.keep(close_pairs(blocks, reach, best), "pairs")
-        if pairs.isEmpty():
-            break
 
     # only sets with several rows or a component differ from their own id
     moved = sets.select("set_key", "rep", "copies")
