@@ -19,7 +19,10 @@ KST = 9 * 3600
 UNNAMED = "(미지정)"
 WHOLE = "전체"
 
-NV = F.col("n_car") + F.col("n_bus") + F.col("n_truck")
+
+def vehicles() -> Column:
+    return F.col("n_car") + F.col("n_bus") + F.col("n_truck")
+
 
 
 def latest_time(samples: DataFrame) -> float | None:
@@ -51,7 +54,7 @@ def history(samples: DataFrame, width: float, time: str = "t") -> DataFrame:
         .agg(
             F.round(F.avg("occupancy"), 10).alias("occupancy"),
             F.max("occupancy").alias("max_occupancy"),
-            F.round(F.avg(NV), 10).alias("nv"),
+            F.round(F.avg(vehicles()), 10).alias("nv"),
             *(F.round(F.avg(c), 10).alias(c) for c in ("n_car", "n_bus", "n_truck")),
             F.sum("n_frames").cast("long").alias("n_frames"),
         )
@@ -64,7 +67,7 @@ def summary_by_direction(samples: DataFrame, cameras: DataFrame, directions: Dat
     stats = samples.groupBy("camera_id", "direction_index").agg(
         F.round(F.avg("occupancy"), 10).alias("avg_occupancy"),
         F.max("occupancy").alias("max_occupancy"),
-        F.round(F.avg(NV), 10).alias("nv"),
+        F.round(F.avg(vehicles()), 10).alias("nv"),
         F.count("*").alias("samples"),
     )
     known = stats.join(cameras.select(F.col("id").alias("camera_id"), F.col("name").alias("camera_name")), "camera_id")
@@ -74,7 +77,7 @@ def summary_by_direction(samples: DataFrame, cameras: DataFrame, directions: Dat
 
 
 def camera_means(samples: DataFrame) -> DataFrame:
-    return samples.filter("direction_index = 0").groupBy("camera_id").agg(F.avg("occupancy").alias("occ"), F.max("occupancy").alias("peak"), F.avg(NV).alias("nv"), F.count("*").alias("samples"))
+    return samples.filter("direction_index = 0").groupBy("camera_id").agg(F.avg("occupancy").alias("occ"), F.max("occupancy").alias("peak"), F.avg(vehicles()).alias("nv"), F.count("*").alias("samples"))
 
 
 def group_key(by: str) -> Column:
@@ -100,7 +103,7 @@ def sort_groups(groups: DataFrame, key: str = "occupancy", descending: bool = Tr
 def timeline(samples: DataFrame, width: float, first: float, last: float, direction: int = 0) -> DataFrame:
     """A dense grid of buckets and cameras that have samples, with means or null."""
     rows = samples.filter(F.col("direction_index") == direction)
-    got = rows.groupBy("camera_id", bucket("t", width).alias("bucket")).agg(F.round(F.avg("occupancy") + 1e-9, 4).alias("occupancy"), F.round(F.avg(NV) + 1e-9, 2).alias("nv"))
+    got = rows.groupBy("camera_id", bucket("t", width).alias("bucket")).agg(F.round(F.avg("occupancy") + 1e-9, 4).alias("occupancy"), F.round(F.avg(vehicles()) + 1e-9, 2).alias("nv"))
     lo, hi = int(first // width), int(last // width)
     grid = rows.select("camera_id").distinct().select("camera_id", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("i"))
     grid = grid.select("camera_id", (F.col("i") * F.lit(float(width))).alias("bucket"))
@@ -119,7 +122,7 @@ def episodes(samples: DataFrame, min_level: int = 2, gap: float = 20.0, min_dura
     opens = F.col("high") & (F.coalesce(~F.col("before"), F.lit(True)) | (F.col("t") - F.col("previous") > gap))
     rows = rows.withColumn("island", F.sum(opens.cast("int")).over(w)).filter("high")
     out = rows.groupBy("camera_id", "direction_index", "island").agg(
-        F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.max("occupancy").alias("peak"), F.round(F.avg("occupancy"), 10).alias("mean"), F.round(F.avg(NV), 10).alias("nv"), F.count("*").alias("samples")
+        F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.max("occupancy").alias("peak"), F.round(F.avg("occupancy"), 10).alias("mean"), F.round(F.avg(vehicles()), 10).alias("nv"), F.count("*").alias("samples")
     )
     out = out.withColumn("duration_s", F.floor(F.col("end_t") - F.col("start_t"))).filter(f"samples >= 2 AND end_t - start_t >= {min_duration}")
     return out.drop("island").withColumn("level", level(F.col("peak"))).withColumn("ongoing", F.lit(as_of) - F.col("end_t") < gap)
@@ -144,7 +147,7 @@ def heatmap(samples: DataFrame, direction: int = 0) -> DataFrame:
 
 def latest_states(frames: DataFrame) -> DataFrame:
     """The newest row of each camera and direction."""
-    fields = F.struct("t", "event_id", "occupancy", NV.alias("nv"))
+    fields = F.struct("t", "event_id", "occupancy", vehicles().alias("nv"))
     return frames.groupBy("camera_id", "direction_index").agg(F.max(fields).alias("s")).select("camera_id", "direction_index", "s.t", "s.occupancy", "s.nv", level(F.col("s.occupancy")).alias("level"))
 
 
