@@ -14,26 +14,24 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b: long); the component is its least node."""
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     now = scratch.keep(now, "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not now.isEmpty():
         both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).union(now.select(F.col("v"), F.col("u")))
         low = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
-        large = both.filter("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
+        large = both.filter("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v"))
         large = scratch.keep(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         moved = large.join(least, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         small = scratch.keep(moved.union(least).distinct(), "small")
         scratch.drop(now, large)
-        now, last, mark = small, mark, _mark(small)
-        if mark == last:
+        now = small
+        # a node's parents, and whether it is a parent: all stars once no node has two or is both
+        roles = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        roles = roles.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if roles.filter("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(now.select("v", "v").distinct())

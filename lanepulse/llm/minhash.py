@@ -8,10 +8,12 @@
    similarity of a pair from the population count of their XOR; pairs within reach of the
    threshold are confirmed on the full sets of both whole texts, and confirmed links are
    contracted to components.
-3. Buckets that still hold several components are compared block by block, by sketches alone:
-   first the closest few across each two components go to confirmation, then all pairs across
-   components that were not judged yet. So no pair that shares a bucket and passes the sketch
-   is dropped, and no pairs within a component are made.
+3. Buckets that still hold several components are compared block by block, by sketches alone;
+   a block emits a spanning forest of its close pairs across components, which gives
+   clusters. Each cluster is cut into chunks, and a block of two chunks verifies, with the full
+   sets at hand, every close pair of components that are not yet linked, emitting links only.
+   So no pair that shares a bucket and passes the sketch is dropped, and neither all pairs of
+   a group nor refused pairs are ever written.
 
 A pair at the threshold of 0.85 shares no bucket with a chance of 2e-7 (26 bands of 5), and
 fails the sketch with one of about 3e-6 (4.5 standard deviations).
@@ -142,38 +144,110 @@ def _words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(flat, np.uint64).reshape(len(column), -1)
 
 
-def close_pairs(blocks: DataFrame, reach: int, best: int) -> DataFrame:
-    """Pairs across components within each (key, left, right) block whose sketches are within
-    ``reach``: for each set and other component the ``best`` closest, or all if ``best`` is 0.
-    Blocks hold at most two chunks of bounded size."""
+def close_forest(blocks: DataFrame, reach: int) -> DataFrame:
+    """(a, b) edges that connect, in each (key, left, right) block, what is within ``reach`` across
+    components: one row per set. Blocks hold at most two chunks of bounded size."""
 
     def run(batches):
         for t in group_runs(batches, 3):
             left, right = t.column(1)[0].as_py(), t.column(2)[0].as_py()
             chunk, rep, comp = (t.column(i).to_numpy() for i in (3, 4, 5))
-            order = np.argsort(rep, kind="stable")
-            chunk, rep, comp = chunk[order], rep[order], comp[order]
-            words = _words(t.column(6))[order]
+            words = _words(t.column(6))
             a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
-            z = xor_counts(words[a], words[b])
-            close = (z <= reach) & (comp[a][:, None] != comp[b][None, :])
+            close = (xor_counts(words[a], words[b]) <= reach) & (comp[a][:, None] != comp[b][None, :])
+            if not close.any():
+                continue
+            low = rep.copy()
+            la, lb = spread(close, rep[a], rep[b])
+            np.minimum.at(low, a, la)
+            np.minimum.at(low, b, lb)
+            some = np.unique(np.concatenate([a[close.any(axis=1)], b[close.any(axis=0)]]))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(low[some])], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long").distinct()
+
+
+def spread(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least id that each row and each column of a bipartite graph is connected with."""
+    a, b = left.copy(), right.copy()
+    top = np.iinfo(np.int64).max
+    while True:
+        b2 = np.minimum(b, np.where(linked, a[:, None], top).min(axis=0, initial=top))
+        a2 = np.minimum(a, np.where(linked, b2[None, :], top).min(axis=1, initial=top))
+        if (a2 == a).all() and (b2 == b).all():
+            return a, b
+        a, b = a2, b2
+
+
+def _shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the pairs (a[i], b[j]): one by one if few, else by matrix products."""
+    if len(i) < 2000:
+        return np.array([len(np.intersect1d(sets[a[p]], sets[b[q]], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    used = np.unique(np.concatenate([a[i], b[j]])).tolist()
+    flat = np.concatenate([sets[k] for k in used])
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
+    _, column = np.unique(flat, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    place = {k: n for n, k in enumerate(used)}
+    ra, rb = np.array([place.get(k, 0) for k in a.tolist()]), np.array([place.get(k, 0) for k in b.tolist()])
+    total = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(column[-1]) + 1, 4096):
+        s, e = np.searchsorted(column, [lo, lo + 4096])
+        m = np.zeros((len(used), 4096), np.float32)
+        m[owner[s:e], column[s:e] - lo] = 1
+        total += m[ra] @ m[rb].T
+    return total[i, j].astype(np.int64)
+
+
+def verify_clusters(blocks: DataFrame, reach: int, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within each (cluster, left, right) block of texts."""
+
+    def run(batches):
+        for t in group_runs(batches, 3):
+            left, right = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+            chunk, rep, comp = (t.column(i).to_numpy() for i in (3, 4, 5))
+            words, bodies = _words(t.column(6)), text_bytes(t.column(7))
+            sets: list[np.ndarray] = []
+            for lo, hi in batches_by_bytes(bodies, CHUNK):
+                values, edges = shingle_sets(bodies[lo:hi], shingle)
+                sets += [values[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
+            size = np.array([len(s) for s in sets], np.int64)
+            a, b = np.flatnonzero(chunk == left), np.flatnonzero(chunk == right)
+            close = (xor_counts(words[a], words[b]) <= reach) & (comp[a][:, None] != comp[b][None, :])
             if left == right:
                 close = np.triu(close, 1)
             i, j = np.nonzero(close)
-            x, y, d = rep[a][i], rep[b][j], z[i, j]
-            if best and len(x):
-                other = comp[b][j]
-                o = np.lexsort((y, d, other, x))
-                new = np.ones(len(o), bool)
-                new[1:] = (x[o][1:] != x[o][:-1]) | (other[o][1:] != other[o][:-1])
-                run_at = np.flatnonzero(new)
-                rank = np.arange(len(o)) - np.repeat(run_at, np.diff(np.append(run_at, len(o))))
-                o = o[rank < best]
-                x, y = x[o], y[o]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+            if not len(i):
+                continue
+            both = _shared_counts(sets, a, b, i, j)
+            linked = (both > 0) & (100 * both >= percent * (size[a[i]] + size[b[j]] - both))
+            parent: dict[int, int] = {}
+
+            def root(x, parent=parent):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            out = []
+            for x, y in zip(a[i[linked]].tolist(), b[j[linked]].tolist(), strict=True):
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(rep[x]), int(rep[y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` (with ``n``, the rows of their key) dealt into chunks of about ``size``, each row
+    once for every chunk that its own meets."""
+    chunks = F.ceil(F.col("n") / size).cast("int")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
+    return rows.repartition(key, "left", "right").sortWithinPartitions(key, "left", "right")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n_texts: int, shingle: int, percent: int) -> DataFrame:
@@ -242,8 +316,14 @@ def near_duplicates(
     )
     sets = scratch.keep(sets, "sets")
     named = sets.filter("rep is not null").select("rep", "bands", "sketch")
-    component = judged = texts = None
-    for stage in ("some bands", "all bands", "closest", "all"):
+    links = component = None
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        n = ids.count()
+        ids = F.broadcast(ids) if n <= broadcast_ids else ids
+        return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    for stage in ("some bands", "all bands", "clusters"):
         # each set with its component so far
         now = named if component is None else named.join(component.withColumnRenamed("node", "rep"), "rep", "left")
         now = now.withColumn("comp", F.coalesce("component", "rep") if component is not None else F.col("rep"))
@@ -251,33 +331,31 @@ def near_duplicates(
         keyed = now.select("rep", "comp", F.explode(bands_now).alias("key"))
         mixed = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         mixed = mixed.filter("lo <> hi").select("key", "n", "low")
-        if stage in ("some bands", "all bands"):
+        if stage != "clusters":
             pairs = keyed.join(mixed, "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
             pairs = pairs.join(now.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("comp").alias("ca")), "a")
             pairs = pairs.join(now.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("comp").alias("cb")), "b")
             pairs = pairs.filter((F.col("ca") != F.col("cb")) & (_far(F.col("x"), F.col("y"), bits) <= reach)).select("a", "b")
+            pairs = scratch.keep(pairs, "pairs")
+            ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+            if ids.isEmpty():
+                continue
+            done = confirm(pairs, texts_of(ids), ids.count(), shingle, percent).filter("linked").select("a", "b")
         else:
-            # chunks of a bucket, and one block for each pair of chunks
-            chunks = F.ceil(F.col("n") / BLOCK).cast("int")
-            rest = keyed.join(mixed, "key").join(named.select("rep", "sketch"), "rep")
-            rest = rest.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            blocks = rest.select("key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "chunk", "rep", "comp", "sketch")
-            blocks = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-            pairs = close_pairs(blocks, reach, 4 if stage == "closest" else 0)
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        n = ids.count()
-        if n == 0:
-            continue
-        ids = F.broadcast(ids) if n <= broadcast_ids else ids
-        texts = scratch.keep(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        done = scratch.keep(confirm(pairs, texts, n, shingle, percent), "judged")
-        scratch.drop(texts, pairs)
-        judged = done if judged is None else judged.union(done)
-        component = scratch.keep(connected_components(judged.filter("linked").select("a", "b"), scratch), "components")
+            rest = keyed.join(mixed.select("key", "n"), "key").join(named.select("rep", "sketch"), "rep")
+            rest = _block_pairs(rest, "key", BLOCK).select("key", "left", "right", "chunk", "rep", "comp", "sketch")
+            forest = scratch.keep(close_forest(rest, reach), "forest")
+            if forest.isEmpty():
+                break
+            cluster = scratch.keep(connected_components(forest, scratch).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
+            size = cluster.groupBy("cluster").agg(F.count("*").alias("n"))
+            texts = texts_of(cluster.select(F.col("rep").alias("doc_id")))
+            rest = cluster.join(size, "cluster").join(now.select("rep", "comp", "sketch"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+            rest = _block_pairs(rest, "cluster", BLOCK // 2).select("cluster", "left", "right", "chunk", "rep", "comp", "sketch", "text")
+            done = verify_clusters(rest, reach, shingle, percent)
+        done = scratch.keep(done, "links")
+        links = done if links is None else links.union(done)
+        component = scratch.keep(connected_components(links, scratch), "components")
 
     # only sets with several rows or a component differ from their own id
     moved = sets.select("set_key", "rep", "copies")
