@@ -90,7 +90,7 @@ class MultiIndex:
         return a[at, i] + b[at, j]
 
 
-def build(sample: np.ndarray, rows: int, similarity: float, recall: float, per_cell: int = 64, probes: int = 2000) -> MultiIndex:
+def build(sample: np.ndarray, rows: int, similarity: float, recall: float, per_cell: int = 128, probes: int = 2000) -> MultiIndex:
     """Codebooks and margin from unit vectors of a sample of ``rows`` vectors."""
     k = int(np.clip(np.sqrt(rows / per_cell), 1, 256))
     h = sample.shape[1] // 2
@@ -163,7 +163,7 @@ def near_vectors(
     vec_id: str | Column = "vec_id",
     vector: str | Column = "embedding",
     similarity: float = 0.9,
-    recall: float = 0.999,
+    recall: float = 0.99,
     sample_size: int = 20_000,
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
