@@ -200,3 +200,61 @@ def image_brightness(pixels: DataFrame) -> DataFrame:
 def natural_order(value: Column) -> Column:
     """A sort key that puts numbers inside names in numeric order."""
     return F.lpad(F.regexp_extract(value, r"(\d+)", 1), 12, "0")
+
+
+def vertices(polygons: DataFrame) -> DataFrame:
+    """Vertices per polygon and class, with the 99.5th percentile that plots are cut at."""
+    return polygons.groupBy("cls").agg(F.round(F.percentile("n", 0.5), 8).alias("median"), F.round(F.avg("n"), 10).alias("mean"), F.max("n").alias("max"), F.round(F.percentile("n", 0.995), 8).alias("cut"))
+
+
+def overlap_summary(rows: DataFrame) -> DataFrame:
+    """Overlap by bins of the number of objects (``n_objects``, ``overlap``)."""
+    n = F.col("n_objects")
+    name = F.when(n <= 1, "0-1").when(n <= 3, "2-3").when(n <= 6, "4-6").otherwise("7+")
+    return rows.groupBy(name.alias("bin")).agg(F.count("*").alias("images"), F.round(F.avg("overlap"), 10).alias("mean"), F.round(F.percentile("overlap", 0.5), 8).alias("median"), F.count_if(F.col("overlap") > 0.05).alias("over_5_percent"))
+
+
+def share_table(rows: DataFrame, attribute: str) -> DataFrame:
+    """Images, their share, clips and cameras per value."""
+    per = rows.groupBy(F.col(attribute).alias("value")).agg(F.count("*").alias("images"), F.count_distinct("clip").alias("clips"), F.count_distinct("camera").alias("cameras"))
+    return per.withColumn("share", F.round(F.col("images") / F.sum("images").over(W.partitionBy()), 10))  # one row per value
+
+
+def spec_numeric(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Minimum, median, mean, maximum and sum of numeric columns, by one unpivot."""
+    long = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "name", "v")
+    return long.groupBy("name").agg(F.min("v").alias("min"), F.round(F.percentile("v", 0.5), 8).alias("median"), F.round(F.avg("v"), 6).alias("mean"), F.max("v").alias("max"), F.round(F.sum("v"), 3).alias("sum"))
+
+
+def spec_compare(rows: DataFrame, spec: DataFrame) -> DataFrame:
+    """Shares of images and clips whose value a published specification lists (attribute, values)."""
+    names = [r[0] for r in spec.select("attribute").collect()]  # a few attributes of a fixed table
+    long = rows.select("clip", *names).unpivot(["clip"], names, "attribute", "value")
+    hit = long.join(F.broadcast(spec), "attribute").withColumn("hit", F.array_contains("values", F.col("value")))
+    return hit.groupBy("attribute").agg(F.round(F.avg(F.col("hit").cast("int")), 10).alias("images"), F.round(F.count_distinct(F.when(F.col("hit"), F.col("clip"))) / F.count_distinct("clip"), 10).alias("clips"))
+
+
+def condition_matrix(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Share of all images per cell, with images and clips."""
+    per = rows.groupBy(F.col(a).alias("row"), F.col(b).alias("col")).agg(F.count("*").alias("images"), F.count_distinct("clip").alias("clips"))
+    return per.withColumn("share", F.round(F.col("images") / F.sum("images").over(W.partitionBy()), 10))  # one row per cell
+
+
+def before_after(before: DataFrame, after: DataFrame, attribute: str) -> DataFrame:
+    """Images per value before and after a selection."""
+    count = lambda rows, name: rows.groupBy(F.col(attribute).alias("value")).agg(F.count("*").alias(name))
+    out = count(before, "before").join(count(after, "after"), "value", "full")
+    return out.select("value", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+def integrity(labels: DataFrame, images: DataFrame, classes: int) -> DataFrame:
+    """Problems of label lines (image_id, line_no, tokens) and of files, one row each kind and image."""
+    cls = F.col("tokens")[0].try_cast("int")
+    numbers = F.transform(F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda t: t.try_cast("double"))
+    rows = labels.select("image_id", cls.alias("cls"), numbers.alias("xy"))
+    kind = F.when(F.col("cls").isNull() | F.exists("xy", lambda v: v.isNull()), "unparsable")
+    kind = kind.when((F.col("cls") < 0) | (F.col("cls") >= classes), "unknown_class").when((F.size("xy") < 6) | (F.size("xy") % 2 == 1), "bad_count").when(F.exists("xy", lambda v: (v < 0) | (v > 1)), "out_of_range")
+    bad = rows.select("image_id", kind.alias("kind")).filter("kind is not null")
+    lone = labels.select("image_id").distinct().join(images, "image_id", "left_anti").select("image_id", F.lit("orphan_label").alias("kind"))
+    bare = images.select("image_id").distinct().join(labels, "image_id", "left_anti").select("image_id", F.lit("missing_label").alias("kind"))
+    return bad.unionByName(lone).unionByName(bare).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"))

@@ -292,3 +292,54 @@ def x16(spark, d):
 @query("s10_brightness", "SELECT l_orderkey AS image, round(avg(l_quantity), 8) AS mean, round(stddev_pop(l_quantity), 8) AS std FROM lineitem GROUP BY 1")
 def s10(spark, d):
     return D.image_brightness(read(spark, d, "lineitem").selectExpr("l_orderkey AS image", "l_quantity AS grey"))
+
+
+@query("e2_integrity", """WITH l AS (SELECT l_orderkey AS image_id, l_linenumber AS n, l_partkey % 5 AS cls, l_quantity / 45 AS v FROM lineitem WHERE l_orderkey % 5 > 0), i AS (SELECT o_orderkey AS image_id FROM orders WHERE o_orderkey % 7 > 0)
+  SELECT kind, count(*) AS n, count(DISTINCT image_id) AS images FROM (
+  SELECT image_id, CASE WHEN n = 7 THEN 'unparsable' WHEN cls >= 3 THEN 'unknown_class' WHEN n < 3 THEN 'bad_count' WHEN v > 1 THEN 'out_of_range' END AS kind FROM l
+  UNION ALL SELECT DISTINCT image_id, 'orphan_label' FROM l WHERE image_id NOT IN (SELECT image_id FROM i) UNION ALL SELECT image_id, 'missing_label' FROM i WHERE image_id NOT IN (SELECT image_id FROM l)) WHERE kind IS NOT NULL GROUP BY 1""")
+def e2(spark, d):
+    rows = read(spark, d, "lineitem").filter("l_orderkey % 5 > 0")
+    value = F.when(F.col("l_linenumber") == 7, "x").otherwise((F.col("l_quantity") / 45).cast("string"))
+    tokens = F.concat(F.array((F.col("l_partkey") % 5).cast("string")), F.array_repeat(value, F.when(F.col("l_linenumber") == 7, 6).otherwise(F.col("l_linenumber") * 2)))
+    labels = rows.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("line_no"), tokens.alias("tokens"))
+    return D.integrity(labels, read(spark, d, "orders").filter("o_orderkey % 7 > 0").selectExpr("o_orderkey AS image_id"), 3)
+
+
+@query("e10_vertices", "SELECT l_suppkey AS cls, round(quantile_cont(l_quantity, 0.5), 8) AS median, round(avg(l_quantity), 10) AS mean, max(l_quantity) AS max, round(quantile_cont(l_quantity, 0.995), 8) AS cut FROM lineitem GROUP BY 1")
+def e10(spark, d):
+    return D.vertices(read(spark, d, "lineitem").selectExpr("l_suppkey AS cls", "l_quantity AS n"))
+
+
+@query("e13_overlap_summary", _M + """ SELECT CASE WHEN n <= 1 THEN '0-1' WHEN n <= 3 THEN '2-3' WHEN n <= 6 THEN '4-6' ELSE '7+' END AS bin, count(*) AS images, round(avg(ratio), 10) AS mean, round(quantile_cont(ratio, 0.5), 8) AS median, count(*) FILTER (ratio > 0.05) AS over_5_percent
+  FROM (SELECT *, n_car + n_bus + n_truck AS n FROM man) GROUP BY 1""")
+def e13(spark, d):
+    return D.overlap_summary(manifest(spark, d).withColumn("n_objects", F.col("n_car") + F.col("n_bus") + F.col("n_truck")).withColumn("overlap", F.col("ratio")))
+
+
+@query("e22_road_forms", _M + " SELECT road_form AS value, count(*) AS images, count(DISTINCT clip) AS clips, count(DISTINCT camera) AS cameras, round(count(*) / (SELECT count(*) FROM man), 10) AS share FROM man GROUP BY 1")
+def e22(spark, d):
+    return D.share_table(manifest(spark, d), "road_form")
+
+
+@query("e26_spec_numeric", _M + """ SELECT name, min(v) AS min, round(quantile_cont(v, 0.5), 8) AS median, round(avg(v), 6) AS mean, max(v) AS max, round(sum(v), 3) AS sum FROM (UNPIVOT (SELECT CAST(n_car AS DOUBLE) AS n_car, CAST(ratio AS DOUBLE) AS ratio FROM man) ON n_car, ratio INTO NAME name VALUE v) GROUP BY 1""")
+def e26(spark, d):
+    return D.spec_numeric(manifest(spark, d), ["n_car", "ratio"])
+
+
+@query("e27_spec_compare", _M + """, c AS (SELECT count(DISTINCT clip) AS k FROM man) SELECT 'weather' AS attribute, round(avg(CAST(weather IN ('sunny', 'fog') AS INT)), 10) AS images, round(count(DISTINCT clip) FILTER (weather IN ('sunny', 'fog')) / (SELECT k FROM c), 10) AS clips FROM man
+  UNION ALL SELECT 'day_night', round(avg(CAST(day_night IN ('night') AS INT)), 10), round(count(DISTINCT clip) FILTER (day_night IN ('night')) / (SELECT k FROM c), 10) FROM man""")
+def e27(spark, d):
+    spec = spark.createDataFrame([("weather", ["sunny", "fog"]), ("day_night", ["night"])], "attribute string, values array<string>")
+    return D.spec_compare(manifest(spark, d), spec)
+
+
+@query("e30_condition_matrix", _M + ' SELECT day_night AS "row", weather AS "col", count(*) AS images, count(DISTINCT clip) AS clips, round(count(*) / (SELECT count(*) FROM man), 10) AS share FROM man GROUP BY 1, 2')
+def e30(spark, d):
+    return D.condition_matrix(manifest(spark, d), "day_night", "weather")
+
+
+@query("x13_before_after", _M + " SELECT weather AS value, count(*) AS before, count(*) FILTER (split = 'train') AS after FROM man GROUP BY 1")
+def x13(spark, d):
+    m = manifest(spark, d)
+    return D.before_after(m, m.filter("split = 'train'"), "weather")
