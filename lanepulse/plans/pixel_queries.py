@@ -72,7 +72,7 @@ def p6(spark, d):
     return P.count_vehicles(inst(spark, d), road(spark, d), W, H)
 
 
-@query("p8_roi", _SQL + " SELECT greatest(min(x) - 2, 0) AS x0, greatest(min(y) - 2, 0) AS y0, least(max(x) + 3, 64) AS x1, least(max(y) + 3, 36) AS y1 FROM road WHERE d > 0")
+@query("p8_roi", _SQL + " SELECT CASE WHEN count(*) > 0 THEN greatest(min(x) - 2, 0) END AS x0, CASE WHEN count(*) > 0 THEN greatest(min(y) - 2, 0) END AS y0, CASE WHEN count(*) > 0 THEN least(max(x) + 3, 64) END AS x1, CASE WHEN count(*) > 0 THEN least(max(y) + 3, 36) END AS y1 FROM road WHERE d > 0")
 def p8(spark, d):
     return P.roi(road(spark, d), W, H, 2)
 
