@@ -10,8 +10,8 @@ and scores it returns the same ids (see the tests). Of equal scores the longer l
 A file of type BPE is read the same way, by its scores: the ids are the best-scored
 segmentation into its pieces, not the outcome of its merges in order.
 
-Where no piece continues from a non-blank into a blank, the best path splits before every run
-of blanks, so distinct fragments are segmented once and looked up afterwards.
+Where no piece continues from a non-blank into a blank (or from a letter into a stop), the best
+path splits there, so distinct fragments are segmented once and looked up afterwards.
 
 Defined results: a null or empty text has no ids; repeated rows give repeated results; null
 ids are kept; an empty table gives no rows; further columns are ignored. Decoding undoes
@@ -20,6 +20,7 @@ encoding but for a literal U+2581, which reads as a blank, as in the library.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fragments import FragmentEncoder
+from .fragments import _ALNUM, _STOP, FragmentEncoder
 from .token_store import list_array, text_bytes
 
 BLANK = "▁"
@@ -88,6 +89,8 @@ class Pieces:
         #: whether runs of blanks (and newlines) always start a piece
         self.splits = not any(BLANK in t.lstrip(BLANK) for t in texts)
         self.splits_lines = self.splits and not any("\n" in t for t in texts)
+        #: whether a stop or comma after an ASCII letter or digit always starts a piece
+        self.splits_stops = self.splits and not any(re.search("[A-Za-z0-9][.,]", t) for t in texts)
 
     def automaton(self):
         import ahocorasick
@@ -176,6 +179,8 @@ def _cuts(model: Pieces):
                 line = data == 0x0A
                 out |= line
                 out[1:] |= line[:-1]
+            if model.splits_stops:
+                out[1:] |= _STOP[data[1:]] & _ALNUM[data[:-1]]
         return out
 
     return cut
