@@ -193,6 +193,21 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_counts_every_row(spark):
+    """Rows without an id and rows that repeat one are documents of their own."""
+    long = " ".join(f"word{i}" for i in range(300))
+    nulls = [f"first line of {w} alone here\nsecond line of {w} stands alone\n{end}" for w, end in [("lane", "a line that is found twice"), ("road", "a line that is found twice"), ("ramp", "nothing else in the table ends so")]]
+    rows = [(None, t) for t in nulls] + [(7, long)] * 10 + [(7, "another text of that id stays"), (8, "a row of its own id")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    of_null = sorted(r.text for r in out if r.doc_id is None)
+    assert sum(r.n_removed for r in out if r.doc_id is None) == 1
+    assert [t.split("\n")[:2] for t in of_null] == sorted(t.split("\n")[:2] for t in nulls)
+    assert any(t == nulls[2] for t in of_null)
+    assert sorted((r.text, r.n_removed) for r in out if r.doc_id == 7) == [("", 1)] * 9 + [(rows[-2][1], 0), (long, 0)]
+    assert [(r.text, r.n_removed) for r in out if r.doc_id == 8] == [(rows[-1][1], 0)]
+
+
 def test_simhash_votes(spark, tmp_path):
     rng = random.Random(8)
     norms = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(n)) for n in (1, 2, 5, 127, 128, 500)]
