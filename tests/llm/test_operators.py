@@ -219,6 +219,24 @@ def test_simhash_votes(spark, tmp_path):
         assert got[r.doc_id].s1 & (2**64 - 1) == bits
 
 
+def test_simhash_votes_of_long_lines(spark):
+    """Every word votes, also beyond 32,767 words; words in front move hardly a bit."""
+    rng = random.Random(9)
+    long = [f"w{rng.randint(0, 5000)}" for _ in range(70_000)]
+    norms = [" ".join(w) for w in (long[:32_767], long[:40_000], long, [f"new{i}" for i in range(100)] + long)]
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(norms)], "doc_id long, pos int, norm string")
+    got = {r.doc_id: r for r in line_dedup.with_simhash(df, Scratch(spark, "test")).collect()}
+    words = sorted({w for t in norms for w in t.split()})
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashed = {r.w: (r.h, r.g) for r in hashed.withColumn("g", F.xxhash64("h")).collect()}
+    for i, t in enumerate(norms):
+        h, g = (np.array([hashed[w][k] for w in t.split()]) for k in (0, 1))
+        s1 = sum(1 << b for b in range(64) if 2 * ((h >> b) & 1).sum() > len(h))
+        s2 = sum(1 << b for b in range(64) if b % 8 < 4 and 2 * ((g >> b) & 1).sum() > len(g))
+        assert got[i].s1 & (2**64 - 1) == s1 and got[i].s2 & (2**64 - 1) == s2
+    assert ((got[2].s1 ^ got[3].s1) & (2**64 - 1)).bit_count() <= 10
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
