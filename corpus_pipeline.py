@@ -39,11 +39,22 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
-    found = minhash.near_duplicates(docs)
-    gone = Scratch(spark, "near").keep(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
+    """The first document, by doc_id (rows without one last), of each group of near duplicates:
+    texts whose sets of five-word shingles have a similarity of 0.8. Rows are told apart by a
+    number that is written with them, so that rows without an id and rows that repeat one
+    count as documents. 38 bands keep the chance that a pair at 0.8 shares no bucket at 3e-7."""
+    scratch = Scratch(spark, "near")
+    docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(docs, "_row", shingle=5, percent=80, bands=38)
+    lost = scratch.keep(found.filter("not kept").select(F.col("doc_id").alias("_row"), "component_id"), "lost")
+    member = lost.union(lost.select("component_id", "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    first = docs.select("_row", "doc_id").join(member, "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
+    first = scratch.keep(first, "first")
+    gone = lost.join(first, "_row", "left_anti").select("_row").union(first.filter("_row <> component_id").select("component_id"))
+    gone = scratch.keep(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "_row", "left_anti").drop("_row")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -279,3 +279,41 @@ def test_pipeline_stages(spark, data):
     assert names == ["quality classifier", "toxicity", "line dedup", "MinHash near-dedup", "packing"]
     out = corpus_pipeline.STAGES[2][1](spark, docs, data)
     assert out.columns == docs.columns and out.count() <= 60
+
+
+def test_pipeline_near_dedup(spark, data):
+    """One document of each group stays, by brute force on sets of five words at 0.8."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 9999)}"
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(rng.randint(150, 250))]
+        rows.append((1000 - k, base))
+        # one passage of 18 to 25 % more, and scattered edits of single words
+        rows.append((k, base + [word() for _ in range(int(len(base) * rng.uniform(0.18, 0.25)))]))
+        edited = list(base)
+        for i in rng.sample(range(len(base)), int(len(base) * rng.uniform(0.01, 0.03))):
+            edited[i] = word()
+        rows.append((k + 100, edited))
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rows += [(None, "copies of a text without any id stay once"), (None, "copies of a text without any id stay once"), (None, rows[0][1]), (None, "a text of its own"), (None, None)]
+    rows += [(2000, "this text comes twice with one id")] * 2 + [(2000, "the same id with another text stays")]
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, source string")
+    out = corpus_pipeline.near_dedup_stage(spark, df, data)
+    assert out.columns == df.columns
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    s = [sets(t) for _, t in rows]
+    linked = [(a, b) for a in range(len(s)) for b in range(a) if s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    root = brute_groups(range(len(s)), linked)
+    first = {}
+    for i, (d, t) in enumerate(rows):
+        key = (d is None, d or 0, t or "")
+        first[root[i]] = min(first.get(root[i], key), key)
+    assert len(linked) > 40 and len(first) < len(rows) - 40
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()) == sorted(first.values())
