@@ -196,7 +196,7 @@ def test_line_dedup(spark):
 def test_line_dedup_counts_every_row(spark):
     """Rows without an id and rows that repeat one are documents of their own."""
     long = " ".join(f"word{i}" for i in range(300))
-    nulls = [f"first line of {w} alone here\nsecond line of {w} stands alone\n{end}" for w, end in [("lane", "a line that is found twice"), ("road", "a line that is found twice"), ("ramp", "nothing else in the table ends so")]]
+    nulls = [f"{a} {w}\n{w} {b}\n{end}" for w, a, b, end in [("lane", "before any other of its kind comes", "seldom or never repeats its words", "a line that is found twice"), ("road", "mostly quiet at night under trees", "north of town bends twice and ends", "a line that is found twice"), ("ramp", "there is scarcely room for one more", "closed since last winter for works", "nothing else in the table ends so")]]
     rows = [(None, t) for t in nulls] + [(7, long)] * 10 + [(7, "another text of that id stays"), (8, "a row of its own id")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows)
@@ -212,7 +212,7 @@ def test_simhash_votes(spark, tmp_path):
     rng = random.Random(8)
     norms = [" ".join(f"w{rng.randint(0, 99)}" for _ in range(n)) for n in (1, 2, 5, 127, 128, 500)]
     df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(norms)], "doc_id long, pos int, norm string")
-    got = {r.doc_id: r for r in line_dedup.with_signature(df).collect()}
+    got = {r.doc_id: r for r in line_dedup.with_signature(df, Scratch(spark, "test")).collect()}
     hashes = df.select("doc_id", F.transform(F.array_distinct(F.split("norm", " ")), lambda w: F.xxhash64(w)).alias("h")).collect()
     for r in hashes:
         bits = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in r.h) > len(r.h))
@@ -225,7 +225,7 @@ def test_simhash_votes_of_long_lines(spark):
     long = [f"w{rng.randint(0, 200_000)}" for _ in range(70_000)]
     norms = [" ".join(w) for w in (long[:32_767], long[:40_000], long, [f"new{i}" for i in range(100)] + long)]
     df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(norms)], "doc_id long, pos int, norm string")
-    got = {r.doc_id: r for r in line_dedup.with_signature(df).collect()}
+    got = {r.doc_id: r for r in line_dedup.with_signature(df, Scratch(spark, "test")).collect()}
     words = sorted({w for t in norms for w in t.split()})
     hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
     hashed = {r.w: (r.h, r.g) for r in hashed.withColumn("g", F.xxhash64("h")).collect()}
