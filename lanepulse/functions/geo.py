@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+#: Metres per degree of longitude at the equator and of latitude.
+DEGREE_LON_M, DEGREE_LAT_M = 111_320.0, 110_540.0
 #: Compass sectors clockwise from north.
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
@@ -51,5 +51,4 @@ def axial_mean(heading: Column) -> Column:
 
 def plane_scale(lat: Column) -> tuple[Column, Column]:
     """Metres per degree of longitude and latitude at a latitude."""
-    per_degree = EARTH_M * math.pi / 180
-    return F.lit(per_degree) * F.cos(F.radians(lat)), F.lit(per_degree)
+    return F.lit(DEGREE_LON_M) * F.cos(F.radians(lat)), F.lit(DEGREE_LAT_M)

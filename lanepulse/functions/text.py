@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Endings of place names that say what the place is.
-PLACE_SUFFIXES = ("방향", "방면", "터미널", "분기점", "나들목", "요금소", "휴게소", "IC", "JC", "JCT", "TG", "대교", "터널", "교차로", "사거리", "시청", "시", "군", "구")
+PLACE_SUFFIXES = ("방면", "방향", "쪽", "행", "시", "군", "IC", "JC", "나들목", "분기점", "톨게이트", "TG")
 
 
 def parse_route(name: Column) -> Column:
@@ -15,9 +15,9 @@ def parse_route(name: Column) -> Column:
 
 
 def normalise_place(name: Column) -> Column:
-    """A place name without blanks, digits, brackets and kind suffixes."""
-    bare = F.regexp_replace(name, r"[\s\d()\[\]{}]+", "")
-    return F.regexp_replace(bare, r"(?<=.)(" + "|".join(sorted(PLACE_SUFFIXES, key=len, reverse=True)) + ")+$", "")
+    """A place name without blanks, digits, dots, brackets and any run of kind suffixes at its end."""
+    bare = F.regexp_replace(name, r"[\s·()\[\]0-9.]+", "")
+    return F.regexp_replace(bare, "(" + "|".join(PLACE_SUFFIXES) + ")+$", "")
 
 
 def match_key(name: Column) -> Column:

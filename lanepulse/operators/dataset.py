@@ -86,13 +86,17 @@ def cross(rows: DataFrame, a: str, b: str, values: list[str]) -> DataFrame:
     return rows.groupBy(F.col(a).alias("value")).pivot(b, values).agg(cell)
 
 
-def difficulty_stats(rows: DataFrame) -> DataFrame:
-    """Levels, single reasons and whole combinations with images, clips and cameras."""
-    counts = (F.count("*").alias("images"), F.count_distinct("clip").alias("clips"), F.count_distinct("camera").alias("cameras"))
-    level = rows.groupBy(F.lit("level").alias("kind"), F.col("difficulty").alias("value")).agg(*counts)
-    single = rows.filter("hard_reasons <> ''").withColumn("reason", F.explode(F.split("hard_reasons", r"\|"))).groupBy(F.lit("reason").alias("kind"), F.col("reason").alias("value")).agg(*counts)
-    whole = rows.groupBy(F.lit("combination").alias("kind"), F.col("hard_reasons").alias("value")).agg(*counts).orderBy(F.desc("images"), "value").limit(12)
-    return level.unionByName(single).unionByName(whole)
+def difficulty_stats(rows: DataFrame, top: int = 12) -> DataFrame:
+    """Levels, single reasons and the commonest whole combinations with images, clips and cameras,
+    from one pass: each row stands under its level, its combination and each of its reasons."""
+    entry = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    reasons = F.when(F.col("hard_reasons") == "", F.array().cast("array<string>")).otherwise(F.split("hard_reasons", r"\|"))
+    entries = F.concat(F.array(entry("level", F.col("difficulty")), entry("combination", F.col("hard_reasons"))), F.transform(reasons, lambda r: entry("reason", r)))
+    long = rows.select("clip", "camera", F.inline(entries))
+    counted = long.groupBy("kind", "value").agg(F.count("*").alias("images"), F.count_distinct("clip").alias("clips"), F.count_distinct("camera").alias("cameras"))
+    # one row per value of three conditions
+    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("images"), "value")))
+    return ranked.filter((F.col("kind") != "combination") | (F.col("rank") <= top)).drop("rank")
 
 
 def paired_hours(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.barrier import settled
+
 #: Tokens of a clip name, hour bands, road forms by keyword, the easy condition,
 #: and the sites' coordinates.
 CLIP_FIELDS = ("site", "channel", "date", "time", "weekday", "cam_height", "hour_type", "road_type", "lane_config", "weather", "quality")
@@ -24,9 +26,10 @@ TWILIGHT_MIN = 30
 
 def parse_clip(rows: DataFrame, clip: str = "clip") -> DataFrame:
     """The eleven tokens of a clip name, empty where there are not exactly eleven."""
-    t = F.split(clip, "_")
+    out = settled(rows, _tokens=F.split(clip, "_"))
+    t = F.col("_tokens")
     ok = F.size(t) == len(CLIP_FIELDS)
-    out = rows.withColumn("meta_parsed", ok)
+    out = out.withColumn("meta_parsed", ok)
     out = out.withColumns({n: F.when(ok, t[i]).otherwise("") for i, n in enumerate(CLIP_FIELDS)})
     lane = F.col("lane_config")
     return out.withColumns(
@@ -36,7 +39,7 @@ def parse_clip(rows: DataFrame, clip: str = "clip") -> DataFrame:
             "lane_direction": F.when(lane.startswith("TW"), "two_way").when(lane.startswith("OW"), "one_way").otherwise(""),
             "lane_count": F.regexp_extract(lane, r"^[A-Z]+(\d+)$", 1).try_cast("int"),
         }
-    )
+    ).drop("_tokens")
 
 
 def time_band(hhmm: Column) -> Column:
@@ -90,8 +93,9 @@ def conditions(rows: DataFrame) -> DataFrame:
     """A parsed manifest with its derived condition columns."""
     date = F.try_to_timestamp("date", F.lit("yyyyMMdd")).cast("date")
     phase, from_sunset = day_phase(date, F.col("time"), F.col("site"))
-    out = rows.withColumns({"time_band": time_band(F.col("time")), "day_night": phase, "min_from_sunset": from_sunset, "road_form": road_form(F.col("channel"))})
-    out = out.withColumn("hard_reasons", hard_reasons())
+    out = settled(rows, day_night=phase, min_from_sunset=from_sunset)
+    out = out.withColumns({"time_band": time_band(F.col("time")), "road_form": road_form(F.col("channel"))})
+    out = settled(out, hard_reasons=hard_reasons())
     return out.withColumn("difficulty", F.when(F.col("hard_reasons") == "", "easy").otherwise("hard"))
 
 
@@ -130,13 +134,21 @@ def match_images(images: DataFrame, labels: DataFrame) -> DataFrame:
     return i.join(b, "key")
 
 
-def unmatched(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts of images without label, labels without image, and repeated ones of each."""
+def unmatched(images: DataFrame, labels: DataFrame, examples: int = 100) -> DataFrame:
+    """Counts of images without label, labels without image, and repeated ones of each, with
+    the least ``examples`` keys of each kind."""
     lone = lambda a, b, kind: a.join(b, "key", "left_anti").select(F.lit(kind).alias("kind"), "key")
     twice = lambda a, kind: a.groupBy("key").agg((F.count("*") - 1).alias("n")).filter("n > 0").select(F.lit(kind).alias("kind"), F.explode(F.sequence(F.lit(1), "n")).alias("i"), "key").drop("i")
     rows = lone(images, labels, "image_without_label").unionByName(lone(labels, images, "label_without_image"))
     rows = rows.unionByName(twice(images, "repeated_image")).unionByName(twice(labels, "repeated_label"))
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("key")), 1, 3), ",").alias("examples"))
+    counts = rows.groupBy("kind").agg(F.count("*").alias("n"))
+    # a limit by sorting keeps the least keys of each part before they meet in one
+    least = None
+    for kind in ("image_without_label", "label_without_image", "repeated_image", "repeated_label"):
+        top = rows.filter(F.col("kind") == kind).select("kind", "key").distinct().orderBy("key").limit(examples)
+        least = top if least is None else least.unionByName(top)
+    shown = least.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("examples"))
+    return counts.join(shown, "kind")
 
 
 def check_size(width: Column, height: Column, label_width: Column, label_height: Column) -> tuple[Column, Column]:

@@ -21,23 +21,24 @@ def count_table(frames: DataFrame, road: DataFrame, veh: DataFrame) -> DataFrame
     """Pixels per frame, direction and class; class 0 is road without a vehicle.
 
     Only vehicle pixels are joined: the free road is what they leave of each direction's size."""
-    hit = veh.filter("cls > 0").join(road, ["x", "y"]).groupBy("frame_id", "d", "cls").agg(F.count("*").alias("px"))
-    sizes = road.groupBy("d").agg(F.count("*").alias("size"))
-    grid = frames.select("frame_id").distinct().join(F.broadcast(sizes))  # a few directions
-    used = hit.groupBy("frame_id", "d").agg(F.sum("px").alias("used"))
-    free = grid.join(used, ["frame_id", "d"], "left").select("frame_id", "d", F.lit(0).alias("cls"), (F.col("size") - F.coalesce("used", F.lit(0))).alias("px"))
-    return hit.select("frame_id", "d", F.col("cls").cast("int").alias("cls"), "px").unionByName(free).filter("px > 0")
+    hit = veh.filter("cls > 0").join(road, ["x", "y"]).groupBy("frame_id", "d", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("px"))
+    sizes = road.groupBy("d").agg(F.count("*").alias("px"))
+    grid = frames.select("frame_id").distinct().join(F.broadcast(sizes)).select("frame_id", "d", F.lit(0).alias("cls"), "px")  # a few directions
+    # what vehicles cover counts for its class, and is taken from the free road
+    both = F.array(F.struct("cls", "px"), F.struct(F.lit(0).alias("cls"), (-F.col("px")).alias("px")))
+    rows = grid.unionByName(hit.select("frame_id", "d", F.inline(both)))
+    return rows.groupBy("frame_id", "d", "cls").agg(F.sum("px").alias("px")).filter("px > 0")
 
 
 def occupancy(counts: DataFrame, frames: DataFrame) -> DataFrame:
     """Vehicle share per measured direction, and of the whole road as direction 0 for every frame."""
-    rows = counts.filter("d > 0")
-    per = rows.groupBy("frame_id", F.col("d").cast("int").alias("d"))
-    aggs = [F.sum("px").alias("road_px"), F.coalesce(F.sum(F.when(F.col("cls") > 0, F.col("px"))), F.lit(0)).alias("vehicle_px")]
-    aggs += [F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("px"))), F.lit(0)).alias(f"{n}_px") for c, n in CLASSES.items()]
-    names = ["road_px", "vehicle_px", *(f"{n}_px" for n in CLASSES.values())]
-    whole = frames.select("frame_id").distinct().join(rows.groupBy("frame_id").agg(*aggs), "frame_id", "left").select("frame_id", F.lit(0).alias("d"), *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
-    out = per.agg(*aggs).unionByName(whole)
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("px"))), F.lit(0))
+    aggs = [F.coalesce(F.sum("px"), F.lit(0)).alias("road_px"), of(F.col("cls") > 0).alias("vehicle_px"), *(of(F.col("cls") == c).alias(f"{n}_px") for c, n in CLASSES.items())]
+    # a row without pixels stands for each frame, so that frames without road have their total
+    blank = frames.select("frame_id").distinct().select("frame_id", F.lit(None).cast("int").alias("d"), F.lit(None).cast("int").alias("cls"), F.lit(None).cast("long").alias("px"))
+    rows = counts.filter("d > 0").select("frame_id", F.col("d").cast("int").alias("d"), "cls", F.col("px").cast("long").alias("px")).unionByName(blank)
+    out = rows.groupingSets([["frame_id", "d"], ["frame_id"]], "frame_id", "d").agg(F.grouping("d").alias("whole"), *aggs)
+    out = out.filter("whole = 1 or d is not null").withColumn("d", F.coalesce("d", F.lit(0))).drop("whole")
     return out.withColumn("occupancy", F.when(F.col("road_px") > 0, F.round(F.col("vehicle_px") / F.col("road_px"), 10)).otherwise(0.0))
 
 

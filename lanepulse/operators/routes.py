@@ -18,6 +18,7 @@ from ..functions.geo import angle_diff, bearing, haversine, plane_scale
 SAME_POINT_M = 60.0
 BREAK_M = 15_000.0
 NEAR_M = 3_000.0
+END_M = 1.0
 
 
 def _metres(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -36,19 +37,20 @@ def spread_points(points: list[tuple[float, float]], least: float = SAME_POINT_M
 
 
 def chain_points(points: list[tuple[float, float]], gap: float = BREAK_M) -> list[list[tuple[float, float]]]:
-    """Greedy nearest-neighbour chains from the point farthest from the centre, broken at gaps."""
-    if not points:
-        return []
-    centre = (sum(p[0] for p in points) / len(points), sum(p[1] for p in points) / len(points))
-    left = list(points)
-    at = left.pop(max(range(len(left)), key=lambda i: _metres(left[i], centre)))
-    chains = [[at]]
+    """Nearest-neighbour chains. Each begins at the point farthest from the centre of those that are
+    left, and ends where the nearest one is more than ``gap`` metres away."""
+    chains, left = [], list(points)
     while left:
-        i = min(range(len(left)), key=lambda j: _metres(at, left[j]))
-        step, at = _metres(at, left[i]), left.pop(i)
-        if step > gap:
-            chains.append([])
-        chains[-1].append(at)
+        n = len(left)
+        centre = (sum(p[0] for p in left) / n, sum(p[1] for p in left) / n)
+        i = max(range(n), key=lambda k: _metres(left[k], centre))
+        chain = [left.pop(i)]
+        while left:
+            step, i = min((_metres(chain[-1], p), k) for k, p in enumerate(left))
+            if step > gap:
+                break
+            chain.append(left.pop(i))
+        chains.append(chain)
     return chains
 
 
@@ -143,10 +145,10 @@ def resolve_sign(pairs: DataFrame) -> DataFrame:
     chain only resolve where the destination lies more than 2 km beyond an end."""
     ahead = F.col("dest_s") - F.col("camera_s")
     near = F.abs(ahead) < 300
-    at_start, at_end = F.col("dest_s") <= 300, F.col("dest_s") >= F.col("length_m") - 300
-    beyond = near & (at_start | at_end) & (F.col("dest_off") > 2000)
-    far_off = (F.col("dest_off") >= 15_000) & (at_start | at_end)
-    sign = F.when(~near, F.signum(ahead).cast("int")).when(beyond & at_start, -1).when(beyond, 1)
+    at_end = (F.col("dest_s") <= END_M) | (F.col("dest_s") >= F.col("length_m") - END_M)
+    beyond = near & at_end & (F.col("dest_off") > 2000)
+    far_off = (F.col("dest_off") >= 15_000) & at_end
+    sign = F.when(~near, F.signum(ahead).cast("int")).when(beyond & (F.col("dest_s") <= F.col("length_m") / 2), -1).when(beyond, 1)
     confidence = F.when(sign.isNull(), F.lit(None).cast("string")).when(near | far_off, "medium").otherwise("high")
     reason = F.when(F.col("dest_s").isNull(), "unknown place").when(sign.isNull(), "too close")
     return pairs.select("*", sign.alias("sign"), confidence.alias("confidence"), reason.alias("reason"))

@@ -124,7 +124,7 @@ def t11(spark, d):
 
 @query("t12_unmatched", _FILES + """, r AS (SELECT 'image_without_label' AS kind, key FROM i WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT 'label_without_image', key FROM b WHERE key NOT IN (SELECT key FROM i)
   UNION ALL SELECT 'repeated_image', key FROM (SELECT key, count(*) - 1 AS n FROM i GROUP BY key), range(999) q(v) WHERE q.v < n)
-  SELECT kind, count(*) AS n, array_to_string(list_sort(list_distinct(list(key)))[1:3], ',') AS examples FROM r GROUP BY kind""")
+  SELECT kind, count(*) AS n, array_to_string(list_sort(list_distinct(list(key)))[1:100], ',') AS examples FROM r GROUP BY kind""")
 def t12(spark, d):
     return N.unmatched(*_files(spark, d))
 

@@ -96,7 +96,7 @@ def r7(spark, d):
     return _chains(spark, d).select("chain_id", "seq", F.round("cum_m", 4).alias("cum_m"))
 
 
-_PROJECT = _CHAIN + """, pj AS (SELECT id, s.chain_id, seq, cum_m, cum2, lat - plat AS y0, lat2 - plat AS y1, lon - plon AS x0, lon2 - plon AS x1, cos(radians(plat)) * 6371000.0::DOUBLE * pi() / 180 AS kx, 6371000.0::DOUBLE * pi() / 180 AS ky
+_PROJECT = _CHAIN + """, pj AS (SELECT id, s.chain_id, seq, cum_m, cum2, lat - plat AS y0, lat2 - plat AS y1, lon - plon AS x0, lon2 - plon AS x1, cos(radians(plat)) * 111320.0::DOUBLE AS kx, 110540.0::DOUBLE AS ky
     FROM seg s JOIN (SELECT id, route, lat AS plat, lon AS plon FROM cameras) c ON c.route = s.chain_id),
   q AS (SELECT *, x0 * kx AS ax, y0 * ky AS ay, x1 * kx - x0 * kx AS dx, y1 * ky - y0 * ky AS dy FROM pj),
   u AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0 END AS h FROM q),
@@ -155,10 +155,10 @@ def _resolved(spark, d):
     return R.resolve_sign(p.select("id", "chain_id", F.col("s_m").alias("camera_s")).join(b, ["id", "chain_id"], "left").join(length, "chain_id"))
 
 
-@query("r13_resolve", _RESOLVE + """ SELECT id, CASE WHEN near AND beyond AND dest_s <= 300 THEN -1 WHEN near AND beyond THEN 1 WHEN NOT near THEN CAST(sign(dest_s - camera_s) AS INT) END AS sign,
+@query("r13_resolve", _RESOLVE + """ SELECT id, CASE WHEN near AND beyond AND dest_s <= length_m / 2 THEN -1 WHEN near AND beyond THEN 1 WHEN NOT near THEN CAST(sign(dest_s - camera_s) AS INT) END AS sign,
     CASE WHEN dest_s IS NULL OR (near AND NOT beyond) THEN NULL WHEN near OR (dest_off >= 15000 AND edge) THEN 'medium' ELSE 'high' END AS confidence,
     CASE WHEN dest_s IS NULL THEN 'unknown place' WHEN near AND NOT beyond THEN 'too close' END AS reason
-  FROM (SELECT *, abs(dest_s - camera_s) < 300 AS near, dest_s <= 300 OR dest_s >= length_m - 300 AS edge, (dest_s <= 300 OR dest_s >= length_m - 300) AND dest_off > 2000 AS beyond FROM pr)""")
+  FROM (SELECT *, abs(dest_s - camera_s) < 300 AS near, dest_s <= 1 OR dest_s >= length_m - 1 AS edge, (dest_s <= 1 OR dest_s >= length_m - 1) AND dest_off > 2000 AS beyond FROM pr)""")
 def r13(spark, d):
     return _resolved(spark, d).select("id", "sign", "confidence", "reason")
 
@@ -206,10 +206,10 @@ def r19(spark, d):
     return R.route_lines(_chains(spark, d).withColumn("route", F.col("chain_id")).withColumn("road_type", F.lit("its")))
 
 
-@query("r21_offset_line", _CHAIN + """, o AS (SELECT chain_id, seq, lat, lon, (coalesce(lead(lon) OVER w, lon) - coalesce(lag(lon) OVER w, lon)) * cos(radians(lat)) * 6371000.0::DOUBLE * pi() / 180 AS dx,
-    (coalesce(lead(lat) OVER w, lat) - coalesce(lag(lat) OVER w, lat)) * 6371000.0::DOUBLE * pi() / 180 AS dy FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY seq))
-  SELECT chain_id, seq, round(lat - CASE WHEN dx * dx + dy * dy > 0 THEN dx / sqrt(dx * dx + dy * dy) * 30 / (6371000.0::DOUBLE * pi() / 180) ELSE 0 END, 8) AS lat,
-    round(lon + CASE WHEN dx * dx + dy * dy > 0 THEN dy / sqrt(dx * dx + dy * dy) * 30 / (cos(radians(lat)) * 6371000.0::DOUBLE * pi() / 180) ELSE 0 END, 8) AS lon FROM o""")
+@query("r21_offset_line", _CHAIN + """, o AS (SELECT chain_id, seq, lat, lon, (coalesce(lead(lon) OVER w, lon) - coalesce(lag(lon) OVER w, lon)) * cos(radians(lat)) * 111320.0::DOUBLE AS dx,
+    (coalesce(lead(lat) OVER w, lat) - coalesce(lag(lat) OVER w, lat)) * 110540.0::DOUBLE AS dy FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY seq))
+  SELECT chain_id, seq, round(lat - CASE WHEN dx * dx + dy * dy > 0 THEN dx / sqrt(dx * dx + dy * dy) * 30 / (110540.0::DOUBLE) ELSE 0 END, 8) AS lat,
+    round(lon + CASE WHEN dx * dx + dy * dy > 0 THEN dy / sqrt(dx * dx + dy * dy) * 30 / (cos(radians(lat)) * 111320.0::DOUBLE) ELSE 0 END, 8) AS lon FROM o""")
 def r21(spark, d):
     return R.offset_line(_chains(spark, d), 30.0).select("chain_id", "seq", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
@@ -219,7 +219,7 @@ _NEAR = with_sql("cameras") + """, nr AS (SELECT * FROM (SELECT a.id, b.id AS ot
     FROM cameras a JOIN cameras b ON a.id <> b.id AND a.route = b.route AND abs(b.lat - a.lat) <= 0.3 AND abs(b.lon - a.lon) <= 0.3) WHERE place <= 4)"""
 
 
-@query("r22_suggest_axis", _NEAR + """, xy AS (SELECT id, (lon2 - lon) * cos(radians(lat)) * 6371000.0::DOUBLE * pi() / 180 AS x, (lat2 - lat) * 6371000.0::DOUBLE * pi() / 180 AS y FROM nr),
+@query("r22_suggest_axis", _NEAR + """, xy AS (SELECT id, (lon2 - lon) * cos(radians(lat)) * 111320.0::DOUBLE AS x, (lat2 - lat) * 110540.0::DOUBLE AS y FROM nr),
   s AS (SELECT id, count(*) + 1 AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(y * y) AS yy, sum(x * y) AS xy FROM xy GROUP BY id),
   c AS (SELECT id, xx / n - pow(sx / n, 2) AS cxx, yy / n - pow(sy / n, 2) AS cyy, xy / n - sx * sy / n / n AS cxy FROM s)
   SELECT id, round((90 - degrees(atan2(2 * cxy, cxx - cyy)) / 2 + 180) % 180, 6) AS axis, round((cxx + cyy + sqrt(pow(cxx - cyy, 2) + 4 * cxy * cxy)) / 2 / (cxx + cyy), 9) AS linearity FROM c""")
@@ -238,10 +238,10 @@ def r24(spark, d):
     return R.registered(c.select("id", "name"), c.filter("id % 3 = 0")).select("id", "name", "registered")
 
 
-_PLACES = " SELECT id, CASE id % 5 WHEN 0 THEN concat('서울', id, ' 방향') WHEN 1 THEN concat('(', 'P', ') 대전IC') WHEN 2 THEN 'A 시청방면' WHEN 3 THEN concat('Q', id) ELSE '' END AS name FROM cameras"
+_PLACES = " SELECT id, CASE id % 5 WHEN 0 THEN concat('서울', id, ' 방향') WHEN 1 THEN concat('(', 'P', ') 대전IC') WHEN 2 THEN '마포대교' WHEN 3 THEN '서울·톨게이트 방면' ELSE '부산행' END AS name FROM cameras"
 
 
-@query("r25_normalise_place", with_sql("cameras") + " SELECT id, CASE id % 5 WHEN 0 THEN '서울' WHEN 1 THEN 'P대전' WHEN 2 THEN 'A' WHEN 3 THEN 'Q' ELSE '' END AS place FROM cameras")
+@query("r25_normalise_place", with_sql("cameras") + " SELECT id, CASE id % 5 WHEN 0 THEN '서울' WHEN 1 THEN 'P대전' WHEN 2 THEN '마포대교' WHEN 3 THEN '서울' ELSE '부산' END AS place FROM cameras")
 def r25(spark, d):
     names = cameras(spark, d).selectExpr("id", _PLACES.split("id, ", 1)[1].rsplit(" FROM", 1)[0])
     return names.select("id", normalise_place(F.col("name")).alias("place"))

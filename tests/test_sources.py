@@ -53,10 +53,14 @@ def test_captures_logs_and_replacement(spark, tmp_path):
 
 
 def test_chains():
-    line = [(35.0 + i * 0.01, 127.0) for i in range(101)]
-    (chain,) = chain_points(spread_points(line[::2] + line[1::2] + [(35.0001, 127.0)]))
-    assert len(chain) == 101 and chain in (sorted(chain), sorted(chain, reverse=True))
-    assert len(chain_points([(35 + i * 0.01, 127.0) for i in range(10)] + [(36 + i * 0.01, 127.0) for i in range(10)])) == 2
+    """A run whose middle is the nearest point after a gap is walked from its far end."""
+    east = [(36.0, 127.0 + i * 0.02) for i in range(40)]
+    north = [(36.4 + abs(i) * 0.001, 127.0 + i * 0.02) for i in range(-20, 21)]
+    chains = chain_points(spread_points(east[1::3] + north + east[::3] + east[2::3] + [(36.0001, 127.0)]))
+    assert len(chains) == 2 and sorted(len(c) for c in chains) == [40, 41]
+    for chain, line in zip(sorted(chains, key=len), (east, north), strict=True):
+        assert chain in (line, line[::-1])
+    assert chain_points([]) == [] and spread_points([(1.0, 2.0), (1.0, 2.0)]) == [(1.0, 2.0)]
 
 
 def frames(spark):
