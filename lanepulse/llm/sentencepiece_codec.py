@@ -4,8 +4,8 @@ The pieces form an Aho-Corasick automaton. One pass over a text visits, at each
 pieces that end there (the automaton's output links, longest first) and relaxes the best score
 up to that position; the path back from the end is the segmentation with the highest sum of
 scores. Characters without a piece of their own cost the lowest score less ten and fall back
-to their bytes. These are the rules of SentencePiece's unigram encoder: with the same pieces
-and scores it returns the same ids (see the tests). Of equal scores the longer last piece wins.
+to their bytes. These are the rules of SentencePiece's unigram encoder. Of equal scores the longer
+last piece wins.
 
 A file of type BPE is read the same way, by its scores: the ids are the best-scored
 segmentation into its pieces, not the outcome of its merges in order.
@@ -111,8 +111,28 @@ class Viterbi:
     def __init__(self, model: Pieces):
         self.model, self.auto = model, model.automaton()
         self.unknown_score = model.lowest - UNKNOWN_PENALTY
+        self.sizes = [len(p[0]) for p in model.pieces]
+        self.singles = {p[0] for p in model.pieces if len(p[0]) == 1 and p[2] in (NORMAL, USER_DEFINED)}
 
     def __call__(self, text: str) -> list[int]:
+        return self._known(text) if self.singles.issuperset(text) else self._any(text)
+
+    def _known(self, text: str) -> list[int]:
+        """Where each character is a piece, every position is reached and none is unknown. All
+        pieces that end before a position come before those that start there."""
+        n = len(text)
+        best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        for last, (size, score, piece) in self.auto.iter(text):  # the longest of one end first
+            score += best[last + 1 - size]
+            if score > best[last + 1]:
+                best[last + 1], back[last + 1] = score, piece
+        out, sizes = [], self.sizes
+        while n:
+            out.append(back[n])
+            n -= sizes[back[n]]
+        return out[::-1]
+
+    def _any(self, text: str) -> list[int]:
         n = len(text)
         best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
         done = 0  # positions up to here have their best score
