@@ -67,13 +67,15 @@ def sun_minutes(date: Column, site: Column) -> tuple[Column, Column]:
     return noon - 4 * half, noon + 4 * half
 
 
-def day_phase(date: Column, hhmm: Column, site: Column) -> tuple[Column, Column]:
-    """(day, twilight or night; minutes from sunset)."""
-    rise, fall = sun_minutes(date, site)
-    t = F.substring(hhmm, 1, 2).try_cast("int") * 60 + F.substring(hhmm, 3, 2).try_cast("int")
+def minutes_of_day(hhmm: Column) -> Column:
+    return F.substring(hhmm, 1, 2).try_cast("int") * 60 + F.substring(hhmm, 3, 2).try_cast("int")
+
+
+def day_phase(t: Column, rise: Column, fall: Column) -> tuple[Column, Column]:
+    """(day, twilight or night; minutes from sunset) at a minute of the day."""
     day = (t >= rise + TWILIGHT_MIN) & (t < fall - TWILIGHT_MIN)
     dusk = (F.abs(t - rise) <= TWILIGHT_MIN) | (F.abs(t - fall) <= TWILIGHT_MIN)
-    return F.when(t.isNull() | date.isNull(), "").when(day, "day").when(dusk, "twilight").otherwise("night"), F.bround(t - fall).cast("int")
+    return F.when(t.isNull() | rise.isNull(), "").when(day, "day").when(dusk, "twilight").otherwise("night"), F.bround(t - fall).cast("int")
 
 
 def road_form(channel: Column) -> Column:
@@ -92,8 +94,11 @@ def hard_reasons() -> Column:
 def conditions(rows: DataFrame) -> DataFrame:
     """A parsed manifest with its derived condition columns."""
     date = F.try_to_timestamp("date", F.lit("yyyyMMdd")).cast("date")
-    phase, from_sunset = day_phase(date, F.col("time"), F.col("site"))
-    out = settled(rows, day_night=phase, min_from_sunset=from_sunset)
+    out = settled(rows, _date=date, _at=minutes_of_day(F.col("time")))
+    rise, fall = sun_minutes(F.col("_date"), F.col("site"))
+    out = settled(out, _rise=rise, _fall=fall)
+    phase, from_sunset = day_phase(F.col("_at"), F.col("_rise"), F.col("_fall"))
+    out = settled(out, day_night=phase, min_from_sunset=from_sunset).drop("_date", "_at", "_rise", "_fall")
     out = out.withColumns({"time_band": time_band(F.col("time")), "road_form": road_form(F.col("channel"))})
     out = settled(out, hard_reasons=hard_reasons())
     return out.withColumn("difficulty", F.when(F.col("hard_reasons") == "", "easy").otherwise("hard"))
