@@ -13,9 +13,11 @@ with a weight. Cells of any size are split into chunks; a block compares a chunk
 with a chunk of members as one matrix product, and emits only counts and a spanning star of
 each connected group, never the pairs.
 
-Defined results: vectors that are null or zero, hold null or non-finite components or differ
-in length from most link with nothing (no links, their own component, kept); repeated rows
-count as further vectors; with null ids a group takes its least other id; an empty table
+Vectors of each length are compared among themselves, with an index of their own; components keep
+the precision they come in (single or double).
+
+Defined results: vectors that are null or zero or hold null or non-finite components link with
+nothing (no links, their own component, kept); repeated rows count as further vectors; with null ids a group takes its least other id; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -109,9 +111,9 @@ def build(sample: np.ndarray, rows: int, similarity: float, recall: float, per_c
     return index
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, dtype) -> np.ndarray:
     flat = b"".join(column.to_pylist())
-    return np.frombuffer(flat, np.float32).reshape(len(column), -1)
+    return np.frombuffer(flat, dtype).reshape(len(column), -1)
 
 
 def _spread(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def _spread(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
         a, b = a2, b2
 
 
-def compare_blocks(blocks: DataFrame, similarity: float) -> DataFrame:
+def compare_blocks(blocks: DataFrame, similarity: float, dtype=np.float32) -> DataFrame:
     """(node, links, low) of each (cell, part, chunk) block of visitors and members."""
 
     def run(batches):
@@ -137,7 +139,7 @@ def compare_blocks(blocks: DataFrame, similarity: float) -> DataFrame:
             q, m = np.flatnonzero(~member), np.flatnonzero(member)
             if not len(q) or not len(m):
                 continue
-            x = unit(_matrix(t.column(7)))
+            x = unit(_matrix(t.column(7), dtype))
             linked = (x[q] @ x[m].T >= similarity) & (ids[q][:, None] != ids[m][None, :])
             if not linked.any():
                 continue
@@ -170,18 +172,27 @@ def near_vectors(
     col = lambda c: F.col(c) if isinstance(c, str) else c
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
-    v = rows.select(col(vec_id).cast("long").alias("vec_id"), col(vector).cast("array<float>").alias("v"))
+    v = rows.select(col(vec_id).cast("long").alias("vec_id"), col(vector).alias("v"))
+    double = v.schema["v"].dataType.elementType.simpleString() != "float"
+    v = v.withColumn("v", F.col("v").cast("array<double>" if double else "array<float>"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     zero = ~F.exists("v", lambda e: e != 0)
     v = v.withColumn("v", F.when(F.col("v").isNotNull() & ~bad & ~zero, F.col("v"))).withColumn("d", F.size("v"))
     v = v.withColumn("set_key", F.when(F.col("v").isNotNull(), F.md5(F.to_json(F.struct("v")))))
     v = scratch.keep(v, "vectors")
-    width = v.filter("v is not null").groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    own = v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if width is None:
-        return own
-    good = (F.col("v").isNotNull()) & (F.col("d") == width[0])
-    groups = v.filter(good).groupBy("set_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    out = v.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    # an index for each length; an embedding table has one or a few
+    for width in [r[0] for r in v.filter("v is not null").select("d").distinct().orderBy("d").collect()]:
+        same = v.filter(F.col("v").isNotNull() & (F.col("d") == width))
+        out = out.unionByName(_near_of_one_length(same, scratch, similarity, recall, sample_size, np.float64 if double else np.float32))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def _near_of_one_length(v: DataFrame, scratch: Scratch, similarity: float, recall: float, sample_size: int, dtype) -> DataFrame:
+    """(vec_id, n_links, component_id) of good vectors of one length (vec_id, v, set_key)."""
+    spark = v.sparkSession
+    own = v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    groups = v.groupBy("set_key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     groups = scratch.keep(groups.filter("rep is not null"), "groups")
     n = groups.count()
     sample = groups.orderBy(F.xxhash64("rep"), "rep").select("v").limit(sample_size).toPandas()["v"]
@@ -202,7 +213,7 @@ def near_vectors(
                 if x.shape[1] < 2:
                     x = np.concatenate([x, np.zeros_like(x)], axis=1)
                 cells = index.visits(x)
-                data = [r.tobytes() for r in raw.astype(np.float32)]
+                data = [r.tobytes() for r in raw.astype(dtype)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(data, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], names=["rep", "copies", "data", "cells"]
                 )
@@ -222,7 +233,7 @@ def near_vectors(
     part, chunk = F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")), F.when(F.col("member"), F.col("mine")).otherwise(F.col("other"))
     blocks = both.select("cell", part.alias("part"), chunk.alias("chunk"), "member", "rep", "home", "copies", "data", "cells")
     blocks = blocks.repartition("cell", "part", "chunk").sortWithinPartitions("cell", "part", "chunk")
-    found = scratch.keep(compare_blocks(blocks, similarity), "found")
+    found = scratch.keep(compare_blocks(blocks, similarity, dtype), "found")
     component = connected_components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), scratch)
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     # only vectors with copies or links differ from a vector by itself
@@ -234,7 +245,6 @@ def near_vectors(
         F.coalesce("component", "rep").alias("component"),
         F.explode(F.array(*map(F.lit, range(salts)))).alias("salt"),
     )
-    out = v.select("vec_id", F.when(good, F.col("set_key")).alias("set_key"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
+    out = v.select("vec_id", "set_key", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"))
     out = out.join(moved, ["set_key", "salt"], "left")
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))

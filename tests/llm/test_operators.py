@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -181,6 +182,36 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(500, 506))
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Lengths are compared each by itself, minority ones too; doubles keep their precision."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 4))
+    rows = [(i, x.tolist()) for i, x in enumerate(base)] + [(100, [1.0, 2.0]), (101, [1.0, 2.0]), (102, [2.0, -1.0]), (103, [0.0, 0.0]), (104, None), (105, [float("nan"), 1.0])]
+    # a hair below and above the threshold, which single precision does not tell apart
+    for k, c in ((200, 0.9 - 1e-10), (201, 0.9 + 1e-10)):
+        rows.append((k, [1e3 * c, 1e3 * float(np.sqrt(1 - c * c)), 0.0]))
+    rows.append((202, [1.0, 0.0, 0.0]))
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for i, x in rows:
+        near = [j for j, y in rows if j != i and x and y and len(x) == len(y) and np.isfinite(x).all() and np.isfinite(y).all() and np.linalg.norm(x) * np.linalg.norm(y) > 0 and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9]
+        assert got[i].n_links == len(near)
+    assert got[101].component_id == 100 and not got[101].kept and got[200].n_links == 1 and got[202].n_links == 1
+
+
+def test_embeddings_over_many_cells(spark):
+    """Recall against brute force where the index has a grid of many cells."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(3000, 16))
+    x = np.concatenate([centre, centre + rng.normal(size=centre.shape) * rng.uniform(0.05, 0.5, (3000, 1)), rng.normal(size=(16_000, 16))]).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [r.tolist() for r in x]}), "vec_id long, embedding array<float>")
+    got = embed_dedup.near_vectors(rows).toPandas().set_index("vec_id").n_links
+    u = embed_dedup.unit(x)
+    want = np.concatenate([(u[lo : lo + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for lo in range(0, len(u), 1000)])
+    assert embed_dedup.build(u[:20_000], len(u), 0.9, 0.99).first.shape[0] >= 10
+    assert want.sum() > 2000 and (got.reindex(range(len(x))).to_numpy() <= want).all()
+    assert got.sum() >= 0.95 * want.sum()
+
+
 def test_line_dedup(spark):
     line = " ".join(f"word{i}" for i in range(60))
     near = line.replace("word7 ", "other ")
