@@ -122,6 +122,18 @@ def slice_chain(chains: DataFrame, start: float, end: float) -> DataFrame:
     return inner.unionByName(cut).dropDuplicates(["chain_id", "s_m"])
 
 
+def line_near(found: DataFrame, chains: DataFrame, span: float = 6_000.0) -> DataFrame:
+    """The line around each place (``id``, ``chain_id``, ``s_m``, ``off_m``): chain points up to ``span`` metres
+    either way, with interpolated ends. :func:`heading_at` with sign 1 gives its forward heading."""
+    whole = chains.groupBy("chain_id").agg(F.max("cum_m").alias("end_m"))
+    f = found.select("id", "chain_id", "s_m", "off_m").join(whole, "chain_id")
+    f = f.select("id", "chain_id", "off_m", F.greatest(F.col("s_m") - span, F.lit(0.0)).alias("a"), F.least(F.col("s_m") + span, F.col("end_m")).alias("b"))
+    ends = f.select("id", "chain_id", "off_m", F.explode(F.array("a", "b")).alias("cut_m"))
+    cut = point_at(ends, chains, "cut_m").select("id", "chain_id", "off_m", F.col("cut_m").alias("s_m"), F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon"))
+    inner = f.join(chains.select("chain_id", "cum_m", "lat", "lon"), "chain_id").filter("cum_m > a and cum_m < b")
+    return inner.select("id", "chain_id", "off_m", F.col("cum_m").alias("s_m"), "lat", "lon").unionByName(cut).dropDuplicates(["id", "chain_id", "s_m"])
+
+
 def heading_at(places: DataFrame, chains: DataFrame, reach: float = 400.0) -> DataFrame:
     """Heading of the chord around each place, turned round for sign -1 (``id``, ``chain_id``, ``s_m``, ``sign``)."""
     a = point_at(places.withColumn("s_a", F.col("s_m") - reach), chains, "s_a").withColumnsRenamed({"at_lat": "la", "at_lon": "oa"})

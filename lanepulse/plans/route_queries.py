@@ -206,6 +206,19 @@ def r19(spark, d):
     return R.route_lines(_chains(spark, d).withColumn("route", F.col("chain_id")).withColumn("road_type", F.lit("its")))
 
 
+@query("r20_line_near", _PROJECT + """, f AS (SELECT id, p.chain_id, off_m, greatest(s_m - 60000, 0) AS a, least(s_m + 60000, length_m) AS b FROM proj p JOIN (SELECT chain_id, max(cum_m) AS length_m FROM ch GROUP BY 1) l ON l.chain_id = p.chain_id WHERE off_m <= 3000),
+  e AS (SELECT id, chain_id, off_m, unnest([a, b]) AS s_m FROM f)
+  SELECT id, chain_id, round(off_m, 3) AS off_m, round(s_m, 3) AS s_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM (
+  SELECT f.id, f.chain_id, off_m, cum_m AS s_m, lat, lon FROM f JOIN ch ON ch.chain_id = f.chain_id AND cum_m > a AND cum_m < b
+  UNION SELECT e.id, e.chain_id, off_m, s_m, lat + (s_m - cum_m) / (cum2 - cum_m) * (lat2 - lat), lon + (s_m - cum_m) / (cum2 - cum_m) * (lon2 - lon)
+  FROM e JOIN seg s ON e.chain_id = s.chain_id AND s_m >= cum_m AND (s_m < cum2 OR (s_m = length_m AND cum2 = length_m)))""")
+def r20(spark, d):
+    chains = _chains(spark, d)
+    found = R.find_chain(_projected(spark, d), chains.withColumn("road_type", F.lit("its")), F.lit("its"))
+    out = R.line_near(found, chains, 60_000.0)
+    return out.select("id", "chain_id", *(F.round(c, n).alias(c) for c, n in (("off_m", 3), ("s_m", 3), ("lat", 7), ("lon", 7))))
+
+
 @query("r21_offset_line", _CHAIN + """, o AS (SELECT chain_id, seq, lat, lon, (coalesce(lead(lon) OVER w, lon) - coalesce(lag(lon) OVER w, lon)) * cos(radians(lat)) * 111320.0::DOUBLE AS dx,
     (coalesce(lead(lat) OVER w, lat) - coalesce(lag(lat) OVER w, lat)) * 110540.0::DOUBLE AS dy FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY seq))
   SELECT chain_id, seq, round(lat - CASE WHEN dx * dx + dy * dy > 0 THEN dx / sqrt(dx * dx + dy * dy) * 30 / (110540.0::DOUBLE) ELSE 0 END, 8) AS lat,
