@@ -177,9 +177,9 @@ def trend(live: DataFrame, recent: DataFrame) -> DataFrame:
     return rows.select("camera_id", diff.alias("diff"), F.when(F.abs(diff) < 0.01, "flat").when(diff > 0, "up").otherwise("down").alias("trend"))
 
 
-def history_wide(series: DataFrame, names: list[str]) -> DataFrame:
-    """Several histories side by side: one row per bucket, one column per series."""
-    return series.groupBy("bucket").pivot("series", names).agg(F.first("occupancy"))
+def history_wide(series: DataFrame, names: list[str], *keys: str) -> DataFrame:
+    """Several histories side by side: one row per key and bucket, one column per series."""
+    return series.groupBy(*keys, "bucket").pivot("series", names).agg(F.first("occupancy"))
 
 
 def group_series(line: DataFrame, cameras: DataFrame, by: str, top: list[str] | DataFrame) -> DataFrame:

@@ -76,11 +76,11 @@ def chain_distance(chains: DataFrame) -> DataFrame:
 
 
 def segments(chains: DataFrame) -> DataFrame:
-    """Consecutive points of each chain; a single point is a segment of no length."""
+    """Consecutive points of each chain; points of one place make one segment of no length."""
     w = W.partitionBy("chain_id").orderBy("seq")
     nxt = lambda c: F.coalesce(F.lead(c).over(w), F.col(c))
-    rows = chains.select("chain_id", "seq", "lat", "lon", "cum_m", nxt("lat").alias("lat2"), nxt("lon").alias("lon2"), nxt("cum_m").alias("cum2"), F.count("*").over(W.partitionBy("chain_id")).alias("n"))
-    return rows.filter("n = 1 OR cum2 > cum_m").drop("n")
+    rows = chains.select("chain_id", "seq", "lat", "lon", "cum_m", nxt("lat").alias("lat2"), nxt("lon").alias("lon2"), nxt("cum_m").alias("cum2"), F.lag("seq").over(w).isNull().alias("first"), F.max("cum_m").over(W.partitionBy("chain_id")).alias("whole"))
+    return rows.filter("cum2 > cum_m OR (first AND whole = 0)").drop("first", "whole")
 
 
 def project(points: DataFrame, chains: DataFrame) -> DataFrame:

@@ -238,11 +238,11 @@ def x2(spark, d):
     return D.class_weights(D.class_counts(manifest(spark, d)))
 
 
-_F = "f AS (SELECT l_suppkey AS clip, l_orderkey * 10 + l_linenumber AS image_id, l_orderkey AS frame, l_quantity AS score, l_partkey % 40 = 0 AS held FROM lineitem WHERE l_linenumber <= 7)"
+_F = "f AS (SELECT l_suppkey AS clip, l_orderkey * 10 + l_linenumber AS image_id, l_orderkey AS frame, l_quantity AS score, l_partkey % 40 = 0 AS held FROM lineitem)"
 
 
 def _clips(spark, d):
-    return read(spark, d, "lineitem").filter("l_linenumber <= 7").selectExpr("l_suppkey AS clip", "l_orderkey * 10 + l_linenumber AS image_id", "l_orderkey AS frame", "l_quantity AS score", "l_partkey % 40 = 0 AS held").dropDuplicates(["clip", "image_id"])
+    return read(spark, d, "lineitem").selectExpr("l_suppkey AS clip", "l_orderkey * 10 + l_linenumber AS image_id", "l_orderkey AS frame", "l_quantity AS score", "l_partkey % 40 = 0 AS held").dropDuplicates(["clip", "image_id"])
 
 
 @query("x3_even_pick")

@@ -164,11 +164,11 @@ def m11(spark, d):
     return M.trend(_live(spark, d), M.camera_means(M.since(samples(spark, d), WEEK)))
 
 
-@query("m12_history_wide", with_sql("samples") + """, h AS (SELECT direction_index, floor(t / 86400) * 86400 AS bucket, round(avg(occupancy), 10) AS o FROM samples WHERE camera_id = 1 GROUP BY ALL)
-  SELECT bucket, max(o) FILTER (direction_index = 0) AS d0, max(o) FILTER (direction_index = 1) AS d1, max(o) FILTER (direction_index = 2) AS d2 FROM h GROUP BY bucket""")
+@query("m12_history_wide", with_sql("samples") + """, h AS (SELECT camera_id, direction_index, floor(t / 86400) * 86400 AS bucket, round(avg(occupancy), 10) AS o FROM samples GROUP BY ALL)
+  SELECT camera_id, bucket, max(o) FILTER (direction_index = 0) AS d0, max(o) FILTER (direction_index = 1) AS d1, max(o) FILTER (direction_index = 2) AS d2 FROM h GROUP BY camera_id, bucket""")
 def m12(spark, d):
-    h = samples(spark, d).filter("camera_id = 1").groupBy("direction_index", M.bucket("t", 86400).alias("bucket")).agg(F.round(F.avg("occupancy"), 10).alias("occupancy"))
-    return M.history_wide(h.withColumn("series", F.concat(F.lit("d"), F.col("direction_index").cast("string"))), ["d0", "d1", "d2"])
+    h = samples(spark, d).groupBy("camera_id", "direction_index", M.bucket("t", 86400).alias("bucket")).agg(F.round(F.avg("occupancy"), 10).alias("occupancy"))
+    return M.history_wide(h.withColumn("series", F.concat(F.lit("d"), F.col("direction_index").cast("string"))), ["d0", "d1", "d2"], "camera_id")
 
 
 @query("m13_group_series", with_sql("samples", "cameras") + f""", {_MEANS},

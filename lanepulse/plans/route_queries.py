@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import geo
 from ..functions.levels import level
@@ -74,30 +75,47 @@ def r4(spark, d):
     return rows.select("id", "index", F.round(lat, 9).alias("lat"), F.round(lon, 9).alias("lon"))
 
 
+#: The line a camera stands on: route, region and a run of ids, so that lines grow in number, not in length.
+_LINE_SQL = ", lines AS (SELECT *, concat(route, '/', region, '/', id // 1500) AS line, lat + 0.01::DOUBLE * (id % 9 - 4) AS plat, lon + 0.003::DOUBLE * (id % 7 - 3) AS plon FROM cameras)"
+
+
+def _lines(spark, d):
+    """Cameras with their line, and a place beside it."""
+    return cameras(spark, d).selectExpr("*", "concat(route, '/', region, '/', id div 1500) AS line", "lat + 0.01D * (id % 9 - 4) AS plat", "lon + 0.003D * (id % 7 - 3) AS plon")
+
+
 @query("r5_r6_build_chains")
 def r56(spark, d):
-    return R.build_chains(cameras(spark, d).filter("id % 10 = 0").selectExpr("route", "id AS ord", "lat", "lon"))
+    return R.build_chains(_lines(spark, d).selectExpr("line AS route", "id AS ord", "lat", "lon"))
 
 
-_CHAIN = with_sql("cameras") + f""", pts AS (SELECT route AS chain_id, CAST(row_number() OVER (PARTITION BY route ORDER BY lat, id) - 1 AS INT) AS seq, lat, lon FROM cameras WHERE id % 10 = 0),
+_CHAIN = with_sql("cameras") + _LINE_SQL + f""", pts AS (SELECT line AS chain_id, CAST(row_number() OVER (PARTITION BY line ORDER BY lat, id) - 1 AS INT) AS seq, lat, lon FROM lines),
   stp AS (SELECT *, coalesce({hav_sql('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')}, 0) AS step FROM pts WINDOW w AS (PARTITION BY chain_id ORDER BY seq)),
   ch AS (SELECT chain_id, seq, lat, lon, sum(step) OVER (PARTITION BY chain_id ORDER BY seq) AS cum_m FROM stp),
-  sg AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(cum_m) OVER w AS cum2, max(cum_m) OVER (PARTITION BY chain_id) AS length_m FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY seq)),
-  seg AS (SELECT * FROM sg WHERE cum2 > cum_m)"""
+  sg AS (SELECT *, coalesce(lead(lat) OVER w, lat) AS lat2, coalesce(lead(lon) OVER w, lon) AS lon2, coalesce(lead(cum_m) OVER w, cum_m) AS cum2, max(cum_m) OVER (PARTITION BY chain_id) AS length_m FROM ch WINDOW w AS (PARTITION BY chain_id ORDER BY seq)),
+  seg AS (SELECT * FROM sg WHERE cum2 > cum_m OR length_m = 0 AND seq = 0)"""
 
 
 def _chains(spark, d):
-    pts = cameras(spark, d).filter("id % 10 = 0").selectExpr("route AS chain_id", "CAST(row_number() OVER (PARTITION BY route ORDER BY lat, id) - 1 AS INT) AS seq", "lat", "lon")
+    pts = _lines(spark, d).selectExpr("line AS chain_id", "CAST(row_number() OVER (PARTITION BY line ORDER BY lat, id) - 1 AS INT) AS seq", "lat", "lon")
     return R.chain_distance(pts)
 
 
+def _at_sql(rows: str, s: str, name: str) -> str:
+    """SQL: the point of each row of ``rows`` at the distance ``s`` along its chain, as ``name`` lat and lon."""
+    at = f"least(greatest({s}, 0), length_m)"
+    h = f"CASE WHEN cum2 > cum_m THEN ({at} - cum_m) / (cum2 - cum_m) ELSE 0 END"
+    return f"""(SELECT r.*, lat + {h} * (lat2 - lat) AS {name}_lat, lon + {h} * (lon2 - lon) AS {name}_lon FROM {rows} r JOIN seg ON r.chain_id = seg.chain_id
+    WHERE {at} >= cum_m AND ({at} < cum2 OR ({at} = length_m AND cum2 = length_m)))"""
+
+
 @query("r7_chain_distance", _CHAIN + " SELECT chain_id, seq, round(cum_m, 4) AS cum_m FROM ch")
 def r7(spark, d):
     return _chains(spark, d).select("chain_id", "seq", F.round("cum_m", 4).alias("cum_m"))
 
 
-_PROJECT = _CHAIN + """, pj AS (SELECT id, s.chain_id, seq, cum_m, cum2, lat - plat AS y0, lat2 - plat AS y1, lon - plon AS x0, lon2 - plon AS x1, cos(radians(plat)) * 111320.0::DOUBLE AS kx, 110540.0::DOUBLE AS ky
-    FROM seg s JOIN (SELECT id, route, lat AS plat, lon AS plon FROM cameras) c ON c.route = s.chain_id),
+_PROJECT = _CHAIN + """, pj AS (SELECT id, s.chain_id, seq, cum_m, cum2, s.lat - plat AS y0, lat2 - plat AS y1, s.lon - plon AS x0, lon2 - plon AS x1, cos(radians(plat)) * 111320.0::DOUBLE AS kx, 110540.0::DOUBLE AS ky
+    FROM seg s JOIN lines c ON c.line = s.chain_id),
   q AS (SELECT *, x0 * kx AS ax, y0 * ky AS ay, x1 * kx - x0 * kx AS dx, y1 * ky - y0 * ky AS dy FROM pj),
   u AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0 END AS h FROM q),
   z AS (SELECT *, round(sqrt(pow(ax + h * dx, 2) + pow(ay + h * dy, 2)), 6) AS off_m, round(cum_m + h * (cum2 - cum_m), 6) AS s_m FROM u),
@@ -105,7 +123,7 @@ _PROJECT = _CHAIN + """, pj AS (SELECT id, s.chain_id, seq, cum_m, cum2, lat - p
 
 
 def _projected(spark, d):
-    points = cameras(spark, d).selectExpr("id", "route AS chain_id", "lat AS plat", "lon AS plon")
+    points = _lines(spark, d).selectExpr("id", "line AS chain_id", "plat", "plon")
     return R.project(points, _chains(spark, d))
 
 
@@ -114,12 +132,10 @@ def r8(spark, d):
     return _projected(spark, d).select("id", "chain_id", F.round("s_m", 3).alias("s_m"), F.round("off_m", 3).alias("off_m"))
 
 
-@query("r9_point_at", _CHAIN + """, pl AS (SELECT id, route AS chain_id, (id % 40) * 10000.0::DOUBLE AS s_m FROM cameras)
-  SELECT id, p.chain_id, round(lat + h * (lat2 - lat), 8) AS at_lat, round(lon + h * (lon2 - lon), 8) AS at_lon FROM (
-  SELECT p.id, s.*, (least(s_m, length_m) - cum_m) / (cum2 - cum_m) AS h FROM pl p JOIN seg s ON p.chain_id = s.chain_id
-  WHERE least(s_m, length_m) >= cum_m AND (least(s_m, length_m) < cum2 OR (least(s_m, length_m) = length_m AND cum2 = length_m))) p""")
+@query("r9_point_at", _CHAIN + f""", pl AS (SELECT id, line AS chain_id, (id % 40) * 10000.0::DOUBLE AS s_m FROM lines)
+  SELECT id, chain_id, round(at_lat, 8) AS at_lat, round(at_lon, 8) AS at_lon FROM {_at_sql('pl', 's_m', 'at')}""")
 def r9(spark, d):
-    places = cameras(spark, d).selectExpr("id", "route AS chain_id", "(id % 40) * 10000D AS s_m")
+    places = _lines(spark, d).selectExpr("id", "line AS chain_id", "(id % 40) * 10000D AS s_m")
     return R.point_at(places, _chains(spark, d)).select("id", "chain_id", F.round("at_lat", 8).alias("at_lat"), F.round("at_lon", 8).alias("at_lon"))
 
 
@@ -132,27 +148,30 @@ def r10(spark, d):
     return R.slice_chain(_chains(spark, d), 30_000, 250_000).select("chain_id", F.round("s_m", 3).alias("s_m"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
 
 
-@query("r11_heading_at")
+@query("r11_heading_at", _PROJECT + f""", pl AS (SELECT id, chain_id, s_m, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS sign FROM proj)
+  SELECT id, chain_id, sign, round(({bearing_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} + CASE WHEN sign < 0 THEN 180 ELSE 0 END) % 360, 5) AS heading
+  FROM {_at_sql(_at_sql('pl', 's_m - 400', 'a'), 's_m + 400', 'b')}""")
 def r11(spark, d):
     places = _projected(spark, d).select("id", "chain_id", "s_m").withColumn("sign", F.when(F.col("id") % 2 == 0, 1).otherwise(-1))
     return R.heading_at(places, _chains(spark, d)).select("id", "chain_id", "sign", F.round("heading", 5).alias("heading"))
 
 
-@query("r12_find_chain", _PROJECT + """ SELECT id, chain_id, round(off_m, 3) AS off_m, CASE chain_id WHEN 'BUILDING' THEN 'ex' ELSE 'its' END AS road_type FROM proj WHERE off_m <= 3000""")
+@query("r12_find_chain", _PROJECT + """ SELECT id, chain_id, round(off_m, 3) AS off_m, CASE WHEN chain_id LIKE 'BUILDING/%' THEN 'ex' ELSE 'its' END AS road_type FROM proj WHERE off_m <= 3000""")
 def r12(spark, d):
-    chains = _chains(spark, d).withColumn("road_type", F.when(F.col("chain_id") == "BUILDING", "ex").otherwise("its"))
+    chains = _chains(spark, d).withColumn("road_type", F.when(F.col("chain_id").startswith("BUILDING/"), "ex").otherwise("its"))
     return R.find_chain(_projected(spark, d), chains, F.lit("its")).select("id", "chain_id", F.round("off_m", 3).alias("off_m"), "road_type")
 
 
-_RESOLVE = _PROJECT + """, pr AS (SELECT a.id, a.s_m AS camera_s, b.s_m AS dest_s, b.off_m AS dest_off, l.length_m FROM proj a LEFT JOIN proj b ON b.id = a.id + 5 AND a.chain_id = b.chain_id
+_RESOLVE = _PROJECT + """, pr AS (SELECT a.id, a.s_m AS camera_s, b.s_m AS dest_s, b.off_m AS dest_off, l.length_m FROM (SELECT *, lead(id) OVER (PARTITION BY chain_id ORDER BY id) AS dest FROM proj) a LEFT JOIN proj b ON b.id = a.dest AND a.chain_id = b.chain_id
     JOIN (SELECT chain_id, max(cum_m) AS length_m FROM ch GROUP BY 1) l ON l.chain_id = a.chain_id)"""
 
 
 def _resolved(spark, d):
     p = _projected(spark, d)
     length = _chains(spark, d).groupBy("chain_id").agg(F.max("cum_m").alias("length_m"))
-    b = p.select((F.col("id") - 5).alias("id"), "chain_id", F.col("s_m").alias("dest_s"), F.col("off_m").alias("dest_off"))
-    return R.resolve_sign(p.select("id", "chain_id", F.col("s_m").alias("camera_s")).join(b, ["id", "chain_id"], "left").join(length, "chain_id"))
+    nxt = W.partitionBy("chain_id").orderBy("id")
+    pairs = p.select("id", "chain_id", F.col("s_m").alias("camera_s"), F.lead("s_m").over(nxt).alias("dest_s"), F.lead("off_m").over(nxt).alias("dest_off"))
+    return R.resolve_sign(pairs.join(length, "chain_id"))
 
 
 @query("r13_resolve", _RESOLVE + """ SELECT id, CASE WHEN near AND beyond AND dest_s <= length_m / 2 THEN -1 WHEN near AND beyond THEN 1 WHEN NOT near THEN CAST(sign(dest_s - camera_s) AS INT) END AS sign,
@@ -210,8 +229,8 @@ def r19(spark, d):
   e AS (SELECT id, chain_id, off_m, unnest([a, b]) AS s_m FROM f)
   SELECT id, chain_id, round(off_m, 3) AS off_m, round(s_m, 3) AS s_m, round(lat, 7) AS lat, round(lon, 7) AS lon FROM (
   SELECT f.id, f.chain_id, off_m, cum_m AS s_m, lat, lon FROM f JOIN ch ON ch.chain_id = f.chain_id AND cum_m > a AND cum_m < b
-  UNION SELECT e.id, e.chain_id, off_m, s_m, lat + (s_m - cum_m) / (cum2 - cum_m) * (lat2 - lat), lon + (s_m - cum_m) / (cum2 - cum_m) * (lon2 - lon)
-  FROM e JOIN seg s ON e.chain_id = s.chain_id AND s_m >= cum_m AND (s_m < cum2 OR (s_m = length_m AND cum2 = length_m)))""")
+  UNION SELECT e.id, e.chain_id, off_m, s_m, lat + h * (lat2 - lat), lon + h * (lon2 - lon)
+  FROM (SELECT e.*, s.* EXCLUDE (chain_id), CASE WHEN cum2 > cum_m THEN (s_m - cum_m) / (cum2 - cum_m) ELSE 0 END AS h FROM e JOIN seg s ON e.chain_id = s.chain_id AND s_m >= cum_m AND (s_m < cum2 OR (s_m = length_m AND cum2 = length_m))) e)""")
 def r20(spark, d):
     chains = _chains(spark, d)
     found = R.find_chain(_projected(spark, d), chains.withColumn("road_type", F.lit("its")), F.lit("its"))
