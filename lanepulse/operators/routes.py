@@ -214,18 +214,20 @@ def offset_line(chains: DataFrame, metres: float) -> DataFrame:
     return chains.select("chain_id", "seq", (F.col("lat") + move(-dx, ky)).alias("lat"), (F.col("lon") + move(dy, kx)).alias("lon"))
 
 
-def neighbours(cameras: DataFrame, k: int, box_deg: float, same_route: bool = True) -> DataFrame:
-    """The ``k`` nearest other cameras within a box, by grid cells."""
+def neighbours(cameras: DataFrame, k: int, box_deg: float) -> DataFrame:
+    """The ``k`` nearest cameras elsewhere in a box, by grid cells: those of the same route, or of any
+    route where there are none. Distances count degrees of longitude by the cosine of the latitude."""
     cell = lambda c: F.floor(F.col(c) / box_deg)
     around = F.sequence(F.lit(-1), F.lit(1))
     a = cameras.select("id", "route", "lat", "lon").withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
     a = a.select("id", "route", "lat", "lon", (cell("lat") + F.col("i")).alias("cy"), (cell("lon") + F.col("j")).alias("cx"))
     b = cameras.select(F.col("id").alias("other"), F.col("route").alias("r2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), cell("lat").alias("cy"), cell("lon").alias("cx"))
-    rows = a.join(b, ["cy", "cx"]).filter("id <> other").filter(F.abs(F.col("lat2") - F.col("lat")) <= box_deg).filter(F.abs(F.col("lon2") - F.col("lon")) <= box_deg)
-    rows = rows.filter("route = r2") if same_route else rows
-    d2 = F.round(F.pow(F.col("lat2") - F.col("lat"), 2) + F.pow(F.col("lon2") - F.col("lon"), 2), 12)
+    rows = a.join(b, ["cy", "cx"]).filter(F.abs(F.col("lat2") - F.col("lat")) <= box_deg).filter(F.abs(F.col("lon2") - F.col("lon")) <= box_deg)
+    d2 = F.round(F.pow(F.col("lat2") - F.col("lat"), 2) + F.pow((F.col("lon2") - F.col("lon")) * F.cos(F.radians("lat")), 2), 12)
+    rows = rows.withColumn("d2", d2).filter("d2 > 1e-10").withColumn("other_route", F.coalesce((F.col("route") != F.col("r2")).cast("int"), F.lit(1)))
+    rows = rows.withColumn("best", F.min("other_route").over(W.partitionBy("id"))).filter("other_route = best")
     w = W.partitionBy("id").orderBy("d2", "other")
-    return rows.withColumn("d2", d2).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("id", "other", "lat", "lon", "lat2", "lon2", "d2")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("id", "other", "lat", "lon", "lat2", "lon2", "d2")
 
 
 def suggest_axis(near: DataFrame) -> DataFrame:

@@ -246,9 +246,11 @@ def r21(spark, d):
     return R.offset_line(_chains(spark, d), 30.0).select("chain_id", "seq", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"))
 
 
-_NEAR = with_sql("cameras") + """, nr AS (SELECT * FROM (SELECT a.id, b.id AS other, a.lat, a.lon, b.lat AS lat2, b.lon AS lon2, round(pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2), 12) AS d2,
-    row_number() OVER (PARTITION BY a.id ORDER BY round(pow(b.lat - a.lat, 2) + pow(b.lon - a.lon, 2), 12), b.id) AS place
-    FROM cameras a JOIN cameras b ON a.id <> b.id AND a.route = b.route AND abs(b.lat - a.lat) <= 0.3 AND abs(b.lon - a.lon) <= 0.3) WHERE place <= 4)"""
+_NEAR = with_sql("cameras") + """, bx AS (SELECT a.id, b.id AS other, a.lat, a.lon, b.lat AS lat2, b.lon AS lon2, CASE WHEN a.route = b.route THEN 0 ELSE 1 END AS other_route,
+    round(pow(b.lat - a.lat, 2) + pow((b.lon - a.lon) * cos(radians(a.lat)), 2), 12) AS d2
+    FROM cameras a JOIN cameras b ON abs(b.lat - a.lat) <= 0.3 AND abs(b.lon - a.lon) <= 0.3),
+  pool AS (SELECT * FROM (SELECT *, min(other_route) OVER (PARTITION BY id) AS best FROM bx WHERE d2 > 1e-10) WHERE other_route = best),
+  nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS place FROM pool) WHERE place <= 4)"""
 
 
 @query("r22_suggest_axis", _NEAR + """, xy AS (SELECT id, (lon2 - lon) * cos(radians(lat)) * 111320.0::DOUBLE AS x, (lat2 - lat) * 110540.0::DOUBLE AS y FROM nr),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +15,17 @@ from ..functions.levels import level
 KST = "Asia/Seoul"
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a local
+    session without that setting uses a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-lanepulse-")
+    return f"{root.rstrip('/')}/lanepulse/{name}-{uuid.uuid4().hex}"
+
+
 def read_manifest(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A manifest CSV with every column a string, blanks kept as empty, a byte-order mark dropped.
 
@@ -23,9 +37,9 @@ def read_manifest(spark: SparkSession, path: str, columns: list[str] | None = No
     return rows.na.fill("")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """One row per label line: image id from the file name, line number from 1, tokens."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("image_id"), "value")
+def read_labels(spark: SparkSession, path: str, name: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+    """One row per label line: image id from the file's path by the pattern ``name``, line number from 1, tokens."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), name, 1).alias("image_id"), "value")
     lines = files.select("image_id", F.posexplode(F.split("value", "\n")).alias("at", "line"))
     return lines.filter(F.trim("line") != "").select("image_id", (F.col("at") + 1).alias("line_no"), F.split(F.trim("line"), r"\s+").alias("tokens"))
 
@@ -109,7 +123,16 @@ def append_samples(samples: DataFrame, path: str) -> None:
 
 def replace_file_samples(samples: DataFrame, path: str) -> None:
     """Replace the samples of the cameras that occur in ``samples``; others stay."""
-    samples.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("camera_id").parquet(path)
+    rows = samples.repartition("camera_id")  # one file a camera
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("camera_id").parquet(path)
+
+
+def delete_samples(samples: DataFrame, cameras: DataFrame, source: str | None = None) -> DataFrame:
+    """Samples without those of the given cameras, or without their rows of one source."""
+    gone = cameras.select("camera_id").distinct()
+    if source is None:
+        return samples.join(gone, "camera_id", "left_anti")
+    return samples.join(gone.withColumn("source", F.lit(source)), ["camera_id", "source"], "left_anti")
 
 
 def purge_unmeasured(samples: DataFrame) -> DataFrame:
@@ -148,6 +171,14 @@ def group_table(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("group_id", "label").pivot("direction_name", names).agg(F.first("occupancy"))
 
 
+def write_manifest(parts: list[DataFrame], path: str, key: str = "image_id") -> None:
+    """Manifests whose columns differ, as one CSV with the union of their columns, sorted by ``key``."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    write_csv(rows.na.fill("").orderBy(key), path)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     """Report rows as JSON documents."""
     rows.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
