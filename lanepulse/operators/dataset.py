@@ -57,22 +57,23 @@ def frames_per_clip(rows: DataFrame) -> DataFrame:
 
 
 def group_stats(rows: DataFrame, by: str) -> DataFrame:
-    """The table of metrics per value of a column; null values are a group."""
+    """The table of metrics per value of a column; null values are a group. Class shares are null where there are no objects."""
     n = sum((F.col(f"n_{c}") for c in CLASSES), F.lit(0))
     rows = rows.withColumn("n_objects", n)
     out = rows.groupBy(F.col(by).alias("value")).agg(
         F.count("*").alias("images"), F.count_distinct("clip").alias("clips"), F.count_distinct("camera").alias("cameras"), F.sum("n_objects").cast("long").alias("objects"),
-        *(F.round(F.sum(f"n_{c}") / F.sum("n_objects"), 10).alias(f"{c}_share") for c in CLASSES),
+        *(F.round(F.try_divide(F.sum(f"n_{c}"), F.sum("n_objects")), 10).alias(f"{c}_share") for c in CLASSES),
         F.round(F.avg("n_objects"), 10).alias("mean"), F.round(F.percentile("n_objects", 0.5), 10).alias("median"), F.max("n_objects").cast("long").alias("max"),
         F.round(F.avg((F.col("n_objects") == 0).cast("int")), 10).alias("empty"),
     )
-    return out.withColumn("share", F.round(F.col("images") / F.sum("images").over(W.partitionBy()), 10))  # one row per value
+    whole = out.agg(F.sum("images").alias("of_all"))  # one row
+    return out.join(F.broadcast(whole)).withColumn("share", F.round(F.col("images") / F.col("of_all"), 10)).drop("of_all")
 
 
 def class_by_attr(rows: DataFrame, attribute: str) -> DataFrame:
     per = rows.groupBy(F.col(attribute).alias("value")).agg(*(F.sum(f"n_{c}").alias(c) for c in CLASSES))
     total = sum((F.col(c) for c in CLASSES), F.lit(0))
-    return per.select("value", *(F.round(F.col(c) / total, 10).alias(c) for c in CLASSES))
+    return per.select("value", *(F.round(F.try_divide(F.col(c), total), 10).alias(c) for c in CLASSES))
 
 
 def camera_stats(rows: DataFrame) -> DataFrame:
@@ -262,3 +263,114 @@ def integrity(labels: DataFrame, images: DataFrame, classes: int) -> DataFrame:
     lone = labels.select("image_id").distinct().join(images, "image_id", "left_anti").select("image_id", F.lit("orphan_label").alias("kind"))
     bare = images.select("image_id").distinct().join(labels, "image_id", "left_anti").select("image_id", F.lit("missing_label").alias("kind"))
     return bad.unionByName(lone).unionByName(bare).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"))
+
+
+#: The order in which values of an attribute are shown; others follow by name.
+VALUE_ORDER = {
+    "weekday": ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN"),
+    "day_night": ("day", "twilight", "night"),
+    "road_form": ("general", "bridge", "tunnel", "overpass", "shelter"),
+    "weather": ("sunny", "rainy", "fog", "snow", "tunnel"),
+    "difficulty": ("easy", "hard"),
+}
+
+
+def attr_stats(rows: DataFrame, attribute: str) -> DataFrame:
+    """:func:`group_stats` of an attribute with each value's place: by images for sites and cameras,
+    by metres for heights, in a fixed order where there is one, else by value."""
+    out = group_stats(rows, attribute)
+    if attribute in ("site", "camera"):
+        first = -F.col("images")
+    elif attribute == "cam_height":
+        first = F.coalesce(F.rtrim("value", F.lit("m")).try_cast("double"), F.lit(0.0))
+    else:
+        known = F.array(*map(F.lit, VALUE_ORDER.get(attribute, ("",))))
+        first = F.coalesce(F.nullif(F.array_position(known, F.col("value")), F.lit(0)), F.lit(len(VALUE_ORDER.get(attribute, ())) + 1))
+    return out.withColumn("place", F.row_number().over(W.orderBy(first, "value")))  # one row per value of the attribute
+
+
+def clip_stats(rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """:func:`group_stats` per clip, with the clip's attributes (the least value of each)."""
+    info = rows.groupBy(F.col("clip").alias("value")).agg(*(F.min(a).alias(a) for a in attributes))
+    return group_stats(rows, "clip").drop("clips", "cameras").join(info, "value").withColumnRenamed("value", "clip")
+
+
+def polygon_table(polygons: DataFrame, imgsz: int) -> DataFrame:
+    """Areas of polygons (image_id, line_no, cls, points as shares of the image, width, height): as a
+    share of the image, in its pixels, and in pixels at the training size of the longer side."""
+    from .manifest import polygon_area_centroid
+
+    rows = polygons.withColumn("area_norm", polygon_area_centroid(F.col("points"))["area"])
+    px = F.col("area_norm") * F.col("width") * F.col("height")
+    scale = F.lit(float(imgsz)) / F.greatest("width", "height")
+    return rows.select("image_id", "line_no", "cls", F.size("points").alias("n_vertices"), "area_norm", px.alias("area_px"), (px * scale * scale).alias("area_train_px"))
+
+
+def class_stats(rows: DataFrame, polygons: DataFrame, small: float = 32**2, medium: float = 96**2) -> DataFrame:
+    """The class table: objects and their share, images, clips and cameras with the class, objects an
+    image, imbalance against cars, sizes and vertices. ``polygons`` has cls (name) and the columns of
+    :func:`polygon_table`; a class without polygons has zero objects and null sizes."""
+    long = rows.unpivot(["clip", "camera"], [f"n_{c}" for c in CLASSES], "cls", "n").withColumn("cls", F.substring_index("cls", "_", -1))
+    holds = lambda c: F.count_distinct(F.when(F.col("n") > 0, F.col(c))).alias(f"{c}s_with")
+    per = long.groupBy("cls").agg(
+        F.count_if(F.col("n") > 0).alias("images_with"), F.round(F.avg((F.col("n") > 0).cast("int")), 10).alias("images_share"), holds("clip"), holds("camera"),
+        F.round(F.avg("n"), 10).alias("per_image_mean"), F.max("n").cast("long").alias("per_image_max"),
+    )
+    a = F.col("area_train_px")
+    share = lambda c, n: F.round(F.avg(c.cast("int")), 10).alias(n)
+    sizes = polygons.groupBy("cls").agg(
+        F.count("*").alias("k"), share(a < small, "small"), share((a >= small) & (a < medium), "medium"), share(a >= medium, "large"),
+        F.round(F.percentile("area_norm", 0.5), 8).alias("area_median"), F.round(F.percentile("area_px", 0.5), 6).alias("area_median_px"),
+        F.percentile("n_vertices", 0.5).alias("vertices_median"), F.max("n_vertices").cast("long").alias("vertices_max"),
+    )
+    out = per.join(F.broadcast(sizes), "cls", "left").withColumn("objects", F.coalesce("k", F.lit(0))).drop("k")  # a row per class
+    w = W.partitionBy()  # three rows
+    cars = F.max(F.when(F.col("cls") == "car", F.col("objects"))).over(w)
+    total = F.greatest(F.sum("objects").over(w), F.lit(1))
+    return out.withColumn("object_share", F.round(F.col("objects") / total, 10)).withColumn("imbalance", F.round(cars / F.greatest("objects", F.lit(1)), 8))
+
+
+def brightness_summary(rows: DataFrame, darkest: int = 5) -> DataFrame:
+    """Median brightness per phase of day and per weather, and the clips of the least mean brightness."""
+    entry = lambda k: F.struct(F.lit(k).alias("kind"), F.col(k).alias("value"))
+    long = rows.select("brightness", F.inline(F.array(entry("day_night"), entry("weather")))).filter("value <> ''")
+    medians = long.groupBy("kind", "value").agg(F.count("*").alias("n"), F.round(F.percentile("brightness", 0.5), 6).alias("brightness"))
+    clips = rows.groupBy("clip").agg(F.count("*").alias("n"), F.round(F.avg("brightness"), 6).alias("brightness"))
+    dark = clips.orderBy("brightness", "clip").limit(darkest)
+    return medians.unionByName(dark.select(F.lit("clip").alias("kind"), F.col("clip").alias("value"), "n", "brightness"))
+
+
+def quality_stats(rows: DataFrame) -> DataFrame:
+    """Images and cameras per resolution and orientation; over all also the median file size, the
+    total and the ratio to the source files, by grouping sets."""
+    kb = F.col("jpg_bytes") / 1024
+    out = rows.groupingSets([["resolution"], ["orientation"], []], "resolution", "orientation").agg(
+        F.grouping_id().alias("g"), F.count("*").alias("images"), F.count_distinct("camera").alias("cameras"), F.round(F.percentile(kb, 0.5), 4).alias("median_kb"),
+        F.round(F.sum(kb) / 1024**2, 8).alias("total_gb"), F.round(F.sum("jpg_bytes") / F.sum("src_bytes"), 8).alias("ratio"),
+    )
+    kind = F.when(F.col("g") == 1, "resolution").when(F.col("g") == 2, "orientation").otherwise("all")
+    return out.select(kind.alias("kind"), F.coalesce("resolution", "orientation", F.lit("")).alias("value"), "images", "cameras", "median_kb", "total_gb", "ratio")
+
+
+def _draw(seed: int, salt: str, below: Column) -> Column:
+    """A whole number from 0 to below - 1 that depends on the clip and the seed alone."""
+    text = F.concat_ws("|", F.col("clip").cast("string"), F.lit(str(seed)), F.lit(salt))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), below)
+
+
+def place_blocks(clips: DataFrame, seed: int) -> DataFrame:
+    """Runs of frames within each clip (``clip``, ``n_frames``, ``quota_a``, ``quota_b``): one run lies
+    anywhere; with a ``quota_b`` one lies in the front and one in the back half of what is left over,
+    either first. Quotas beyond the clip are cut, the larger first. Ends are exclusive."""
+    n = F.col("n_frames")
+    qa, qb = F.greatest("quota_a", F.lit(0)), F.when(F.col("quota_b").isNotNull(), F.greatest("quota_b", F.lit(0)))
+    over, apart = qa + qb - n, F.abs(qa - qb)
+    a = F.when(qb.isNull(), F.least(qa, n)).when(over <= 0, qa).when(over > apart, F.floor(n / 2)).otherwise(F.when(qa >= qb, qa - over).otherwise(qa))
+    b = F.when(over <= 0, qb).when(over > apart, n - F.floor(n / 2)).otherwise(F.when(qa >= qb, qb).otherwise(qb - over))
+    rows = clips.withColumn("a", a.cast("long")).withColumn("b", b.cast("long"))
+    slack = F.floor((n - F.col("a") - F.col("b")) / 2) + 1
+    rows = rows.withColumn("a_first", _draw(seed, "side", F.lit(2)) == 0).withColumn("front", _draw(seed, "front", slack)).withColumn("back", n - _draw(seed, "back", slack))
+    start_a = F.when(F.col("b").isNull(), _draw(seed, "front", n - F.col("a") + 1)).when(F.col("a_first"), F.col("front")).otherwise(F.col("back") - F.col("a"))
+    start_b = F.when(F.col("b").isNotNull(), F.when(F.col("a_first"), F.col("back") - F.col("b")).otherwise(F.col("front")))
+    rows = rows.withColumn("start_a", start_a).withColumn("start_b", start_b)
+    return rows.select("clip", "start_a", (F.col("start_a") + F.col("a")).alias("end_a"), "start_b", (F.col("start_b") + F.col("b")).alias("end_b"))

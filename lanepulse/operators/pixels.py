@@ -6,6 +6,10 @@ Tables are long: ``road`` (x, y, d; 0 is no road), ``veh`` (frame_id, x, y, cls)
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -192,3 +196,76 @@ def best_epoch(history: DataFrame) -> DataFrame:
 
 def score_columns(scores: DataFrame, names: list[str]) -> DataFrame:
     return scores.groupBy("run").pivot("condition", names).agg(F.max("score"))
+
+
+def _ellipse(pad: int) -> list[tuple[int, int]]:
+    """Offsets (dy, dx) of a disc of radius ``pad`` in whole pixels."""
+    reach = {dy: round(math.sqrt(pad * pad - dy * dy)) for dy in range(-pad, pad + 1)}
+    return [(dy, dx) for dy, r in reach.items() for dx in range(-r, r + 1)]
+
+
+def _parts(mask: np.ndarray, diagonal: bool) -> list[np.ndarray]:
+    """Connected parts of a mask as arrays of flat positions, by their first pixel: the least position
+    spreads over each part until nothing changes."""
+    h, w = mask.shape
+    none = h * w
+    at = np.where(mask, np.arange(h * w).reshape(h, w), none)
+    steps = [(0, 1), (1, 0), (1, 2), (2, 1)] + ([(0, 0), (0, 2), (2, 0), (2, 2)] if diagonal else [])
+    while True:
+        edge = np.pad(at, 1, constant_values=none)
+        least = np.minimum.reduce([at, *(edge[y : y + h, x : x + w] for y, x in steps)])
+        least[~mask] = none
+        if (least == at).all():
+            break
+        at = least
+    flat = at.ravel()
+    order = np.flatnonzero(flat < none)
+    order = order[np.argsort(flat[order], kind="stable")]
+    cuts = np.flatnonzero(np.diff(flat[order])) + 1
+    return np.split(order, cuts) if len(order) else []
+
+
+def fill_label(label: np.ndarray, vehicles: np.ndarray, pad: int, touch: float, hole: float) -> np.ndarray:
+    """A frame's direction labels (0: no road) with vehicle footprints and enclosed holes filled."""
+    out, (h, w) = label.copy(), label.shape
+    disc = np.array(_ellipse(pad))
+    for part in _parts(vehicles & (label == 0), True):
+        y, x = np.divmod(part, w)
+        near = (np.stack([y, x], 1)[:, None, :] + disc[None]).reshape(-1, 2)
+        near = near[(near >= 0).all(axis=1) & (near[:, 0] < h) & (near[:, 1] < w)]
+        ring = np.setdiff1d(near[:, 0] * w + near[:, 1], part)
+        votes = np.bincount(out.ravel()[ring])[1:]  # without the pixels that have no label
+        if votes.size and votes.max() >= touch * len(ring):
+            out.ravel()[part] = votes.argmax() + 1
+    for d in np.unique(out[out > 0]):
+        for part in _parts(out != d, False):
+            y, x = np.divmod(part, w)
+            inside = y.min() > 0 and x.min() > 0 and y.max() < h - 1 and x.max() < w - 1
+            if inside and len(part) <= int(hole * h * w):
+                free = part[out.ravel()[part] == 0]
+                out.ravel()[free] = d
+    return out
+
+
+def fill_footprints(veh: DataFrame, road: DataFrame, width: int, height: int, pad: int = 12, touch: float = 0.1, hole: float = 0.02) -> DataFrame:
+    """Road pixels that vehicles hide, per frame: (frame_id, x, y, d) of all pixels that are added.
+
+    A connected run of vehicle pixels off the road takes the direction that its surroundings of
+    ``pad`` pixels show most (the lowest of equals), if at least ``touch`` of them show it; then empty
+    parts that one direction encloses, up to a share ``hole`` of the frame, take that direction.
+    A task holds the pixels of one frame at a time; the road labels are one frame of ``width`` by
+    ``height`` pixels, the highest direction of a pixel that is given twice. Pixels outside drop out."""
+    inside = f"x >= 0 and x < {width} and y >= 0 and y < {height}"
+    pixels = road.filter(inside).groupBy("x", "y").agg(F.max("d").alias("d")).filter("d > 0").collect()  # at most width * height
+    label = np.zeros((height, width), np.int32)
+    for r in pixels:
+        label[r.y, r.x] = r.d
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        mask = np.zeros((height, width), bool)
+        mask[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = True
+        out = fill_label(label, mask, pad, touch, hole)
+        y, x = np.nonzero(out != label)
+        return pd.DataFrame({"frame_id": np.full(len(y), pdf["frame_id"].iloc[0]), "x": x, "y": y, "d": out[y, x]})
+
+    return veh.filter(inside).select("frame_id", "x", "y").groupBy("frame_id").applyInPandas(run, "frame_id long, x int, y int, d int")

@@ -343,3 +343,81 @@ def e30(spark, d):
 def x13(spark, d):
     m = manifest(spark, d)
     return D.before_after(m, m.filter("split = 'train'"), "weather")
+
+
+_STAT = "count(*) AS images, CAST(sum(n) AS BIGINT) AS objects, round(sum(n_car) / nullif(sum(n), 0), 10) AS car_share, round(sum(n_bus) / nullif(sum(n), 0), 10) AS bus_share, round(sum(n_truck) / nullif(sum(n), 0), 10) AS truck_share, round(avg(n), 10) AS mean, round(quantile_cont(n, 0.5), 10) AS median, max(n) AS max, round(avg(CAST(n = 0 AS INT)), 10) AS empty, round(count(*) / (SELECT count(*) FROM man), 10) AS share"
+_N = "(SELECT *, n_car + n_bus + n_truck AS n FROM man)"
+
+
+def _attr_sql(a: str, first: str) -> str:
+    return f"SELECT '{a}' AS attribute, *, CAST(row_number() OVER (ORDER BY {first}, value) AS INT) AS place FROM (SELECT {a} AS value, count(DISTINCT clip) AS clips, count(DISTINCT camera) AS cameras, {_STAT} FROM {_N} GROUP BY 1)"
+
+
+@query("e17_attr_stats", _M + " " + " UNION ALL ".join([
+    _attr_sql("site", "-images"), _attr_sql("day_night", "CASE value WHEN 'day' THEN 1 WHEN 'twilight' THEN 2 WHEN 'night' THEN 3 ELSE 4 END"),
+    _attr_sql("weather", "CASE value WHEN 'sunny' THEN 1 WHEN 'rainy' THEN 2 WHEN 'fog' THEN 3 ELSE 6 END"), _attr_sql("time_band", "1"),
+]))
+def e17(spark, d):
+    m, out = manifest(spark, d), None
+    for a in ("site", "day_night", "weather", "time_band"):
+        one = D.attr_stats(m, a).withColumn("attribute", F.lit(a))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("e19_clip_stats", _M + f" SELECT clip, {_STAT}, min(camera) AS camera, min(date) AS date, min(time) AS time, min(weather) AS weather, min(difficulty) AS difficulty FROM {_N} GROUP BY 1")
+def e19(spark, d):
+    return D.clip_stats(manifest(spark, d), ["camera", "date", "time", "weather", "difficulty"])
+
+
+@query("e1_polygon_table", f"""WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT vec_id, label, abs({_terms('({x} * {v} - {u} * {y})')}) / 2 AS a FROM p)
+  SELECT vec_id AS image_id, 1 AS line_no, label AS cls, 8 AS n_vertices, round(a, 9) AS area_norm, round(a * 1920 * 1080, 3) AS area_px, round(a * 1920 * 1080 * (1280 / 1920::DOUBLE) * (1280 / 1920::DOUBLE), 3) AS area_train_px FROM s""")
+def e1(spark, d):
+    rows = _points(spark, d).selectExpr("vec_id AS image_id", "1 AS line_no", "label AS cls", "points", "1920D AS width", "1080D AS height")
+    return D.polygon_table(rows, 1280).withColumns({c: F.round(c, k) for c, k in (("area_norm", 9), ("area_px", 3), ("area_train_px", 3))})
+
+
+@query("e16_class_stats", _M + """, l AS (UNPIVOT (SELECT clip, camera, n_car AS car, n_bus AS bus, n_truck AS truck FROM man) ON car, bus, truck INTO NAME cls VALUE n),
+  a AS (SELECT cls, count(*) FILTER (n > 0) AS images_with, round(avg(CAST(n > 0 AS INT)), 10) AS images_share, count(DISTINCT clip) FILTER (n > 0) AS clips_with, count(DISTINCT camera) FILTER (n > 0) AS cameras_with, round(avg(n), 10) AS per_image_mean, max(n) AS per_image_max FROM l GROUP BY 1),
+  p AS (SELECT CASE WHEN l_partkey % 9 = 0 THEN 'bus' ELSE 'car' END AS cls, l_quantity * 400 AS px, l_linenumber + 2 AS v FROM lineitem),
+  s AS (SELECT cls, count(*) AS objects, round(avg(CAST(px / 4 < 1024 AS INT)), 10) AS small, round(avg(CAST(px / 4 >= 1024 AND px / 4 < 9216 AS INT)), 10) AS medium, round(avg(CAST(px / 4 >= 9216 AS INT)), 10) AS large, round(quantile_cont(px / 1000000, 0.5), 8) AS area_median,
+    round(quantile_cont(px, 0.5), 6) AS area_median_px, CAST(quantile_cont(v, 0.5) AS DOUBLE) AS vertices_median, CAST(max(v) AS BIGINT) AS vertices_max FROM p GROUP BY 1)
+  SELECT a.*, coalesce(objects, 0) AS objects, s.* EXCLUDE (cls, objects), round(coalesce(objects, 0) / (SELECT sum(objects) FROM s)::DOUBLE, 10) AS object_share, round((SELECT objects FROM s WHERE cls = 'car') / greatest(coalesce(objects, 0), 1)::DOUBLE, 8) AS imbalance FROM a LEFT JOIN s ON a.cls = s.cls""")
+def e16(spark, d):
+    polygons = read(spark, d, "lineitem").selectExpr("CASE WHEN l_partkey % 9 = 0 THEN 'bus' ELSE 'car' END AS cls", "l_quantity * 400 AS area_px", "l_quantity * 100 AS area_train_px", "l_quantity * 400 / 1000000 AS area_norm", "l_linenumber + 2 AS n_vertices")
+    return D.class_stats(manifest(spark, d), polygons)
+
+
+@query("e12_brightness_summary", _M + """, b AS (SELECT *, score / 1000 AS br FROM man) SELECT kind, value, count(*) AS n, round(quantile_cont(br, 0.5), 6) AS brightness FROM (SELECT 'day_night' AS kind, day_night AS value, br FROM b UNION ALL SELECT 'weather', weather, br FROM b) WHERE value <> '' GROUP BY ALL
+  UNION ALL SELECT * FROM (SELECT 'clip', clip, count(*), round(avg(br), 6) AS v FROM b GROUP BY clip ORDER BY v, clip LIMIT 5)""")
+def e12(spark, d):
+    return D.brightness_summary(manifest(spark, d).withColumn("brightness", F.col("score") / 1000))
+
+
+_FILE = "CASE WHEN o_orderkey % 3 = 0 THEN '1280x720' ELSE '1920x1080' END AS resolution, CASE WHEN o_orderkey % 10 = 0 THEN 'portrait' ELSE 'landscape' END AS orientation, o_custkey AS camera, o_totalprice * 10 AS jpg_bytes, o_totalprice * 60 + o_orderkey AS src_bytes"
+
+
+@query("e23_quality_stats", f"""WITH f AS (SELECT {_FILE} FROM orders) SELECT CASE WHEN grouping(resolution) = 0 THEN 'resolution' WHEN grouping(orientation) = 0 THEN 'orientation' ELSE 'all' END AS kind, coalesce(resolution, orientation, '') AS value, count(*) AS images,
+  count(DISTINCT camera) AS cameras, round(quantile_cont(jpg_bytes / 1024, 0.5), 4) AS median_kb, round(sum(jpg_bytes / 1024) / 1048576, 8) AS total_gb, round(sum(jpg_bytes) / sum(src_bytes), 8) AS ratio FROM f GROUP BY GROUPING SETS ((resolution), (orientation), ())""")
+def e23(spark, d):
+    return D.quality_stats(read(spark, d, "orders").selectExpr(*[c.strip() for c in _FILE.split(", ")]))
+
+
+_CLIPS = "o_custkey AS clip, count(*) AS n_frames, CAST(o_custkey % 9 AS BIGINT) AS quota_a, CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 7 AS BIGINT) END AS quota_b"
+
+
+def _draw_sql(salt: str, below: str) -> str:
+    return f"(('0x' || md5(clip || '|7|{salt}')[1:8])::BIGINT % ({below}))"
+
+
+@query("x4_place_blocks", f"""WITH c AS (SELECT {_CLIPS} FROM orders GROUP BY o_custkey),
+  q AS (SELECT *, CASE WHEN quota_b IS NULL THEN least(quota_a, n_frames) WHEN quota_a + quota_b <= n_frames THEN quota_a WHEN quota_a + quota_b - n_frames > abs(quota_a - quota_b) THEN n_frames // 2 WHEN quota_a >= quota_b THEN n_frames - quota_b ELSE quota_a END AS a,
+    CASE WHEN quota_b IS NULL THEN NULL WHEN quota_a + quota_b <= n_frames THEN quota_b WHEN quota_a + quota_b - n_frames > abs(quota_a - quota_b) THEN n_frames - n_frames // 2 WHEN quota_a >= quota_b THEN quota_b ELSE n_frames - quota_a END AS b FROM c),
+  s AS (SELECT *, (n_frames - a - b) // 2 + 1 AS slack, {_draw_sql('side', '2')} = 0 AS af FROM q),
+  t AS (SELECT clip, a, CASE WHEN b IS NULL THEN {_draw_sql('front', 'n_frames - a + 1')} WHEN af THEN {_draw_sql('front', 'slack')} ELSE n_frames - {_draw_sql('back', 'slack')} - a END AS start_a,
+    b, CASE WHEN b IS NULL THEN NULL WHEN af THEN n_frames - {_draw_sql('back', 'slack')} - b ELSE {_draw_sql('front', 'slack')} END AS start_b FROM s)
+  SELECT clip, start_a, start_a + a AS end_a, start_b, start_b + b AS end_b FROM t""")
+def x4(spark, d):
+    clips = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_frames"))
+    clips = clips.selectExpr("o_custkey AS clip", "n_frames", "CAST(o_custkey % 9 AS BIGINT) AS quota_a", "CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 7 AS BIGINT) END AS quota_b")
+    return D.place_blocks(clips, 7)

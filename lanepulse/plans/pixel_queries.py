@@ -182,3 +182,10 @@ def v8(spark, d):
 @query("v9_score_columns", "SELECT l_orderkey AS run, max(l_tax) FILTER (l_linestatus = 'F') AS \"F\", max(l_tax) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
 def v9(spark, d):
     return P.score_columns(read(spark, d, "lineitem").selectExpr("l_orderkey AS run", "l_linestatus AS condition", "l_tax AS score"), ["F", "O"])
+
+
+@query("p15_p16_fill_footprints")
+def p1516(spark, d):
+    """Pixels added per frame and direction, on a road with holes below and above the largest size."""
+    free = road(spark, d).withColumn("d", F.when((F.col("x") % 16 < 3) & (F.col("y") % 9 < 4), 0).otherwise(F.col("d")))
+    return P.fill_footprints(veh(spark, d), free, W, H, pad=3).groupBy("frame_id", "d").agg(F.count("*").alias("added"))
