@@ -10,8 +10,9 @@ log likelihood ratio, and a logistic curve over a text's sum of them gives its s
 
 Bounds, all parameters: ``max_docs`` labelled texts of each class train the model, taken in
 the order of a hash of their ids, two thirds for the dictionaries and one third for the
-calibration; at most ``max_windows`` counted windows of a class reach the driver. Scoring
-takes every window of every whole text; distinct windows are compressed once a worker.
+calibration; at most ``max_windows`` counted windows of a class reach the driver; a dictionary
+trains on at most ``max_training_windows`` of them, repeated by their counts. Scoring takes
+every window of every whole text; distinct windows are compressed once a worker.
 
 Defined results: a null or empty text has no windows and the score of none; repeated rows are
 scored each; of several labels of one id the highest counts; null labels and ids train
@@ -59,8 +60,8 @@ def _windows(texts: list[bytes]):
         yield {_window(raw[a:b].decode("utf-8", "replace")) for a, b in zip(edges, edges[1:], strict=False)}
 
 
-def _train(samples: dict[bytes, int], size: int, limit: int = 200_000) -> bytes:
-    """A dictionary of at most ``size`` bytes from windows by their counts."""
+def _train(samples: dict[bytes, int], size: int, limit: int) -> bytes:
+    """A dictionary of at most ``size`` bytes from windows by their counts, ``limit`` of them at most, by a seeded shuffle."""
     import zstandard
 
     rows = [w for w in sorted(samples) for _ in range(samples[w])]
@@ -172,6 +173,7 @@ def fit(
     opening: int = 5,
     odds: float = 4.0,
     evidence: float = 20.0,
+    max_training_windows: int = 200_000,
 ) -> Distance:
     """Fit on ``docs`` (doc_id, text) by ``labels`` (doc_id, label)."""
     spark = docs.sparkSession
@@ -216,7 +218,7 @@ def fit(
         return rarer and _evidence(a, texts[1], b, texts[0]) >= evidence
 
     marked = {w: n for w, n in windows[1].items() if stands_out(w)}
-    model = Distance(_train(windows[0] or {b" ": 1}, ordinary_size), _train(marked or {b" ": 1}, toxic_size), np.zeros(BUCKETS), np.zeros(4))
+    model = Distance(_train(windows[0] or {b" ": 1}, ordinary_size, max_training_windows), _train(marked or {b" ": 1}, toxic_size, max_training_windows), np.zeros(BUCKETS), np.zeros(4))
     held = spark.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def spread(batches):
