@@ -374,3 +374,60 @@ def place_blocks(clips: DataFrame, seed: int) -> DataFrame:
     start_b = F.when(F.col("b").isNotNull(), F.when(F.col("a_first"), F.col("back") - F.col("b")).otherwise(F.col("front")))
     rows = rows.withColumn("start_a", start_a).withColumn("start_b", start_b)
     return rows.select("clip", "start_a", (F.col("start_a") + F.col("a")).alias("end_a"), "start_b", (F.col("start_b") + F.col("b")).alias("end_b"))
+
+
+#: The order in which a camera's training quota is filled, by difficulty and leak priority.
+TIERS = (("hard", 0), ("hard", 1), ("easy", 0), ("easy", 1), ("hard", 2), ("easy", 2))
+
+
+def reduce_train(rows: DataFrame, quotas: DataFrame, keep_easy: bool = True) -> DataFrame:
+    """What becomes of each frame of the training pool: hard, easy_fill, dropped_hard or dropped_easy.
+
+    ``rows`` has camera, clip, image_id (unique), frame, difficulty, priority and score; ``quotas`` one
+    quota a camera (none: 0). Tiers fill the quota in order; a tier that does not fit whole is shared
+    among its clips by largest remainder (then the least clip), and each clip's frames are picked
+    evenly. Windows run over counts per clip, not over frames, but for the picks within a clip."""
+    tier = F.lit(None).cast("int")
+    for i, (difficulty, priority) in enumerate(TIERS):
+        if keep_easy or difficulty == "hard":
+            tier = F.when((F.col("difficulty") == difficulty) & (F.col("priority") == priority), i).otherwise(tier)
+    pool = rows.select("camera", "clip", "image_id", "frame", "difficulty", "score", tier.alias("tier"))
+    sizes = pool.filter("tier is not null").groupBy("camera", "tier", "clip").agg(F.count("*").alias("size"))
+    per = sizes.groupBy("camera", "tier").agg(F.sum("size").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy("camera").orderBy("tier").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("before", before).join(quotas.select("camera", "quota"), "camera", "left")  # six rows a camera
+    k = F.greatest(F.least(F.coalesce("quota", F.lit(0)) - F.col("before"), F.col("total")), F.lit(0))
+    shares = sizes.join(per.select("camera", "tier", "total", k.alias("k")), ["camera", "tier"])
+    shares = shares.withColumn("base", F.floor(F.col("k") * F.col("size") / F.col("total"))).withColumn("rest", F.col("k") * F.col("size") - F.col("base") * F.col("total"))
+    w = W.partitionBy("camera", "tier")
+    more = F.row_number().over(w.orderBy(F.desc("rest"), "clip")) <= F.col("k") - F.sum("base").over(w)
+    shares = shares.select("camera", "tier", "clip", (F.col("base") + more.cast("int")).alias("k"))
+    slot = F.struct("camera", "tier", "clip").alias("clip")
+    slots = pool.join(shares.filter("k > 0"), ["camera", "tier", "clip"]).select(slot, "image_id", "frame", "score", "k")
+    taken = even_pick(slots, "k").select("image_id", F.lit(True).alias("taken"))
+    out = pool.join(taken, "image_id", "left")
+    kept = F.when(F.col("difficulty") == "hard", "hard").otherwise("easy_fill")
+    return out.select("image_id", "camera", "difficulty", F.when(F.col("taken"), kept).otherwise(F.concat(F.lit("dropped_"), "difficulty")).alias("selection"))
+
+
+def reduction_report(selection: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Per camera: the pool, its quota, what was selected and what is missing."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    chosen = F.col("selection")
+    out = selection.groupBy("camera").agg(F.count("*").alias("pool"), n(F.col("difficulty") == "hard", "pool_hard"), n(chosen == "hard", "selected_hard"), n(chosen == "easy_fill", "selected_easy"))
+    out = out.join(quotas.select("camera", "quota"), "camera", "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    return out.withColumn("shortfall", F.col("quota") - F.col("selected_hard") - F.col("selected_easy"))
+
+
+def assign_split(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Frames with their set: those in a clip's runs of :func:`place_blocks` are val (a) and test (b),
+    by their place in the order of the clip; all others, and clips without runs, are train."""
+    place = F.row_number().over(W.partitionBy("clip").orderBy("frame", "image_id")) - 1
+    out = rows.select("clip", "image_id", "frame").withColumn("place", place).join(blocks, "clip", "left")
+    within = lambda k: (F.col("place") >= F.col(f"start_{k}")) & (F.col("place") < F.col(f"end_{k}"))
+    return out.select("clip", "image_id", "frame", F.when(within("a"), "val").when(within("b"), "test").otherwise("train").alias("split"))
+
+
+def clip_ranges(rows: DataFrame) -> DataFrame:
+    """Frames and their range per clip and set."""
+    return rows.groupBy("clip", "split").agg(F.count("*").alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))

@@ -410,14 +410,63 @@ def _draw_sql(salt: str, below: str) -> str:
     return f"(('0x' || md5(clip || '|7|{salt}')[1:8])::BIGINT % ({below}))"
 
 
-@query("x4_place_blocks", f"""WITH c AS (SELECT {_CLIPS} FROM orders GROUP BY o_custkey),
+_X4 = f"""WITH c AS (SELECT {_CLIPS} FROM orders GROUP BY o_custkey),
   q AS (SELECT *, CASE WHEN quota_b IS NULL THEN least(quota_a, n_frames) WHEN quota_a + quota_b <= n_frames THEN quota_a WHEN quota_a + quota_b - n_frames > abs(quota_a - quota_b) THEN n_frames // 2 WHEN quota_a >= quota_b THEN n_frames - quota_b ELSE quota_a END AS a,
     CASE WHEN quota_b IS NULL THEN NULL WHEN quota_a + quota_b <= n_frames THEN quota_b WHEN quota_a + quota_b - n_frames > abs(quota_a - quota_b) THEN n_frames - n_frames // 2 WHEN quota_a >= quota_b THEN quota_b ELSE n_frames - quota_a END AS b FROM c),
   s AS (SELECT *, (n_frames - a - b) // 2 + 1 AS slack, {_draw_sql('side', '2')} = 0 AS af FROM q),
   t AS (SELECT clip, a, CASE WHEN b IS NULL THEN {_draw_sql('front', 'n_frames - a + 1')} WHEN af THEN {_draw_sql('front', 'slack')} ELSE n_frames - {_draw_sql('back', 'slack')} - a END AS start_a,
-    b, CASE WHEN b IS NULL THEN NULL WHEN af THEN n_frames - {_draw_sql('back', 'slack')} - b ELSE {_draw_sql('front', 'slack')} END AS start_b FROM s)
-  SELECT clip, start_a, start_a + a AS end_a, start_b, start_b + b AS end_b FROM t""")
+    b, CASE WHEN b IS NULL THEN NULL WHEN af THEN n_frames - {_draw_sql('back', 'slack')} - b ELSE {_draw_sql('front', 'slack')} END AS start_b FROM s)"""
+
+
+@query("x4_place_blocks", _X4 + " SELECT clip, start_a, start_a + a AS end_a, start_b, start_b + b AS end_b FROM t")
 def x4(spark, d):
     clips = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_frames"))
     clips = clips.selectExpr("o_custkey AS clip", "n_frames", "CAST(o_custkey % 9 AS BIGINT) AS quota_a", "CASE WHEN o_custkey % 3 > 0 THEN CAST(o_custkey % 7 AS BIGINT) END AS quota_b")
     return D.place_blocks(clips, 7)
+
+
+_SETS = _X4 + """, o AS (SELECT o_custkey AS clip, o_orderkey AS image_id, o_orderkey // 3 AS frame, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey // 3, o_orderkey) - 1 AS place FROM orders),
+  sets AS (SELECT o.clip, image_id, frame, CASE WHEN place >= start_a AND place < start_a + a THEN 'val' WHEN place >= start_b AND place < start_b + b THEN 'test' ELSE 'train' END AS split FROM o LEFT JOIN t ON o.clip = t.clip)"""
+
+
+def _sets(spark, d):
+    return D.assign_split(read(spark, d, "orders").selectExpr("o_custkey AS clip", "o_orderkey AS image_id", "o_orderkey div 3 AS frame"), x4(spark, d))
+
+
+@query("x10_assign_split", _SETS + " SELECT clip, image_id, frame, split FROM sets")
+def x10(spark, d):
+    return _sets(spark, d)
+
+
+@query("x10_clip_ranges", _SETS + " SELECT clip, split, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame FROM sets GROUP BY ALL")
+def x10r(spark, d):
+    return D.clip_ranges(_sets(spark, d))
+
+
+_REDUCE = _M + """, p0 AS (SELECT camera, concat(camera, '_', image_id % 4) AS clip, image_id, frame, difficulty, image_id % 7 % 3 AS priority, score FROM man), qt AS (SELECT camera, count(*) // 2 AS quota FROM p0 GROUP BY 1),
+  p AS (SELECT *, CASE WHEN difficulty = 'hard' THEN [0, 1, 4][priority + 1] ELSE [2, 3, 5][priority + 1] END AS tier FROM p0),
+  sz AS (SELECT camera, tier, clip, count(*) AS size FROM p GROUP BY ALL), tt AS (SELECT camera, tier, sum(size) AS total FROM sz GROUP BY ALL),
+  kk AS (SELECT camera, tier, total, greatest(least(quota - before, total), 0) AS k FROM (SELECT *, coalesce(sum(total) OVER (PARTITION BY camera ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tt) JOIN qt USING (camera)),
+  sh AS (SELECT camera, tier, clip, CAST(base + CASE WHEN row_number() OVER (PARTITION BY camera, tier ORDER BY k * size - base * total DESC, clip) <= k - sum(base) OVER (PARTITION BY camera, tier) THEN 1 ELSE 0 END AS BIGINT) AS k
+    FROM (SELECT sz.*, total, k, CAST(k * size AS BIGINT) // CAST(total AS BIGINT) AS base FROM sz JOIN kk USING (camera, tier))),
+  po AS (SELECT p.*, k, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY camera, tier, clip) AS n FROM p JOIN sh USING (camera, tier, clip) WHERE k > 0 WINDOW w AS (PARTITION BY camera, tier, clip ORDER BY frame, image_id)),
+  pt AS (SELECT *, least(pos * k // n, k - 1) AS part FROM po),
+  best AS (SELECT image_id FROM (SELECT *, row_number() OVER (PARTITION BY camera, tier, clip, part ORDER BY score DESC, round(abs(pos + 0.5 - (part + 0.5) * n / k), 9), pos) AS r FROM pt) WHERE r = 1),
+  sel AS (SELECT image_id, camera, difficulty, CASE WHEN image_id NOT IN (SELECT image_id FROM best) THEN 'dropped_' || difficulty WHEN difficulty = 'hard' THEN 'hard' ELSE 'easy_fill' END AS selection FROM p)"""
+
+
+def _reduced(spark, d):
+    pool = manifest(spark, d).selectExpr("camera", "concat(camera, '_', image_id % 4) AS clip", "image_id", "frame", "difficulty", "image_id % 7 % 3 AS priority", "score")
+    quotas = pool.groupBy("camera").agg(F.floor(F.count("*") / 2).alias("quota"))
+    return D.reduce_train(pool, quotas), quotas
+
+
+@query("x9_reduce_train", _REDUCE + " SELECT * FROM sel")
+def x9(spark, d):
+    return _reduced(spark, d)[0]
+
+
+@query("x9_report", _REDUCE + """ SELECT camera, count(*) AS pool, count(*) FILTER (difficulty = 'hard') AS pool_hard, count(*) FILTER (selection = 'hard') AS selected_hard, count(*) FILTER (selection = 'easy_fill') AS selected_easy,
+  any_value(quota) AS quota, any_value(quota) - count(*) FILTER (selection IN ('hard', 'easy_fill')) AS shortfall FROM sel JOIN qt USING (camera) GROUP BY 1""")
+def x9r(spark, d):
+    return D.reduction_report(*_reduced(spark, d))
