@@ -121,18 +121,11 @@ def diverse_sample(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return site.withColumn("p", F.row_number().over(W.partitionBy("day_night").orderBy("s", "h", "image_id"))).filter(F.col("p") <= k).select("day_night", "image_id", "clip", "site")
 
 
-def apportion(weights: DataFrame, total: int) -> DataFrame:
-    """Largest-remainder shares of ``total``: floors, then one more by remainder, key."""
-    w = W.partitionBy()  # one row per key
-    raw = weights.withColumn("raw", F.round(F.col("weight") / F.sum("weight").over(w) * total, 9))
-    raw = raw.withColumn("base", F.floor("raw")).withColumn("left", F.lit(total) - F.sum(F.floor("raw")).over(w))
-    rank = F.row_number().over(W.orderBy((F.col("raw") - F.col("base")).desc(), "key"))
-    return raw.select("key", (F.col("base") + (rank <= F.col("left")).cast("int")).cast("long").alias("n"))
-
-
 def class_weights(counts: DataFrame, alpha: float = 0.5) -> DataFrame:
-    ref = F.max("objects").over(W.partitionBy())  # three rows
-    return counts.select("cls", F.round(F.pow(ref / F.col("objects"), alpha), 10).alias("weight"))
+    """How rare each class is beside the first one, to the power of ``alpha``; no class counts as one object."""
+    n = F.greatest("objects", F.lit(1))
+    ref = F.max(F.when(F.col("cls").endswith(CLASSES[0]), n)).over(W.partitionBy())  # three rows
+    return counts.select("cls", F.round(F.pow(ref / n, alpha), 10).alias("weight"))
 
 
 def even_pick(rows: DataFrame, k: str) -> DataFrame:
@@ -165,14 +158,6 @@ def select_priority(rows: DataFrame) -> DataFrame:
     return out.select("image_id", F.when((F.col("risk") == 1) & F.col("has").isNull(), 0).otherwise(F.col("risk")).alias("priority"))
 
 
-def leakage_check(rows: DataFrame) -> DataFrame:
-    """Per clip shared between sets, the least distance between frames of different sets."""
-    w = W.partitionBy("clip").orderBy("frame", "image_id")
-    r = rows.withColumn("prev", F.lag("frame").over(w)).withColumn("prev_split", F.lag("split").over(w))
-    shared = r.groupBy("clip").agg(F.count_distinct("split").alias("sets"), F.min(F.when(F.col("split") != F.col("prev_split"), F.col("frame") - F.col("prev"))).alias("min_gap"))
-    return shared.filter("sets > 1")
-
-
 def coverage_table(rows: DataFrame, splits: list[str]) -> DataFrame:
     return rows.groupBy("camera").pivot("split", splits).agg(F.count("split")).na.fill(0)
 

@@ -225,15 +225,7 @@ def e28(spark, d):
     return D.diverse_sample(manifest(spark, d), 10, 7)
 
 
-_W = "w AS (SELECT p_brand AS key, CAST(sum(p_size) AS DOUBLE) AS weight FROM part GROUP BY 1)"
-
-
-@query("x1_apportion", f"WITH {_W}, r AS (SELECT *, round(weight / (SELECT sum(weight) FROM w) * 1000, 9) AS raw FROM w), b AS (SELECT *, floor(raw) AS base, row_number() OVER (ORDER BY raw - floor(raw) DESC, key) AS o FROM r) SELECT key, CAST(base + CASE WHEN o <= 1000 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END AS BIGINT) AS n FROM b")
-def x1(spark, d):
-    return D.apportion(read(spark, d, "part").groupBy(F.col("p_brand").alias("key")).agg(F.sum("p_size").cast("double").alias("weight")), 1000)
-
-
-@query("x2_class_weights", _M + f", c AS (SELECT cls, sum(n) AS objects FROM {_LONG} GROUP BY cls) SELECT cls, round(pow((SELECT max(objects) FROM c) / objects::DOUBLE, 0.5), 10) AS weight FROM c")
+@query("x2_class_weights", _M + f", c AS (SELECT cls, sum(n) AS objects FROM {_LONG} GROUP BY cls) SELECT cls, round(pow((SELECT objects FROM c WHERE cls = 'n_car') / objects::DOUBLE, 0.5), 10) AS weight FROM c")
 def x2(spark, d):
     return D.class_weights(D.class_counts(manifest(spark, d)))
 
@@ -255,10 +247,10 @@ def x7(spark, d):
     return D.leak_risk(_clips(spark, d))
 
 
-@query("x8_select_priority", _M + """, r AS (SELECT *, image_id % 3 AS risk FROM man WHERE image_id % 4 > 0), s AS (SELECT DISTINCT camera, weather, day_night FROM r WHERE risk = 0)
+@query("x8_select_priority", _M + """, r AS (SELECT *, image_id % 3 AS risk FROM man ), s AS (SELECT DISTINCT camera, weather, day_night FROM r WHERE risk = 0)
   SELECT image_id, CASE WHEN risk = 1 AND s.camera IS NULL THEN 0 ELSE risk END AS priority FROM r LEFT JOIN s USING (camera, weather, day_night)""")
 def x8(spark, d):
-    return D.select_priority(manifest(spark, d).filter("image_id % 4 > 0").withColumn("risk", F.col("image_id") % 3))
+    return D.select_priority(manifest(spark, d).withColumn("risk", F.col("image_id") % 3))
 
 
 @query("x11_split_distribution", _M + """, l AS (UNPIVOT (SELECT split, site, weather FROM man) ON site, weather INTO NAME attribute VALUE value), p AS (SELECT attribute, value, split, count(*) AS n FROM l GROUP BY ALL),
@@ -268,12 +260,6 @@ def x11(spark, d):
     return D.split_distribution(manifest(spark, d), ["site", "weather"])
 
 
-@query("x12_leakage_check", _M + """, r AS (SELECT camera AS clip, split, image_id AS frame, lag(image_id) OVER w AS prev, lag(split) OVER w AS ps FROM man WINDOW w AS (PARTITION BY camera ORDER BY image_id))
-  SELECT clip, count(DISTINCT split) AS sets, min(CASE WHEN split <> ps THEN frame - prev END) AS min_gap FROM r GROUP BY 1 HAVING count(DISTINCT split) > 1""")
-def x12(spark, d):
-    return D.leakage_check(manifest(spark, d).select(F.col("camera").alias("clip"), "split", F.col("image_id").alias("frame"), "image_id"))
-
-
 @query("x14_coverage", _M + " SELECT camera, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM man GROUP BY 1")
 def x14(spark, d):
     return D.coverage_table(manifest(spark, d), ["train", "val", "test"])

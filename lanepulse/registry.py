@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "m4_summary_by_direction"
-MODULES = ("metrics_queries", "group_queries", "route_queries", "pixel_queries", "dataset_queries", "stream_queries", "source_queries")
+MODULES = ("metrics_queries", "group_queries", "route_queries", "pixel_queries", "dataset_queries", "split_queries", "stream_queries", "source_queries")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 for _name in MODULES:

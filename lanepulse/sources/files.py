@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.kept import work_folder
 from ..functions.levels import level
 
 KST = "Asia/Seoul"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that all executors share (``spark.checkpoint.dir``); a local
-    session without that setting uses a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-lanepulse-")
-    return f"{root.rstrip('/')}/lanepulse/{name}-{uuid.uuid4().hex}"
-
-
 def read_manifest(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A manifest CSV with every column a string, blanks kept as empty, a byte-order mark dropped.
 
