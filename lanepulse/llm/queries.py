@@ -111,7 +111,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    rows = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

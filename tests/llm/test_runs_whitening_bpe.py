@@ -179,7 +179,7 @@ def test_byte_bpe_equals_library(spark, library):
     texts = [*random_texts(ranks, 3000), "a" * 30_000, "Ѽ篑辽\U0001dfddiø"]
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).collect()}
+    got = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path).collect()}
     for i, t in enumerate(texts):
         assert got[i].ids == encoding.encode_ordinary(t), t
         assert bytes(got[i].decoded) == t.encode()
@@ -216,11 +216,11 @@ def test_byte_bpe_odd_cases(spark, library):
     encoding, _, pattern = library
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     docs = odd_docs(spark)
-    got = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern).collect()
+    got = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path).collect()
     want = [(r.doc_id, encoding.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect()]
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.ids, bytes(r.decoded))) for r in got)
     none = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
-    assert [(r.doc_id, r.decoded) for r in byte_bpe.decode(none, path, pattern).orderBy("doc_id").collect()] == [(1, None), (2, b"")]
+    assert [(r.doc_id, r.decoded) for r in byte_bpe.decode(none, path).orderBy("doc_id").collect()] == [(1, None), (2, b"")]
     assert byte_bpe.encode(docs.limit(0), path, pattern).count() == 0
 
 
