@@ -87,7 +87,13 @@ def project(points: DataFrame, chains: DataFrame) -> DataFrame:
     """Each point on each chain of its key: metres along it and metres off it.
 
     ``points`` has id, chain_id, plat, plon."""
-    rows = points.join(segments(chains), "chain_id")
+    rows = _measured(points.join(segments(chains), "chain_id"))
+    best = rows.groupBy("id", "chain_id").agg(F.min(F.struct(F.round("off_m", 6).alias("off_m"), "seq", F.round("s_m", 6).alias("s_m"))).alias("m"))
+    return best.select("id", "chain_id", "m.s_m", "m.off_m")
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """Pairs of a point (plat, plon) and a segment with the metres off it and along its chain."""
     kx, ky = plane_scale(F.col("plat"))
     ax, ay = (F.col("lon") - F.col("plon")) * kx, (F.col("lat") - F.col("plat")) * ky
     bx, by = (F.col("lon2") - F.col("plon")) * kx, (F.col("lat2") - F.col("plat")) * ky
@@ -96,9 +102,7 @@ def project(points: DataFrame, chains: DataFrame) -> DataFrame:
     share = F.when(size > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / size))).otherwise(0.0)
     rows = rows.withColumn("share", share)
     px, py = ax + F.col("share") * dx, ay + F.col("share") * dy
-    rows = rows.withColumn("off_m", F.sqrt(px * px + py * py)).withColumn("s_m", F.col("cum_m") + F.col("share") * (F.col("cum2") - F.col("cum_m")))
-    best = rows.groupBy("id", "chain_id").agg(F.min(F.struct(F.round("off_m", 6).alias("off_m"), "seq", F.round("s_m", 6).alias("s_m"))).alias("m"))
-    return best.select("id", "chain_id", "m.s_m", "m.off_m")
+    return rows.withColumn("off_m", F.sqrt(px * px + py * py)).withColumn("s_m", F.col("cum_m") + F.col("share") * (F.col("cum2") - F.col("cum_m")))
 
 
 def point_at(places: DataFrame, chains: DataFrame, s: str = "s_m") -> DataFrame:
@@ -142,12 +146,46 @@ def heading_at(places: DataFrame, chains: DataFrame, reach: float = 400.0) -> Da
     return b.select(*places.columns, F.pmod(turn + F.when(F.col("sign") < 0, 180.0).otherwise(0.0), F.lit(360.0)).alias("heading"))
 
 
-def find_chain(projected: DataFrame, chains: DataFrame, prefer: Column) -> DataFrame:
-    """The nearest chain within reach of each point: the preferred road type first, then ex, its."""
-    rows = projected.filter(F.col("off_m") <= NEAR_M).join(chains.select("chain_id", "road_type").distinct(), "chain_id")
-    order = F.when(F.col("road_type") == prefer, 0).when(F.col("road_type") == "ex", 1).otherwise(2)
-    w = W.partitionBy("id").orderBy(order, "off_m", "chain_id")
-    return rows.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+#: Degrees of a cell of the segment index; any size gives the same results.
+CELL_DEG = 0.05
+
+
+def _cell(degrees: Column) -> Column:
+    return F.floor(degrees / CELL_DEG).cast("int")
+
+
+def cell_segments(chains: DataFrame) -> DataFrame:
+    """Segments of chains (with route and road_type) in each cell of a grid of degrees that they cross:
+    row by row of the grid, the columns between the ends of the part in that row."""
+    s = segments(chains).join(chains.select("chain_id", "route", "road_type").distinct(), "chain_id")
+    first, last = _cell(F.least("lat", "lat2")), _cell(F.greatest("lat", "lat2"))
+    s = s.withColumn("cy", F.explode(F.sequence(first, last)))
+    rise = F.col("lat2") - F.col("lat")
+    # where the segment enters and leaves the row, as a share of its length; a hair wider, for roundings
+    share = lambda y: F.when(rise == 0, 0.0).otherwise((y - F.col("lat")) / rise)
+    low, high = share(F.col("cy") * CELL_DEG), share((F.col("cy") + 1) * CELL_DEG)
+    a, b = F.greatest(F.lit(0.0), F.least(low, high)), F.when(rise == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(low, high)))
+    at = lambda h: F.col("lon") + h * (F.col("lon2") - F.col("lon"))
+    west, east = F.least(at(a), at(b)) - 1e-9, F.greatest(at(a), at(b)) + 1e-9
+    return s.withColumn("cx", F.explode(F.sequence(_cell(west), _cell(east))))
+
+
+def nearest_chain(points: DataFrame, chains: DataFrame, within: float = NEAR_M) -> DataFrame:
+    """(id, chain_id, road_type, s_m, off_m): the nearest chain of its route within reach of each point, of the
+    preferred road type if it has one, else of type ex, else its.
+
+    ``points`` has id, route, plat, plon and prefer (null: no preference); ``chains`` has route and road_type. A point
+    looks only at segments in the cells that its reach touches, so the work follows the segments nearby and
+    not the length of the route. Points without a place, or without a chain in reach, have no row."""
+    kx, ky = plane_scale(F.col("plat"))
+    up, side = within / ky + 1e-9, within / kx + 1e-9
+    rows = points.filter("plat is not null and plon is not null").select("id", "route", "plat", "plon", "prefer", F.explode(F.sequence(_cell(F.col("plat") - up), _cell(F.col("plat") + up))).alias("cy"), side.alias("_side"))
+    rows = rows.select("id", "route", "plat", "plon", "prefer", "cy", F.explode(F.sequence(_cell(F.col("plon") - F.col("_side")), _cell(F.col("plon") + F.col("_side")))).alias("cx"))
+    found = _measured(rows.join(cell_segments(chains), ["route", "cy", "cx"]))
+    found = found.filter(F.col("off_m") <= within)
+    order = F.when(F.col("road_type") == F.col("prefer"), 0).when(F.col("road_type") == "ex", 1).otherwise(2)
+    best = found.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.round("off_m", 6).alias("off_m"), "chain_id", "seq", F.round("s_m", 6).alias("s_m"), "road_type")).alias("m"))
+    return best.select("id", "m.chain_id", "m.road_type", "m.s_m", "m.off_m")
 
 
 def resolve_sign(pairs: DataFrame) -> DataFrame:
@@ -166,20 +204,54 @@ def resolve_sign(pairs: DataFrame) -> DataFrame:
     return pairs.select("*", sign.alias("sign"), confidence.alias("confidence"), reason.alias("reason"))
 
 
-def fill_opposite(directions: DataFrame) -> DataFrame:
-    """Where exactly one of a camera's two destinations is resolved, the other is its opposite."""
-    w = W.partitionBy("camera_id")
+def fill_opposite(directions: DataFrame, *group: str) -> DataFrame:
+    """Where exactly one of the two destinations of a camera (and ``group``) is resolved, the other is its opposite."""
+    w = W.partitionBy("camera_id", *group)
     n, known, other = F.count("*").over(w), F.count("heading").over(w), F.max("heading").over(w)
     fill = F.col("heading").isNull() & (n == 2) & (known == 1)
     rows = directions.withColumn("filled", F.when(fill, F.pmod(other + 180, F.lit(360.0))).otherwise(F.col("heading")))
     return rows.withColumn("confidence", F.when(fill, "medium").otherwise(F.col("confidence"))).drop("heading").withColumnRenamed("filled", "heading")
 
 
+def road_or_route(road: Column, route: Column) -> Column:
+    """A direction's own road, or its camera's route; null for neither."""
+    some = lambda c: F.when(F.trim(c) != "", c)
+    return F.coalesce(some(road), some(route))
+
+
+def resolve_directions(cameras: DataFrame, directions: DataFrame, chains: DataFrame, places: DataFrame) -> DataFrame:
+    """Headings towards named destinations: (camera_id, index, heading, confidence, reason).
+
+    ``cameras`` has id, route, road_type (preferred, may be null), lat, lon; ``directions`` camera_id, index, road,
+    destination, heading_source; ``places`` name, lat, lon. Directions that were set by hand or name no destination are left
+    out. The camera is put on the nearest chain of the direction's road (or its own route), the destination
+    is projected on the same chain, and the heading is the chain's at the camera. Two
+    directions of one road, of which one fails, are opposites."""
+    d = directions.filter(F.coalesce(F.col("heading_source"), F.lit("")) != "manual").filter("coalesce(trim(destination), '') <> ''")
+    cam = cameras.select(F.col("id").alias("camera_id"), F.col("route").alias("cam_route"), F.col("road_type").alias("prefer"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    d = d.select("camera_id", "index", "road", "destination").join(cam, "camera_id")
+    d = d.withColumn("route", road_or_route(F.col("road"), F.col("cam_route"))).withColumn("id", F.struct("camera_id", "route"))
+    at = nearest_chain(d.select("id", "route", "plat", "plon", "prefer").distinct(), chains)
+    at = at.select("id", "chain_id", F.col("s_m").alias("camera_s"))
+    named = places.select(F.col("name").alias("destination"), F.col("lat").alias("dlat"), F.col("lon").alias("dlon"))
+    rows = d.select("camera_id", "index", "route", "destination", "id").join(at, "id", "left").join(named, "destination", "left")
+    ends = rows.filter("chain_id is not null and dlat is not null").select("destination", "chain_id", F.col("dlat").alias("plat"), F.col("dlon").alias("plon")).distinct()
+    ends = project(ends.select(F.struct("destination", "chain_id").alias("id"), "chain_id", "plat", "plon"), chains)
+    ends = ends.select(F.col("id.destination").alias("destination"), "chain_id", F.col("s_m").alias("dest_s"), F.col("off_m").alias("dest_off"))
+    length = chains.groupBy("chain_id").agg(F.max("cum_m").alias("length_m"))
+    rows = resolve_sign(rows.drop("id").join(ends, ["destination", "chain_id"], "left").join(length, "chain_id", "left"))
+    turned = heading_at(rows.filter("sign is not null").select("camera_id", "index", "chain_id", F.col("camera_s").alias("s_m"), "sign"), chains)
+    rows = rows.join(turned.select("camera_id", "index", F.round("heading", 1).alias("heading")), ["camera_id", "index"], "left")
+    reason = F.when(F.col("route").isNull(), "no route").when(F.col("chain_id").isNull(), "no line").otherwise(F.col("reason"))
+    return fill_opposite(rows.withColumn("reason", reason), "route").select("camera_id", "index", "heading", "confidence", "reason")
+
+
 def auto_headings(directions: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Directions with newly resolved headings; manual ones stay."""
+    """Directions with newly resolved headings, whose own positions are cleared; those set by hand stay."""
     rows = directions.join(resolved.select("camera_id", "index", F.col("heading").alias("found")), ["camera_id", "index"], "left")
     take = F.col("found").isNotNull() & (F.coalesce(F.col("heading_source"), F.lit("")) != "manual")
-    return rows.select("camera_id", "index", F.when(take, F.col("found")).otherwise(F.col("heading_deg")).alias("heading_deg"), F.when(take, "auto").otherwise(F.col("heading_source")).alias("heading_source"))
+    own = [F.when(~take, F.col(c)).alias(c) for c in ("lat", "lon")]
+    return rows.select("camera_id", "index", F.when(take, F.col("found")).otherwise(F.col("heading_deg")).alias("heading_deg"), F.when(take, "auto").otherwise(F.col("heading_source")).alias("heading_source"), *own)
 
 
 def camera_segments(places: DataFrame, cap_m: float = 8000.0, floor_m: float = 800.0) -> DataFrame:
@@ -192,6 +264,32 @@ def camera_segments(places: DataFrame, cap_m: float = 8000.0, floor_m: float = 8
     return places.join(near, ["chain_id", "sign", "s_m"]).select("id", "chain_id", "sign", (F.col("s_m") - half("before")).alias("from_m"), (F.col("s_m") + half("after")).alias("to_m"))
 
 
+def painted_segments(cameras: DataFrame, directions: DataFrame, chains: DataFrame) -> DataFrame:
+    """What a map paints for each measured direction with a heading: (camera_id, index, chain_id, sign, from_m,
+    to_m, coords), coordinates in the order of travel.
+
+    ``directions`` has camera_id, index, road, heading_deg, lat, lon (null: the camera's) and measured. The sign says whether
+    the heading follows the chain's tangent (90 degrees or less) or runs against it."""
+    cam = cameras.select(F.col("id").alias("camera_id"), F.col("route").alias("cam_route"), F.col("road_type").alias("prefer"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    d = directions.filter("measured and heading_deg is not null").join(cam.filter("clat is not null and clon is not null"), "camera_id")
+    d = d.select(F.struct("camera_id", "index").alias("id"), "heading_deg", road_or_route(F.col("road"), F.col("cam_route")).alias("route"), F.coalesce("lat", "clat").alias("plat"), F.coalesce("lon", "clon").alias("plon"), "prefer")
+    at = nearest_chain(d, chains).join(d.select("id", "heading_deg"), "id")
+    tangent = heading_at(at.select("id", "heading_deg", "chain_id", "s_m", F.lit(1).alias("sign")), chains)
+    signed = tangent.select("id", "chain_id", "s_m", chain_sign(F.col("heading_deg"), F.col("heading")).alias("sign"))
+    parts = camera_segments(signed)
+    whole = chains.groupBy("chain_id").agg(F.max("cum_m").alias("end_m"))
+    # distances within the chain; one place where both ends lie beyond it
+    cut = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.col("end_m"))
+    held = parts.join(whole, "chain_id").select("id", "chain_id", "sign", cut("from_m").alias("a"), cut("to_m").alias("b"))
+    ends = point_at(held.select("id", "chain_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("m")), chains, "m")
+    inner = held.join(chains.select("chain_id", "cum_m", "lat", "lon"), "chain_id").filter("cum_m > a and cum_m < b")
+    line = inner.select("id", F.col("cum_m").alias("m"), "lat", "lon").unionByName(ends.select("id", "m", F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon")))
+    line = line.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("m", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon")))).alias("line"))
+    points = F.transform("line", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
+    out = parts.join(line, "id").withColumn("coords", F.when(F.col("sign") < 0, F.reverse(points)).otherwise(points))
+    return out.select("id.camera_id", "id.index", "chain_id", "sign", "from_m", "to_m", "coords")
+
+
 def chain_sign(heading: Column, tangent: Column) -> Column:
     return F.when(angle_diff(heading, tangent) <= 90, 1).otherwise(-1)
 
@@ -199,7 +297,7 @@ def chain_sign(heading: Column, tangent: Column) -> Column:
 def route_lines(chains: DataFrame) -> DataFrame:
     """Chains of two points at least per route, of the first road type that has any."""
     per = chains.groupBy("route", "road_type", "chain_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("line")).filter(F.size("line") >= 2)
-    w = W.partitionBy("route").orderBy(F.when(F.col("road_type") == "ex", 0).otherwise(1))
+    w = W.partitionBy("route").orderBy(F.when(F.col("road_type") == "ex", 0).otherwise(1))  # the chains of a route
     return per.withColumn("r", F.dense_rank().over(w)).filter("r = 1").select("route", "chain_id", F.size("line").cast("long").alias("points"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import coverage as C
 from ..operators import dataset as D
 from ..operators import manifest as N
 from .models import read
@@ -456,3 +457,18 @@ def x9(spark, d):
   any_value(quota) AS quota, any_value(quota) - count(*) FILTER (selection IN ('hard', 'easy_fill')) AS shortfall FROM sel JOIN qt USING (camera) GROUP BY 1""")
 def x9r(spark, d):
     return D.reduction_report(*_reduced(spark, d))
+
+
+_PX = 24  # pixels a side of the raster
+
+
+@query("e3_coverage", f"""WITH p AS (SELECT vec_id AS id, vec_id // 4 AS image_id, list_transform(range(8), lambda k: 0.5::DOUBLE + 1.5::DOUBLE * embedding[2 * k + 1]::DOUBLE) AS xs, list_transform(range(8), lambda k: 0.5::DOUBLE + 1.5::DOUBLE * embedding[2 * k + 2]::DOUBLE) AS ys FROM embeddings),
+  e AS (SELECT id, image_id, xs[k] * {_PX} AS ax, ys[k] * {_PX} AS ay, xs[k % 8 + 1] * {_PX} AS cx, ys[k % 8 + 1] * {_PX} AS cy FROM p, range(1, 9) t(k)),
+  g AS (SELECT image_id, id, gx, gy, count(*) AS n FROM e, range({_PX}) x(gx), range({_PX}) y(gy) WHERE (ay <= gy + 0.5::DOUBLE) <> (cy <= gy + 0.5::DOUBLE) AND ax + (gy + 0.5::DOUBLE - ay) * (cx - ax) / (cy - ay) - 0.5::DOUBLE <= gx GROUP BY ALL HAVING n % 2 = 1),
+  u AS (SELECT image_id, gx, gy, count(*) AS k FROM g GROUP BY ALL), s AS (SELECT image_id, count(*) AS un, CAST(sum(k) AS BIGINT) AS sm FROM u GROUP BY 1)
+  SELECT image_id, round(coalesce(un, 0) / {_PX * _PX}::DOUBLE, 9) AS vehicle_area_ratio, round(coalesce(sm, 0) / {_PX * _PX}::DOUBLE, 9) AS vehicle_area_sum, round(CASE WHEN sm > 0 THEN 1 - un / sm::DOUBLE ELSE 0 END, 9) AS overlap_ratio FROM (SELECT DISTINCT image_id FROM p) LEFT JOIN s USING (image_id)""")
+def e3(spark, d):
+    moved = F.transform("points", lambda p: F.struct((p["x"] * 1.5 + 0.5).alias("x"), (p["y"] * 1.5 + 0.5).alias("y")))
+    rows = _points(spark, d).select(F.expr("vec_id div 4").alias("image_id"), moved.alias("points"), F.lit(_PX * 4).alias("width"), F.lit(_PX * 4).alias("height"))
+    out = C.coverage(rows.select("image_id", "width", "height").distinct(), rows)
+    return out.select("image_id", *(F.round(c, 9).alias(c) for c in out.columns[1:]))

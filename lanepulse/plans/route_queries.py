@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geo
+from ..functions.kept import kept
 from ..functions.levels import level
 from ..functions.text import normalise_place, parse_route
 from ..operators import metrics as M
@@ -156,10 +157,36 @@ def r11(spark, d):
     return R.heading_at(places, _chains(spark, d)).select("id", "chain_id", "sign", F.round("heading", 5).alias("heading"))
 
 
-@query("r12_find_chain", _PROJECT + """ SELECT id, chain_id, round(off_m, 3) AS off_m, CASE WHEN chain_id LIKE 'BUILDING/%' THEN 'ex' ELSE 'its' END AS road_type FROM proj WHERE off_m <= 3000""")
+#: Whole routes: a line for each half degree of latitude through all places of its cameras, west to east; odd lines are
+#: motorways. A line is longer the more places there are, and a place beside one meets those of its route nearby.
+_ROUTE_LINES = with_sql("cameras", "directions") + _CHAIN.split(", pts AS")[0].removeprefix(with_sql("cameras")) + """, places AS (SELECT DISTINCT route, lat, lon FROM cameras), pts AS (SELECT concat(route, '/', CAST(floor(lat * 2) AS BIGINT)) AS chain_id, CAST(row_number() OVER (PARTITION BY route, floor(lat * 2) ORDER BY lon, lat) - 1 AS INT) AS seq, lat, lon FROM places),""" + _CHAIN.split("FROM lines),", 1)[1] + """,
+  kind AS (SELECT DISTINCT chain_id, split_part(chain_id, '/', 1) AS route, CASE WHEN CAST(split_part(chain_id, '/', 2) AS BIGINT) % 2 = 1 THEN 'ex' ELSE 'its' END AS road_type FROM ch)"""
+
+
+def _route_chains(spark, d):
+    places = cameras(spark, d).select("route", "lat", "lon").distinct()
+    pts = places.selectExpr("route", "concat(route, '/', CAST(floor(lat * 2) AS BIGINT)) AS chain_id", "CASE WHEN floor(lat * 2) % 2 = 1 THEN 'ex' ELSE 'its' END AS road_type", "CAST(row_number() OVER (PARTITION BY route, floor(lat * 2) ORDER BY lon, lat) - 1 AS INT) AS seq", "lat", "lon")
+    return kept(R.chain_distance(pts), "chains")
+
+
+def _on_chains_sql(rows: str, name: str, keys: str, join: str) -> str:
+    """SQL: ``rows`` (with plat, plon) projected on each chain that ``join`` gives: ``name`` with ``keys``, chain_id, s_m, off_m."""
+    return f"""{name}_p AS (SELECT {keys}, s.chain_id, seq, cum_m, cum2, (s.lat - plat) * 110540.0::DOUBLE AS ay, (lat2 - s.lat) * 110540.0::DOUBLE AS dy, (s.lon - plon) * cos(radians(plat)) * 111320.0::DOUBLE AS ax, (lon2 - s.lon) * cos(radians(plat)) * 111320.0::DOUBLE AS dx FROM {rows} r {join}),
+  {name}_u AS (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) ELSE 0 END AS h FROM {name}_p),
+  {name}_z AS (SELECT *, round(sqrt(pow(ax + h * dx, 2) + pow(ay + h * dy, 2)), 6) AS off_m, round(cum_m + h * (cum2 - cum_m), 6) AS s_m FROM {name}_u),
+  {name} AS (SELECT * FROM {name}_z QUALIFY row_number() OVER (PARTITION BY {keys}, chain_id ORDER BY off_m, seq) = 1)"""
+
+
+_BESIDE = "beside AS (SELECT id, route, CASE id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS prefer, lat + 0.01::DOUBLE * (id % 9 - 4) AS plat, lon + 0.003::DOUBLE * (id % 7 - 3) AS plon FROM cameras)"
+_FIRST = "CASE WHEN road_type = prefer THEN 0 WHEN road_type = 'ex' THEN 1 ELSE 2 END"
+
+
+@query("r12_find_chain", _ROUTE_LINES + f""", {_BESIDE}, {_on_chains_sql('beside', 'pr', 'id, prefer', 'JOIN kind USING (route) JOIN seg s ON s.chain_id = kind.chain_id')}
+  SELECT id, chain_id, road_type, round(s_m, 3) AS s_m, round(off_m, 3) AS off_m FROM pr JOIN kind USING (chain_id) WHERE off_m <= 3000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_FIRST}, off_m, chain_id) = 1""")
 def r12(spark, d):
-    chains = _chains(spark, d).withColumn("road_type", F.when(F.col("chain_id").startswith("BUILDING/"), "ex").otherwise("its"))
-    return R.find_chain(_projected(spark, d), chains, F.lit("its")).select("id", "chain_id", F.round("off_m", 3).alias("off_m"), "road_type")
+    points = cameras(spark, d).selectExpr("id", "route", "CASE id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS prefer", "lat + 0.01D * (id % 9 - 4) AS plat", "lon + 0.003D * (id % 7 - 3) AS plon")
+    found = R.nearest_chain(points, _route_chains(spark, d))
+    return found.select("id", "chain_id", "road_type", F.round("s_m", 3).alias("s_m"), F.round("off_m", 3).alias("off_m"))
 
 
 _RESOLVE = _PROJECT + """, pr AS (SELECT a.id, a.s_m AS camera_s, b.s_m AS dest_s, b.off_m AS dest_off, l.length_m FROM (SELECT *, lead(id) OVER (PARTITION BY chain_id ORDER BY id) AS dest FROM proj) a LEFT JOIN proj b ON b.id = a.dest AND a.chain_id = b.chain_id
@@ -202,12 +229,73 @@ def r16(spark, d):
     return directions(spark, d).select("camera_id", "index", geo.angle_diff(F.col("heading_deg"), F.lit(77.0)).alias("diff"), geo.compass(F.col("heading_deg")).alias("sector"))
 
 
-@query("r17_auto_headings", with_sql("directions") + """ SELECT camera_id, index, CASE WHEN camera_id % 2 = 0 AND NOT (camera_id % 7 = 0) THEN 90.0::DOUBLE ELSE heading_deg END AS heading_deg,
-  CASE WHEN camera_id % 2 = 0 AND NOT (camera_id % 7 = 0) THEN 'auto' WHEN camera_id % 7 = 0 THEN 'manual' END AS heading_source FROM directions""")
+_N = "(SELECT count(*) FROM cameras)"
+_AIMED = f"""aimed AS (SELECT c.id AS camera_id, index, c.lat AS plat, c.lon AS plon, CASE c.id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS prefer, route, heading_deg, CASE WHEN c.id % 7 = 0 THEN 'manual' END AS heading_source,
+    CASE WHEN (c.id + index) % 11 = 0 THEN '' WHEN (c.id + index) % 13 = 0 THEN 'nowhere' ELSE concat('P', (c.id * 31 + index * 17) % {_N}) END AS destination FROM cameras c JOIN directions ON c.id = camera_id)"""
+
+
+def _aimed(spark, d):
+    """Cameras, directions with destinations that are other cameras' places, and those places."""
+    cams = cameras(spark, d).selectExpr("id", "route", "CASE id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS road_type", "lat", "lon")
+    n = cams.count()
+    rows = directions(spark, d).selectExpr(
+        "camera_id", "index", "'' AS road", "heading_deg", "CASE WHEN camera_id % 7 = 0 THEN 'manual' END AS heading_source", "1.5D AS lat", "2.5D AS lon",
+        f"CASE WHEN (camera_id + index) % 11 = 0 THEN '' WHEN (camera_id + index) % 13 = 0 THEN 'nowhere' ELSE concat('P', (camera_id * 31 + index * 17) % {n}) END AS destination",
+    )
+    return cams, rows, cams.selectExpr("concat('P', id) AS name", "lat", "lon")
+
+
+_RESOLVED = _ROUTE_LINES + f""", {_AIMED}, todo AS (SELECT * FROM aimed WHERE heading_source IS NULL AND destination <> ''),
+  {_on_chains_sql('(SELECT DISTINCT camera_id, route, prefer, plat, plon FROM todo)', 'pr', 'camera_id, prefer', 'JOIN kind USING (route) JOIN seg s ON s.chain_id = kind.chain_id')},
+  onl AS (SELECT camera_id, chain_id, s_m AS camera_s FROM pr JOIN kind USING (chain_id) WHERE off_m <= 3000 QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY {_FIRST}, off_m, chain_id) = 1),
+  goal AS (SELECT todo.camera_id, index, destination, chain_id, camera_s, c.lat AS dlat, c.lon AS dlon FROM todo LEFT JOIN onl USING (camera_id) LEFT JOIN cameras c ON destination = concat('P', c.id)),
+  {_on_chains_sql('(SELECT DISTINCT destination, chain_id AS on_chain, dlat AS plat, dlon AS plon FROM goal WHERE dlat IS NOT NULL AND chain_id IS NOT NULL)', 'de', 'destination', 'JOIN seg s ON s.chain_id = on_chain')},
+  pairs AS (SELECT goal.*, de.s_m AS dest_s, de.off_m AS dest_off, length_m FROM goal LEFT JOIN de ON de.destination = goal.destination AND de.chain_id = goal.chain_id LEFT JOIN (SELECT chain_id, max(cum_m) AS length_m FROM ch GROUP BY 1) l ON l.chain_id = goal.chain_id),
+  judged AS (SELECT *, abs(dest_s - camera_s) < 300 AS near, (dest_s <= 1 OR dest_s >= length_m - 1) AND dest_off > 2000 AS beyond, dest_off >= 15000 AND (dest_s <= 1 OR dest_s >= length_m - 1) AS far FROM pairs),
+  signs AS (SELECT camera_id, index, chain_id, camera_s AS s_m, CASE WHEN NOT near THEN CAST(sign(dest_s - camera_s) AS INT) WHEN near AND beyond AND dest_s <= length_m / 2 THEN -1 WHEN near AND beyond THEN 1 END AS sign,
+    CASE WHEN dest_s IS NULL OR near AND NOT beyond THEN NULL WHEN near OR far THEN 'medium' ELSE 'high' END AS confidence, CASE WHEN chain_id IS NULL THEN 'no line' WHEN dest_s IS NULL THEN 'unknown place' WHEN near AND NOT beyond THEN 'too close' END AS reason FROM judged),
+  hd AS (SELECT camera_id, index, round(({bearing_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} + CASE WHEN sign < 0 THEN 180 ELSE 0 END) % 360, 1) AS heading FROM {_at_sql(_at_sql('(SELECT * FROM signs WHERE sign IS NOT NULL)', 's_m - 400', 'a'), 's_m + 400', 'b')}),
+  all_ AS (SELECT camera_id, index, heading, confidence, reason, count(*) OVER w AS n, count(heading) OVER w AS m, max(heading) OVER w AS o FROM signs LEFT JOIN hd USING (camera_id, index) WINDOW w AS (PARTITION BY camera_id)),
+  resolved AS (SELECT camera_id, index, CASE WHEN heading IS NULL AND n = 2 AND m = 1 THEN (o + 180) % 360 ELSE heading END AS heading, CASE WHEN heading IS NULL AND n = 2 AND m = 1 THEN 'medium' ELSE confidence END AS confidence, reason FROM all_)"""
+
+
+@query("r17_resolve_directions", _RESOLVED + " SELECT camera_id, index, round(heading, 1) AS heading, confidence, reason FROM resolved")
+def r17r(spark, d):
+    cams, rows, places = _aimed(spark, d)
+    return R.resolve_directions(cams, rows, _route_chains(spark, d), places).withColumn("heading", F.round("heading", 1))
+
+
+@query("r17_auto_headings", _RESOLVED + """ SELECT camera_id, index, round(coalesce(heading, heading_deg), 1) AS heading_deg, CASE WHEN heading IS NOT NULL THEN 'auto' ELSE heading_source END AS heading_source,
+  CASE WHEN heading IS NULL THEN 1.5::DOUBLE END AS lat, CASE WHEN heading IS NULL THEN 2.5::DOUBLE END AS lon FROM aimed LEFT JOIN resolved USING (camera_id, index)""")
 def r17(spark, d):
-    rows = directions(spark, d).withColumn("heading_source", F.when(F.col("camera_id") % 7 == 0, "manual"))
-    found = directions(spark, d).filter("camera_id % 2 = 0").select("camera_id", "index", F.lit(90.0).alias("heading"))
-    return R.auto_headings(rows, found)
+    cams, rows, places = _aimed(spark, d)
+    return R.auto_headings(rows, R.resolve_directions(cams, rows, _route_chains(spark, d), places)).withColumn("heading_deg", F.round("heading_deg", 1))
+
+
+_PAINT = _ROUTE_LINES + f""", ds AS (SELECT c.id * 2 + index AS id, c.id AS camera_id, index, heading_deg, route, CASE c.id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS prefer, CASE WHEN c.id % 5 = 0 THEN c.lat + 0.004::DOUBLE * index ELSE c.lat END AS plat, c.lon AS plon
+    FROM cameras c JOIN directions ON c.id = camera_id WHERE (c.id + index) % 9 > 0),
+  {_on_chains_sql('ds', 'pr', 'id, prefer, heading_deg', 'JOIN kind USING (route) JOIN seg s ON s.chain_id = kind.chain_id')},
+  onl AS (SELECT id, heading_deg, chain_id, s_m FROM pr JOIN kind USING (chain_id) WHERE off_m <= 3000 QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_FIRST}, off_m, chain_id) = 1),
+  tg AS (SELECT id, chain_id, s_m, heading_deg, {bearing_sql('a_lat', 'a_lon', 'b_lat', 'b_lon')} % 360 AS tangent FROM {_at_sql(_at_sql('onl', 's_m - 400', 'a'), 's_m + 400', 'b')}),
+  pl AS (SELECT id, chain_id, s_m, CASE WHEN least((heading_deg - tangent + 720) % 360, 360 - (heading_deg - tangent + 720) % 360) <= 90 THEN 1 ELSE -1 END AS sign FROM tg),
+  nb AS (SELECT *, lag(s_m) OVER w AS b, lead(s_m) OVER w AS a FROM (SELECT DISTINCT chain_id, sign, s_m FROM pl) WINDOW w AS (PARTITION BY chain_id, sign ORDER BY s_m)),
+  ex AS (SELECT pl.*, pl.s_m - greatest(800.0::DOUBLE, least(8000.0::DOUBLE, coalesce(abs(b - pl.s_m) / 2, 8000))) AS from_m, pl.s_m + greatest(800.0::DOUBLE, least(8000.0::DOUBLE, coalesce(abs(a - pl.s_m) / 2, 8000))) AS to_m FROM pl JOIN nb ON pl.chain_id = nb.chain_id AND pl.sign = nb.sign AND pl.s_m = nb.s_m),
+  hl AS (SELECT ex.*, least(greatest(from_m, 0), length_m) AS lo, least(greatest(to_m, 0), length_m) AS hi FROM ex JOIN (SELECT chain_id, max(cum_m) AS length_m FROM ch GROUP BY 1) l ON l.chain_id = ex.chain_id),
+  cut AS (SELECT id, m, at_lat AS lat, at_lon AS lon FROM {_at_sql('(SELECT DISTINCT id, chain_id, unnest([lo, hi]) AS m FROM hl)', 'm', 'at')} UNION ALL SELECT id, cum_m, ch.lat, ch.lon FROM hl JOIN ch ON ch.chain_id = hl.chain_id AND cum_m > lo AND cum_m < hi)"""
+
+
+def _painted(spark, d):
+    cams = cameras(spark, d).selectExpr("id", "route", "CASE id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS road_type", "lat", "lon")
+    own = cams.select(F.col("id").alias("camera_id"), F.col("lat").alias("y"))
+    rows = directions(spark, d).join(own, "camera_id").selectExpr("camera_id", "index", "'' AS road", "heading_deg", "CASE WHEN camera_id % 5 = 0 THEN y + 0.004D * index END AS lat", "CAST(NULL AS DOUBLE) AS lon", "(camera_id + index) % 9 > 0 AS measured")
+    return R.painted_segments(cams, rows, _route_chains(spark, d))
+
+
+@query("r18_painted_segments", _PAINT + """ SELECT (id - index) // 2 AS camera_id, index, chain_id, sign, round(from_m, 2) AS from_m, round(to_m, 2) AS to_m, points, round(CASE WHEN sign < 0 THEN last_lat ELSE first_lat END + 1e-7, 5) AS start_lat, round(CASE WHEN sign < 0 THEN last_lon ELSE first_lon END + 1e-7, 5) AS start_lon
+  FROM (SELECT *, CAST(2 - id % 2 AS INT) AS index FROM ex) JOIN (SELECT id, count(*) AS points, arg_min(round(lat, 6), m) AS first_lat, arg_max(round(lat, 6), m) AS last_lat, arg_min(round(lon, 6), m) AS first_lon, arg_max(round(lon, 6), m) AS last_lon FROM cut GROUP BY id) USING (id)""")
+def r18p(spark, d):
+    rows = _painted(spark, d)
+    return rows.select("camera_id", "index", "chain_id", "sign", F.round("from_m", 2).alias("from_m"), F.round("to_m", 2).alias("to_m"), F.size("coords").cast("long").alias("points"), F.round(F.col("coords")[0]["lat"] + 1e-7, 5).alias("start_lat"), F.round(F.col("coords")[0]["lon"] + 1e-7, 5).alias("start_lon"))
 
 
 @query("r18_camera_segments", _PROJECT + """, pl AS (SELECT id, chain_id, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS sign, s_m FROM proj),
@@ -233,7 +321,8 @@ def r19(spark, d):
   FROM (SELECT e.*, s.* EXCLUDE (chain_id), CASE WHEN cum2 > cum_m THEN (s_m - cum_m) / (cum2 - cum_m) ELSE 0 END AS h FROM e JOIN seg s ON e.chain_id = s.chain_id AND s_m >= cum_m AND (s_m < cum2 OR (s_m = length_m AND cum2 = length_m))) e)""")
 def r20(spark, d):
     chains = _chains(spark, d)
-    found = R.find_chain(_projected(spark, d), chains.withColumn("road_type", F.lit("its")), F.lit("its"))
+    points = _lines(spark, d).selectExpr("id", "line AS route", "plat", "plon", "'its' AS prefer")
+    found = R.nearest_chain(points, chains.withColumns({"road_type": F.lit("its"), "route": F.col("chain_id")}))
     out = R.line_near(found, chains, 60_000.0)
     return out.select("id", "chain_id", *(F.round(c, n).alias(c) for c, n in (("off_m", 3), ("s_m", 3), ("lat", 7), ("lon", 7))))
 

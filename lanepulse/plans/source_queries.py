@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.text import match_key
@@ -116,15 +117,54 @@ def s11(spark, d):
     return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("occupancy"), 6).alias("occupancy"))
 
 
-@query("s12_replace_samples", with_sql("samples") + """, f AS (SELECT event_id, camera_id, occupancy FROM samples WHERE source = 'file')
-  SELECT event_id, camera_id, occupancy FROM f WHERE camera_id % 2 = 1 UNION ALL SELECT event_id, camera_id, 0.5::DOUBLE FROM f WHERE camera_id % 2 = 0 AND event_id % 2 = 0
-  UNION ALL SELECT event_id, camera_id, occupancy FROM f WHERE camera_id % 2 = 0 AND camera_id NOT IN (SELECT camera_id FROM f WHERE camera_id % 2 = 0 AND event_id % 2 = 0)""")
+@query("s11_append_stream", with_sql("samples") + " SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(sum(occupancy), 6) AS occupancy FROM samples GROUP BY 1")
+def s11s(spark, d):
+    """A stream over the samples in four files: stopped by a failure after its second batch was written, and started again."""
+    path, rows = S.work_folder(spark, "stream"), samples(spark, d).select("event_id", "camera_id", "occupancy", F.expr("timestamp_micros(CAST(t * 1000000 AS BIGINT))").alias("ts"))
+    for part in range(4):
+        rows.filter(f"event_id % 4 = {part}").coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+    def stream(frame):
+        return frame.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def fail(number):
+        raise RuntimeError(f"lost after batch {number}")
+
+    broken = stream(spark).writeStream.option("checkpointLocation", f"{path}/check").trigger(availableNow=True)
+    write = lambda batch, number: (batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/out/batch={number}"), number and fail(number))
+    try:
+        broken.foreachBatch(write).start().awaitTermination()
+    except StreamingQueryException:
+        pass
+    S.append_stream(stream(spark), f"{path}/out", f"{path}/check").awaitTermination()
+    out = S.read_appended(spark, f"{path}/out")
+    return out.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("occupancy"), 6).alias("occupancy"))
+
+
+_REPLACED = """, f AS (SELECT event_id, camera_id, occupancy FROM samples WHERE source = 'file')
+  SELECT event_id, camera_id, occupancy FROM f WHERE camera_id % 2 = 1 UNION ALL SELECT event_id, camera_id, 0.5::DOUBLE FROM f WHERE camera_id % 2 = 0 AND camera_id % 3 > 0 AND event_id % 2 = 0"""
+
+
+@query("s12_replace_samples", with_sql("samples") + _REPLACED)
 def s12(spark, d):
+    """Even cameras are analysed again: some with half their samples, every third without any."""
     path = S.work_folder(spark, "replace")
     rows = samples(spark, d).filter("source = 'file'").select("event_id", "camera_id", "occupancy")
     S.replace_file_samples(rows, path)
-    S.replace_file_samples(rows.filter("camera_id % 2 = 0 AND event_id % 2 = 0").withColumn("occupancy", F.lit(0.5)), path)
-    return spark.read.parquet(path).select("event_id", F.col("camera_id").cast("long").alias("camera_id"), "occupancy")
+    again = rows.filter("camera_id % 2 = 0 AND camera_id % 3 > 0 AND event_id % 2 = 0").withColumn("occupancy", F.lit(0.5))
+    S.replace_file_samples(again, path, rows.filter("camera_id % 2 = 0").select("camera_id"))
+    return S.read_file_samples(spark, path)
+
+
+@query("s12_replace_live", with_sql("samples") + """, f AS (SELECT event_id, camera_id, occupancy, CAST(ts AS DATE) AS day FROM samples)
+  SELECT event_id, camera_id, occupancy, CAST(day AS VARCHAR) AS day FROM f WHERE camera_id % 2 = 1 UNION ALL SELECT event_id, camera_id, 0.5::DOUBLE, CAST(day AS VARCHAR) FROM f WHERE camera_id % 2 = 0 AND event_id % 2 = 0 AND day < DATE '2024-01-10'""")
+def s12l(spark, d):
+    path = S.work_folder(spark, "live")
+    rows = samples(spark, d).select("event_id", "camera_id", "occupancy", F.expr("timestamp_micros(CAST(t * 1000000 AS BIGINT))").alias("ts"))
+    S.append_samples(rows, path)
+    even = rows.filter("camera_id % 2 = 0")
+    S.replace_live_samples(even.filter("event_id % 2 = 0 and ts < timestamp'2024-01-10'").withColumn("occupancy", F.lit(0.5)), path, even.select("camera_id"))
+    return spark.read.parquet(path).select("event_id", "camera_id", "occupancy", F.col("day").cast("string").alias("day"))
 
 
 @query("s12_delete_samples", with_sql("samples") + " SELECT event_id, camera_id, source FROM samples WHERE NOT (camera_id % 10 = 3 OR (camera_id % 10 = 4 AND source = 'file'))")

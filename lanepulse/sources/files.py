@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.kept import work_folder
+from ..functions.kept import kept, work_folder
 from ..functions.levels import level
 
 KST = "Asia/Seoul"
@@ -108,10 +111,86 @@ def append_samples(samples: DataFrame, path: str) -> None:
     samples.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def replace_file_samples(samples: DataFrame, path: str) -> None:
-    """Replace the samples of the cameras that occur in ``samples``; others stay."""
-    rows = samples.repartition("camera_id")  # one file a camera
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("camera_id").parquet(path)
+def append_stream(samples: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Write a stream of samples to ``path`` and start it; with ``available_now`` it ends once all input is written.
+
+    A micro-batch is one folder, named by its number and written whole in place of what a failed try
+    left there, with a folder per day inside. The checkpoint gives a repeated batch the same number and
+    rows, so a run that was stopped anywhere and started again holds each sample once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number}")
+
+    writer = samples.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    """The samples that :func:`append_stream` wrote; filters on ``day`` choose folders."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replace_file_samples(samples: DataFrame, path: str, cameras: DataFrame | None = None) -> None:
+    """Replace the file samples of the given cameras (camera_id; those in ``samples``, if none are given) by
+    ``samples``; a camera without new samples loses its old ones, and others stay.
+
+    A table is a folder of versions; the highest whole one counts. A new version is written beside it and
+    takes its number by one rename, so a failure on the way leaves the old state. Samples of other cameras than
+    those given are refused. Old versions go once the new one counts. One writer at a time."""
+    spark = samples.sparkSession
+    gone = (samples if cameras is None else cameras).select("camera_id").distinct()
+    if cameras is not None and not samples.join(gone, "camera_id", "left_anti").isEmpty():
+        raise ValueError("samples of a camera that is not replaced")
+    have = _versions(spark, path)
+    rows = samples
+    if have:
+        old = spark.read.parquet(f"{path}/v{have[-1]}")
+        rows = old.join(gone, "camera_id", "left_anti").unionByName(samples.select(*old.columns))
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    rows.repartition("camera_id").sortWithinPartitions("camera_id").write.parquet(staged)
+    number = have[-1] + 1 if have else 1
+    p, files = _folder(spark, staged)
+    if not files.rename(p, _folder(spark, f"{path}/v{number}")[0]):
+        raise OSError(f"version {number} of {path} could not be put in place")
+    for v in have:
+        files.delete(_folder(spark, f"{path}/v{v}")[0], True)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    p, files = _folder(spark, path)
+    names = [s.getPath().getName() for s in files.listStatus(p)] if files.exists(p) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def read_file_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The version of :func:`replace_file_samples` that counts; files hold runs of cameras, which filters on
+    camera_id choose by their statistics."""
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+
+
+def replace_live_samples(samples: DataFrame, path: str, cameras: DataFrame) -> None:
+    """Replace the rows of ``cameras`` in a table with a folder per day (:func:`append_samples`): only
+    days that hold them, or that have new samples, are written, all in one commit."""
+    spark = samples.sparkSession
+    gone = cameras.select("camera_id").distinct()
+    new = samples.withColumn("day", F.to_date("ts"))
+    p, files = _folder(spark, path)
+    if not files.exists(p):
+        new.write.partitionBy("day").parquet(path)
+        return
+    old = spark.read.parquet(path)
+    days = kept(old.join(gone, "camera_id", "left_semi").select("day").union(new.select("day")).distinct(), "days")
+    stay = old.join(F.broadcast(days), "day", "left_semi").join(gone, "camera_id", "left_anti")  # a row a day
+    rows = kept(stay.unionByName(new.select(*old.columns)), "live")  # read before its folders are replaced
+    rows.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    # days that are left without any row
+    for r in days.join(rows.select("day").distinct(), "day", "left_anti").collect():  # a row a day
+        files.delete(_folder(spark, f"{path}/day={r.day}")[0], True)
 
 
 def delete_samples(samples: DataFrame, cameras: DataFrame, source: str | None = None) -> DataFrame:

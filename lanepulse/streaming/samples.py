@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MEANS = ("occupancy", "vehicle_px", "road_px", "n_car", "n_bus", "n_truck")
 
@@ -47,9 +48,101 @@ def stride(source_fps: Column, infer_fps: float) -> Column:
     return F.greatest(F.lit(1), F.round(fps / infer_fps).cast("int"))
 
 
-def stride_sample(frames: DataFrame, infer_fps: float) -> DataFrame:
+def stride_sample(frames: DataFrame, infer_fps: float, idle_s: float | None = None) -> DataFrame:
+    """Every n-th frame of each camera (by :func:`stride` of the frame's rate), counted from the first.
+
+    After more than ``idle_s`` seconds without a frame the count starts anew. Frames without a camera count
+    as one camera's. A stream (with a watermark on ts; columns camera_id, ts, t, seq, source_fps) gives the same frames
+    as a batch, if they come in order: its state is a camera's count, dropped once the watermark
+    is past the idle time. Streams need the RocksDB state store."""
+    if frames.isStreaming:
+        rows = frames.select("camera_id", "ts", "t", "seq", "source_fps", stride(F.col("source_fps"), infer_fps).alias("every"))
+        return _stateful(rows, Stride(idle_s), frames.select("camera_id", "t", "seq", "source_fps").schema)
     w = W.partitionBy("camera_id").orderBy("t", "seq")
-    return frames.withColumn("n", F.row_number().over(w) - 1).filter(F.col("n") % stride(F.col("source_fps"), infer_fps) == 0).drop("n")
+    if idle_s is None:
+        rows, keys = frames, ["camera_id"]
+    else:
+        new = F.coalesce((F.col("t") - F.lag("t").over(w) > idle_s).cast("int"), F.lit(0))
+        rows = frames.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w)).drop("_new")
+        keys = ["camera_id", "_run"]
+    n = F.row_number().over(W.partitionBy(*keys).orderBy("t", "seq"))
+    return rows.withColumn("n", n).filter(F.col("n") % stride(F.col("source_fps"), infer_fps) == 0).drop("n", "_run")
+
+
+def _stateful(rows: DataFrame, processor: StatefulProcessor, schema) -> DataFrame:
+    # a key of its own: pandas leaves out groups whose key is null
+    rows = rows.withColumn("_key", F.coalesce(F.col("camera_id").cast("string"), F.lit("")))
+    return rows.groupBy("_key").transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+class _PerCamera(StatefulProcessor):
+    """Decides on each frame of a camera in turn, with a state of two numbers that a timer drops."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "a double, b double")
+
+    def take(self, state: tuple | None, row) -> tuple[tuple | None, bool]:
+        raise NotImplementedError
+
+    def until(self, state: tuple) -> float | None:
+        """The time from which the state makes no difference."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["t", "seq"], kind="stable")
+        state = tuple(self.held.get()) if self.held.exists() else None
+        keep = []
+        for row in frame.itertuples():
+            state, ok = self.take(state, row)
+            keep.append(ok)
+        self.settle(state, timerValues)
+        columns = [c for c in frame.columns if c not in ("_key", "ts", "every")]
+        yield frame.loc[keep, columns]
+
+    def settle(self, state: tuple | None, timerValues) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if state is not None:
+            self.held.update(state)
+            end = self.until(state)
+            if end is not None:
+                self.handle.registerTimer(max(int(end * 1000) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+class Stride(_PerCamera):
+    """State: frames counted, and the time of the last."""
+
+    def __init__(self, idle_s: float | None):
+        self.idle_s = idle_s
+
+    def take(self, state, row):
+        n = 0 if state is None or (self.idle_s is not None and row.t - state[1] > self.idle_s) else int(state[0])
+        return (float(n + 1), float(row.t)), (n + 1) % int(row.every) == 0
+
+    def until(self, state):
+        return None if self.idle_s is None else state[1] + self.idle_s
+
+
+class RateLimit(_PerCamera):
+    """State: the time of the last kept frame (twice)."""
+
+    def __init__(self, least_s: float):
+        self.least_s = least_s
+
+    def take(self, state, row):
+        ok = state is None or row.t - state[0] >= self.least_s
+        return ((float(row.t), float(row.t)) if ok else state), ok
+
+    def until(self, state):
+        return state[0] + self.least_s
 
 
 def inference_rate(frames: DataFrame) -> DataFrame:
@@ -63,14 +156,19 @@ def rate_limit(frames: DataFrame, least_s: float) -> DataFrame:
     """Frames at least so many seconds after the last kept one of their camera.
 
     Whether a frame is kept depends on those kept before: a fold over each camera's frames,
-    here over sorted partitions, so that no camera is gathered in memory."""
+    here over sorted partitions, so that no camera is gathered in memory. Frames without a camera are one
+    camera's. A stream (as in :func:`stride_sample`) holds the time of each camera's last kept frame, and
+    drops it once the watermark is so far on that any frame would be kept."""
     schema = frames.select("camera_id", "t", "seq").schema
+    if frames.isStreaming:
+        return _stateful(frames.select("camera_id", "ts", "t", "seq"), RateLimit(least_s), schema)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         camera = last = None
         for pdf in parts:
             keep = []
             for c, t in zip(pdf["camera_id"], pdf["t"], strict=True):
+                c = "none" if pd.isna(c) else c
                 ok = c != camera or t - last >= least_s
                 if ok:
                     camera, last = c, t
@@ -106,8 +204,9 @@ def episode_stream(samples: DataFrame, threshold: float, gap_s: float, least_s:
     """Congestion episodes of a stream of samples (camera_id, direction_index, ts, occupancy).
 
     State per camera and direction is one open episode; a lower sample, a gap or the event-time
-    timeout closes it. Samples need a watermark on ts."""
-    out = "camera_id long, direction_index int, start_ts timestamp, end_ts timestamp, peak double, mean double, samples long"
+    timeout closes it. Samples need a watermark on ts. Times are carried as seconds since 1970, so that
+    the session's zone plays no part."""
+    out = "camera_id long, direction_index int, start_t double, end_t double, peak double, mean double, samples long"
     state_type = "start double, end double, peak double, total double, n long"
 
     def step(key, parts, state):
@@ -117,14 +216,13 @@ def episode_stream(samples: DataFrame, threshold: float, gap_s: float, least_s:
         def close():
             nonlocal held
             if held and held[4] >= 2 and held[1] - held[0] >= least_s:
-                at = lambda s: pd.Timestamp(s, unit="s")
-                done.append((*key, at(held[0]), at(held[1]), held[2], held[3] / held[4], held[4]))
+                done.append((*key, held[0], held[1], held[2], held[3] / held[4], held[4]))
             held = None
 
         if state.hasTimedOut:
             close()
         else:
-            rows = sorted((ts.timestamp(), o) for pdf in parts for ts, o in zip(pdf["ts"], pdf["occupancy"], strict=True))
+            rows = sorted((t, o) for pdf in parts for t, o in zip(pdf["t"], pdf["occupancy"], strict=True))
             for t, o in rows:
                 if held and (o < threshold or t - held[1] > gap_s):
                     close()
@@ -134,7 +232,10 @@ def episode_stream(samples: DataFrame, threshold: float, gap_s: float, least_s:
             state.remove()
         else:
             state.update(tuple(held))
-            state.setTimeoutTimestamp(max(int((held[1] + gap_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["camera_id", "direction_index", "start_ts", "end_ts", "peak", "mean", "samples"])
+            state.setTimeoutTimestamp(max(int((held[1] + gap_s) * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(done, columns=["camera_id", "direction_index", "start_t", "end_t", "peak", "mean", "samples"])
 
-    return samples.groupBy("camera_id", "direction_index").applyInPandasWithState(step, out, state_type, "append", "EventTimeTimeout")
+    rows = samples.withColumn("t", F.unix_micros("ts") / 1_000_000)
+    found = rows.groupBy("camera_id", "direction_index").applyInPandasWithState(step, out, state_type, "append", "EventTimeTimeout")
+    at = lambda c: F.timestamp_micros(F.round(F.col(c) * 1_000_000).cast("long"))
+    return found.select("camera_id", "direction_index", at("start_t").alias("start_ts"), at("end_t").alias("end_ts"), "peak", "mean", "samples")

@@ -3,6 +3,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lanepulse.operators.routes import chain_points, spread_points
@@ -46,10 +47,26 @@ def test_captures_logs_and_replacement(spark, tmp_path):
     (tmp_path / "l1.csv").write_text("run,a\n1,2\n")
     (tmp_path / "l2.csv").write_text("run,b\n2,3\n")
     assert S.read_logs(spark, [str(tmp_path / "l1.csv"), str(tmp_path / "l2.csv")]).columns == ["run", "a", "b"]
-    path = str(tmp_path / "samples")
-    S.replace_file_samples(spark.createDataFrame([(1, 0.1), (2, 0.2)], "camera_id int, o double"), path)
-    S.replace_file_samples(spark.createDataFrame([(1, 0.9)], "camera_id int, o double"), path)
-    assert sorted((r.camera_id, r.o) for r in spark.read.parquet(path).collect()) == [(1, 0.9), (2, 0.2)]
+
+
+def test_replacement_by_keys(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "samples"), "camera_id int, o double"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    now = lambda: sorted((r.camera_id, r.o) for r in S.read_file_samples(spark, path).collect())
+    S.replace_file_samples(rows((1, 0.1), (2, 0.2), (3, 0.3)), path)
+    S.replace_file_samples(rows((1, 0.9)), path)
+    assert now() == [(1, 0.9), (2, 0.2), (3, 0.3)]
+    S.replace_file_samples(rows((4, 0.4)), path, rows((2, 0.0), (4, 0.0)))  # camera 2 has no new samples
+    assert now() == [(1, 0.9), (3, 0.3), (4, 0.4)]
+    with pytest.raises(ValueError, match="not replaced"):
+        S.replace_file_samples(rows((5, 0.5)), path, rows((1, 0.0)))
+    # a failure half way leaves the old state
+    broken = rows((1, 0.0), (3, 0.0)).withColumn("o", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        S.replace_file_samples(broken, path)
+    assert now() == [(1, 0.9), (3, 0.3), (4, 0.4)]
+    S.replace_file_samples(rows(), path, rows((1, 0.0), (3, 0.0), (4, 0.0)))
+    assert now() == []
 
 
 def test_chains():
@@ -79,12 +96,15 @@ def test_sample_windows_batch_equals_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     got = sorted(map(tuple, spark.sql("select * from windows").collect()))
-    assert set(got) <= set(want)
+    # the watermark ends a minute before the last frame: windows up to it are out, once each
+    assert got == [w for w in want if w[0] + pd.Timedelta(seconds=5) <= pd.Timestamp("2024-01-01 00:00:09")] and len(got) == 1
 
 
 def test_stride_rate_and_video(spark):
     f = frames(spark).withColumn("t", F.col("seq").cast("double")).withColumn("source_fps", F.lit(30.0)).withColumn("idx", F.col("seq"))
-    assert W.stride_sample(f, 2.0).count() == 5
+    assert [r.seq for r in W.stride_sample(f, 2.0).orderBy("seq").collect()] == [14, 29, 44, 59]
+    gap = f.withColumn("t", F.col("t") + F.when(F.col("seq") >= 20, 100.0).otherwise(0.0))
+    assert [r.seq for r in W.stride_sample(gap, 2.0, 50.0).orderBy("seq").collect()] == [14, 34, 49, 64]
     assert [r.t for r in W.rate_limit(f, 2.5).orderBy("t").limit(3).collect()] == [0.0, 3.0, 6.0]
     assert W.inference_rate(f).filter("fps = 1").count() == 69
     assert W.video_samples(f, 10.0).count() == 7
@@ -100,4 +120,22 @@ def test_episode_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     (row,) = spark.sql("select * from episodes").collect()
-    assert row.samples == 60 and row.peak == 0.3
+    assert row.samples == 60 and row.peak == 0.3 and row.start_ts == pd.Timestamp("2024-01-01")
+
+
+def test_episode_stream_in_another_zone(spark, tmp_path):
+    """An episode that stays open is ended by the watermark alone, whatever the session's zone."""
+    src, at = str(tmp_path / "in"), lambda c: F.timestamp_seconds(F.lit(1704067200) + c)
+    rows = spark.range(60).select(F.lit(1).cast("long").alias("camera_id"), F.lit(0).alias("direction_index"), at(F.col("id")).alias("ts"), F.lit(0.3).alias("occupancy"))
+    other = spark.range(1).select(F.lit(2).cast("long"), F.lit(0), at(F.lit(100)), F.lit(0.0)).toDF(*rows.columns)
+    rows.coalesce(1).write.mode("append").parquet(src)
+    other.write.mode("append").parquet(src)
+    for zone in ("UTC", "Asia/Seoul", "America/New_York"):
+        session = spark.newSession()
+        session.conf.set("spark.sql.session.timeZone", zone)
+        stream = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src).withWatermark("ts", "1 second")
+        out = str(tmp_path / zone.replace("/", "-"))
+        q = W.episode_stream(stream, 0.25, 20, 30).writeStream.format("parquet").option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        (row,) = session.read.parquet(out).select(F.unix_seconds("start_ts").alias("a"), F.unix_seconds("end_ts").alias("b"), "samples").collect()
+        assert tuple(row) == (1704067200, 1704067259, 60), zone
