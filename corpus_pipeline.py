@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept;
 its result is written as Parquet and read again as the next one's documents. All stages but the
-last return the columns of documents.
+last return the columns of documents, whatever other columns they have.
+
+Defined results: null texts are scored, packed and compared as empty ones; line dedup makes them empty; rows
+that repeat an id or have none are documents of their own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,8 +37,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur before; one that loses its whole text goes."""
-    out = line_dedup.dedup_lines(docs).filter("n_removed = 0 or trim(text) <> ''")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs)
+    removed = F.col(out.columns[-1])  # by whatever name it has beside the input's columns
+    out = out.filter((removed == 0) | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,23 +50,25 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     texts whose sets of five-word shingles have a similarity of 0.8. Rows are told apart by a
     number that is written with them, so that rows without an id and rows that repeat one
     count as documents. 38 bands keep the chance that a pair at 0.8 shares no bucket at 3e-7."""
-    scratch = Scratch(spark, "near")
-    docs = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = minhash.near_duplicates(docs, "_row", shingle=5, percent=80, bands=38)
+    scratch, columns = Scratch(spark, "near"), docs.columns
+    # names of their own, whatever the input's are
+    docs = scratch.keep(docs.toDF(*(f"c{i}" for i in range(len(columns)))).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    doc_id, text = (f"c{columns.index(c)}" for c in ("doc_id", "text"))
+    found = minhash.near_duplicates(docs, "_row", text, shingle=5, percent=80, bands=38)
     lost = scratch.keep(found.filter("not kept").select(F.col("doc_id").alias("_row"), "component_id"), "lost")
     member = lost.union(lost.select("component_id", "component_id").distinct())
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = docs.select("_row", "doc_id").join(member, "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col("_row").alias("_row"))
+    first = docs.select("_row", doc_id).join(member, "_row").groupBy("component_id").agg(F.min(order).getField("_row").alias("_row"))
     first = scratch.keep(first, "first")
     gone = lost.join(first, "_row", "left_anti").select("_row").union(first.filter("_row <> component_id").select("component_id"))
     gone = scratch.keep(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(gone, "_row", "left_anti").drop("_row")
+    return docs.join(gone, "_row", "left_anti").drop("_row").toDF(*columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents, packed into sequences of 4096 tokens."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), keep_ids=False)
+    """Pieces of the remaining documents with their ids, packed into sequences of 4096 tokens."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
