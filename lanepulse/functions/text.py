@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +23,18 @@ def normalise_place(name: Column) -> Column:
     return F.regexp_replace(bare, "(" + "|".join(PLACE_SUFFIXES) + ")+$", "")
 
 
+def composed(name: Column) -> Column:
+    """Unicode normal form C, which Spark has no function for: names of files may come decomposed."""
+
+    @F.pandas_udf("string")
+    def nfc(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: n if n is None or n.isascii() else unicodedata.normalize("NFC", n))
+
+    return nfc(name)
+
+
 def match_key(name: Column) -> Column:
-    """Base name without extension, blanks as underscores, lower case."""
-    base = F.regexp_replace(F.substring_index(name, "/", -1), r"\.[^.]*$", "")
+    """Base name without extension in normal form C, blanks as underscores, lower case; folders end with either slash."""
+    path = F.translate(composed(name), "\\", "/")
+    base = F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
     return F.lower(F.regexp_replace(F.trim(base), r"\s+", "_"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.kept import kept
+
 CLASSES = ("car", "bus", "truck")
 
 
@@ -416,3 +418,61 @@ def assign_split(rows: DataFrame, blocks: DataFrame) -> DataFrame:
 def clip_ranges(rows: DataFrame) -> DataFrame:
     """Frames and their range per clip and set."""
     return rows.groupBy("clip", "split").agg(F.count("*").alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+
+
+#: Conditions whose shares the findings name, and the pixels below which an object is small.
+NOTED = {"day_night": ("day", "night", "twilight"), "weather": ("sunny", "rainy", "fog", "snow", "tunnel"), "road_form": ("general", "bridge", "tunnel", "overpass", "shelter")}
+SMALL_PX = 32.0**2
+
+
+def findings(rows: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(finding, name, value): what stands out in a dataset, one row a number.
+
+    ``rows`` is a manifest with brightness and overlap; ``polygons`` has cls and area_train_px. Findings: class_share and bus_images
+    (of images), small_objects (of all and by class), day_night, weather and road_form shares, night_clips by site, easy (images, share,
+    hard images, cameras with easy images only), few_clips (cameras with one or two, each with its clips), bus_sites (the three
+    sites with most buses, and their share), brightness (median by phase), overlap (mean of images with two objects or
+    more), paired_hours (rush-hour clips, cameras with both kinds, and those with more objects in rush hours), and empty_images.
+
+    Images are summed once, by clip and its conditions; all rules but the medians read those sums. Shares of nothing are null."""
+    n = sum((F.col(f"n_{c}") for c in CLASSES), F.lit(0))
+    keys = ["clip", "camera", "site", "day_night", "weather", "road_form", "difficulty", "hour_type"]
+    many = n >= 2
+    base = rows.groupBy(*keys).agg(
+        F.count("*").alias("images"), *(F.sum(f"n_{c}").alias(c) for c in CLASSES), F.count_if(F.col("n_bus") > 0).alias("with_bus"), F.count_if(n == 0).alias("empty"),
+        F.count_if(many).alias("many"), F.sum(F.when(many, F.col("overlap"))).alias("overlap"),
+    )
+    base = kept(base, "findings")
+    objects = sum((F.sum(c) for c in CLASSES), F.lit(0))
+    when = lambda c, v: F.sum(F.when(c, F.col(v)))
+    of = lambda a, b: F.try_divide(F.coalesce(a, F.lit(0)), b)
+    total = F.sum("images")
+    clips = lambda c: F.count_distinct(F.when(c, F.col("clip")))
+    by_camera = base.groupBy("camera").agg(F.count_distinct("clip").alias("clips"), F.count_if(F.col("difficulty") != "easy").alias("hard"))
+    numbers = {("class_share", c): of(F.sum(c), objects) for c in CLASSES}
+    numbers |= {("bus_images", ""): of(F.sum("with_bus"), total), ("empty_images", ""): F.sum("empty"), ("overlap", ""): of(F.sum("overlap"), F.sum("many"))}
+    numbers |= {(a, v): of(when(F.col(a) == v, "images"), total) for a, vs in NOTED.items() for v in vs}
+    easy = F.col("difficulty") == "easy"
+    numbers |= {("easy", "images"): when(easy, "images"), ("easy", "share"): of(when(easy, "images"), total), ("easy", "hard_images"): when(~easy, "images")}
+    numbers |= {("paired_hours", "rush_clips"): clips(F.col("hour_type") == "RH")}
+    listed = lambda rows, what: rows.select(F.inline(F.array(*(F.struct(F.lit(f).alias("finding"), F.lit(name).alias("name"), F.coalesce(v, F.lit(0.0)).alias("value") if f != "overlap" else v.alias("value")) for (f, name), v in what.items()))))
+    one = base.agg(*(c.cast("double").alias(f"v{k}") for k, c in enumerate(numbers.values())))  # a single row
+    out = listed(one, {key: F.col(f"v{k}") for k, key in enumerate(numbers)})
+    row = lambda rows, finding, name, value: rows.select(F.lit(finding).alias("finding"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    out = out.unionByName(row(by_camera.filter("hard = 0").agg(F.count("*").alias("n")), "easy", F.lit("cameras_easy_only"), F.col("n")))
+    out = out.unionByName(row(by_camera.filter("clips <= 2"), "few_clips", F.col("camera"), F.col("clips")))
+    night = base.filter("day_night = 'night'").groupBy("site").agg(F.count_distinct("clip").alias("n"))
+    out = out.unionByName(row(night, "night_clips", F.col("site"), F.col("n")))
+    buses = base.groupBy("site").agg(F.sum("bus").alias("bus")).filter("bus > 0")
+    top = buses.orderBy(F.desc("bus"), "site").limit(3)
+    whole = buses.agg(F.sum("bus").alias("all_buses"))  # a single row
+    out = out.unionByName(row(top, "bus_sites", F.col("site"), F.col("bus")))
+    out = out.unionByName(row(top.agg(F.sum("bus").alias("bus")).crossJoin(F.broadcast(whole)), "bus_sites", F.lit("(share)"), of(F.col("bus"), F.col("all_buses"))))
+    kinds = base.filter("hour_type in ('NH', 'RH')").groupBy("camera", "hour_type").agg(of(objects, total).alias("m"))
+    both = kinds.groupBy("camera").pivot("hour_type", ["NH", "RH"]).agg(F.first("m")).filter("NH is not null and RH is not null")
+    pairs = both.agg(F.count("*").alias("both"), F.count_if(F.col("RH") > F.col("NH")).alias("more"))
+    out = out.unionByName(row(pairs, "paired_hours", F.lit("cameras_with_both"), F.col("both"))).unionByName(row(pairs, "paired_hours", F.lit("cameras_more_in_rush"), F.col("more")))
+    light = rows.filter("brightness is not null and day_night <> ''").groupBy("day_night").agg(F.percentile("brightness", 0.5).alias("m"))
+    out = out.unionByName(row(light, "brightness", F.col("day_night"), F.col("m")))
+    small = polygons.groupingSets([["cls"], []], "cls").agg(F.grouping("cls").alias("g"), F.avg((F.col("area_train_px") < SMALL_PX).cast("int")).alias("s"))
+    return out.unionByName(row(small, "small_objects", F.when(F.col("g") == 1, "(all)").otherwise(F.col("cls")), F.col("s")))

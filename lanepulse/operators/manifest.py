@@ -104,6 +104,46 @@ def conditions(rows: DataFrame) -> DataFrame:
     return out.withColumn("difficulty", F.when(F.col("hard_reasons") == "", "easy").otherwise("hard"))
 
 
+#: The assembled manifest: one row an image.
+MANIFEST = {
+    "image_id": "string", "file_name": "string", "clip": "string", "region": "string", "image_archive": "string", "label_archive": "string", "zip_member": "string", "xml_member": "string",
+    "width": "int", "height": "int", "xml_width": "int", "xml_height": "int", "size_scaled": "boolean", "resolution": "string", "orientation": "string", "src_mode": "string", "src_bytes": "bigint", "jpg_bytes": "bigint",
+    "gt_car": "int", "gt_bus": "int", "gt_truck": "int", "gt_total": "int", "n_dropped_polygons": "int", "meta_parsed": "boolean", **dict.fromkeys(CLIP_FIELDS, "string"),
+    "camera": "string", "cam_height_m": "double", "lane_direction": "string", "lane_count": "int", "day_night": "string", "min_from_sunset": "int", "time_band": "string", "road_form": "string", "hard_reasons": "string", "difficulty": "string", "frame": "int",
+}
+
+
+def build_manifest(images: DataFrame) -> DataFrame:
+    """The manifest of matched images, with exactly the columns and types of ``MANIFEST``.
+
+    ``images`` has stem, clip, where it comes from (region, image_archive, label_archive, zip_member, xml_member), its sizes and
+    those of its labels, src_mode, src_bytes, jpg_bytes, objects a class (gt_) and n_dropped_polygons. The frame is the number at the
+    stem's end; everything else follows from the sizes and the clip's name. A missing column is an error."""
+    w, h = F.col("width"), F.col("height")
+    rows = images.withColumns(
+        {
+            "image_id": F.col("stem"),
+            "file_name": F.concat("stem", F.lit(".jpg")),
+            "size_scaled": check_size(w, h, F.col("xml_width"), F.col("xml_height"))[1],
+            "resolution": F.concat_ws("x", w.cast("string"), h.cast("string")),
+            "orientation": F.when(w > h, "landscape").when(h > w, "portrait").otherwise("square"),
+            "gt_total": F.col("gt_car") + F.col("gt_bus") + F.col("gt_truck"),
+            "frame": F.regexp_extract("stem", r"(\d+)$", 1).try_cast("int"),
+        }
+    )
+    return conditions(parse_clip(rows)).select(*(F.col(c).cast(t).alias(c) for c, t in MANIFEST.items()))
+
+
+def read_kept_manifest(spark, path: str) -> DataFrame:
+    """A manifest that was written by Parquet, checked against ``MANIFEST``; queries read the columns they need."""
+    rows = spark.read.parquet(path)
+    have = dict(rows.dtypes)
+    wrong = [c for c, t in MANIFEST.items() if have.get(c) != t]
+    if wrong:
+        raise ValueError(f"not a manifest: {', '.join(wrong)}")
+    return rows
+
+
 def polygon_area_centroid(points: Column) -> Column:
     """Struct of area, cx, cy of an array of (x, y); a flat polygon has the mean of its vertices."""
     turned = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))

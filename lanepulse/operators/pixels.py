@@ -1,7 +1,8 @@
 """From segmented pixels to per-direction occupancy.
 
-Tables are long: ``road`` (x, y, d; 0 is no road), ``veh`` (frame_id, x, y, cls), ``inst``
-(frame_id, inst_id, cls, conf, cx, cy, x1, y1, x2, y2; upper box edges exclusive).
+Tables are long and hold many cameras, each with a mask of its own: ``road`` (camera_id, x, y, d; 0 is no road), ``frames``
+(frame_id, camera_id), ``veh`` (frame_id, camera_id, x, y, cls), ``inst`` (frame_id, camera_id, inst_id, cls, conf, cx, cy, x1, y1, x2, y2;
+upper box edges exclusive). A frame belongs to one camera.
 """
 
 from __future__ import annotations
@@ -15,84 +16,113 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 CLASSES = {1: "car", 2: "bus", 3: "truck"}
+FRAMES = 256
 
 
 def road_sizes(road: DataFrame) -> DataFrame:
-    return road.filter("d > 0").groupBy("d").agg(F.count("*").alias("road_px"))
+    return road.filter("d > 0").groupBy("camera_id", "d").agg(F.count("*").alias("road_px"))
 
 
 def count_table(frames: DataFrame, road: DataFrame, veh: DataFrame) -> DataFrame:
     """Pixels per frame, direction and class; class 0 is road without a vehicle.
 
     Only vehicle pixels are joined: the free road is what they leave of each direction's size."""
-    hit = veh.filter("cls > 0").join(road, ["x", "y"]).groupBy("frame_id", "d", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("px"))
-    sizes = road.groupBy("d").agg(F.count("*").alias("px"))
-    grid = frames.select("frame_id").distinct().join(F.broadcast(sizes)).select("frame_id", "d", F.lit(0).alias("cls"), "px")  # a few directions
+    hit = veh.filter("cls > 0").join(road, ["camera_id", "x", "y"]).groupBy("frame_id", "camera_id", "d", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("px"))
+    sizes = road.groupBy("camera_id", "d").agg(F.count("*").alias("px"))
+    # a few directions a camera
+    grid = frames.select("frame_id", "camera_id").distinct().join(sizes, "camera_id").select("frame_id", "camera_id", "d", F.lit(0).alias("cls"), "px")
     # what vehicles cover counts for its class, and is taken from the free road
     both = F.array(F.struct("cls", "px"), F.struct(F.lit(0).alias("cls"), (-F.col("px")).alias("px")))
-    rows = grid.unionByName(hit.select("frame_id", "d", F.inline(both)))
-    return rows.groupBy("frame_id", "d", "cls").agg(F.sum("px").alias("px")).filter("px > 0")
+    rows = grid.unionByName(hit.select("frame_id", "camera_id", "d", F.inline(both)))
+    return rows.groupBy("frame_id", "camera_id", "d", "cls").agg(F.sum("px").alias("px")).filter("px > 0")
 
 
 def occupancy(counts: DataFrame, frames: DataFrame) -> DataFrame:
     """Vehicle share per measured direction, and of the whole road as direction 0 for every frame."""
     of = lambda c: F.coalesce(F.sum(F.when(c, F.col("px"))), F.lit(0))
-    aggs = [F.coalesce(F.sum("px"), F.lit(0)).alias("road_px"), of(F.col("cls") > 0).alias("vehicle_px"), *(of(F.col("cls") == c).alias(f"{n}_px") for c, n in CLASSES.items())]
+    aggs = [F.max("camera_id").alias("camera_id"), F.coalesce(F.sum("px"), F.lit(0)).alias("road_px"), of(F.col("cls") > 0).alias("vehicle_px"), *(of(F.col("cls") == c).alias(f"{n}_px") for c, n in CLASSES.items())]
     # a row without pixels stands for each frame, so that frames without road have their total
-    blank = frames.select("frame_id").distinct().select("frame_id", F.lit(None).cast("int").alias("d"), F.lit(None).cast("int").alias("cls"), F.lit(None).cast("long").alias("px"))
-    rows = counts.filter("d > 0").select("frame_id", F.col("d").cast("int").alias("d"), "cls", F.col("px").cast("long").alias("px")).unionByName(blank)
+    blank = frames.select("frame_id", "camera_id").distinct().select("frame_id", "camera_id", F.lit(None).cast("int").alias("d"), F.lit(None).cast("int").alias("cls"), F.lit(None).cast("long").alias("px"))
+    rows = counts.filter("d > 0").select("frame_id", "camera_id", F.col("d").cast("int").alias("d"), "cls", F.col("px").cast("long").alias("px")).unionByName(blank)
     out = rows.groupingSets([["frame_id", "d"], ["frame_id"]], "frame_id", "d").agg(F.grouping("d").alias("whole"), *aggs)
     out = out.filter("whole = 1 or d is not null").withColumn("d", F.coalesce("d", F.lit(0))).drop("whole")
     return out.withColumn("occupancy", F.when(F.col("road_px") > 0, F.round(F.col("vehicle_px") / F.col("road_px"), 10)).otherwise(0.0))
 
 
+def area_sums(road: DataFrame, width: int, height: int) -> DataFrame:
+    """(camera_id, d, y, sums): for each camera and direction a summed-area table, a row for each height from 0: ``sums[x]``
+    is the number of its road pixels left of ``x`` and above ``y``. A task holds one camera's mask at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for d, one in pdf.groupby("d"):
+            mask = np.zeros((height + 1, width + 1), np.int32)
+            mask[one["y"].to_numpy() + 1, one["x"].to_numpy() + 1] = 1
+            sums = mask.cumsum(axis=0, dtype=np.int32).cumsum(axis=1, dtype=np.int32)
+            out.append(pd.DataFrame({"camera_id": pdf["camera_id"].iloc[0], "d": d, "y": np.arange(height + 1), "sums": list(sums)}))
+        return pd.concat(out)
+
+    inside = road.filter(f"d > 0 and x >= 0 and x < {width} and y >= 0 and y < {height}").select("camera_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("d").cast("int").alias("d"))
+    kind = road.schema["camera_id"].dataType.simpleString()
+    return inside.groupBy("camera_id").applyInPandas(run, f"camera_id {kind}, d int, y int, sums array<int>")
+
+
+def box_votes(boxes: DataFrame, sums: DataFrame, width: int, height: int) -> DataFrame:
+    """(frame_id, inst_id, d, px): road pixels of each direction in each box, by four look-ups in the summed areas."""
+    edge = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0)), F.lit(n)).cast("int")
+    rows = boxes.select("frame_id", "inst_id", "camera_id", edge("x1", width).alias("a"), edge("x2", width).alias("b"), edge("y1", height).alias("top"), edge("y2", height).alias("low"))
+    rows = rows.select("frame_id", "inst_id", "camera_id", "a", "b", F.inline(F.array(F.struct(F.col("low").alias("y"), F.lit(1).alias("sign")), F.struct(F.col("top").alias("y"), F.lit(-1).alias("sign")))))
+    px = F.sum(F.col("sign") * (F.get("sums", F.col("b")) - F.get("sums", F.col("a"))))
+    return rows.join(sums, ["camera_id", "y"]).groupBy("frame_id", "inst_id", "d").agg(px.alias("px")).filter("px > 0")
+
+
 def count_vehicles(inst: DataFrame, road: DataFrame, width: int, height: int) -> DataFrame:
     """Vehicles per frame, direction and class: each counts where its clamped centre lies; off the
     road, for the commonest direction inside its box (the lowest of equals), if any."""
     at = lambda c, n: F.least(F.greatest(F.col(c).cast("int"), F.lit(0)), F.lit(n - 1))
     rows = inst.withColumn("x", at("cx", width)).withColumn("y", at("cy", height))
-    named = road.filter("d > 0")
-    hit = rows.join(named, ["x", "y"], "left")
+    hit = rows.join(road.filter("d > 0").select("camera_id", "x", "y", "d"), ["camera_id", "x", "y"], "left")
     direct = hit.filter("d is not null").select("frame_id", "inst_id", "cls", "d")
-    lost = hit.filter("d is null").select("frame_id", "inst_id", "cls", "x1", "y1", "x2", "y2")
-    # box rows as points of an equi-join: a box has few rows, and each row few columns
-    spans = lost.withColumn("y", F.explode(F.sequence("y1", F.greatest("y2", F.col("y1") + 1) - 1))).withColumn("x", F.explode(F.sequence("x1", F.greatest("x2", F.col("x1") + 1) - 1)))
-    votes = spans.join(named, ["x", "y"]).groupBy("frame_id", "inst_id", "cls", "d").count()
-    best = votes.groupBy("frame_id", "inst_id", "cls").agg(F.min(F.struct((-F.col("count")).alias("n"), "d")).alias("b")).select("frame_id", "inst_id", "cls", F.col("b.d").alias("d"))
-    all_rows = direct.unionByName(best)
+    # a box holds one pixel at least
+    wide = lambda c: F.greatest(F.col(f"{c}2"), F.col(f"{c}1") + 1).alias(f"{c}2")
+    lost = hit.filter("d is null").select("frame_id", "inst_id", "camera_id", "cls", "x1", "y1", wide("x"), wide("y"))
+    votes = box_votes(lost, area_sums(road, width, height), width, height)
+    best = votes.groupBy("frame_id", "inst_id").agg(F.min(F.struct((-F.col("px")).alias("n"), "d")).alias("b")).select("frame_id", "inst_id", F.col("b.d").alias("d"))
+    all_rows = direct.unionByName(lost.select("frame_id", "inst_id", "cls").join(best, ["frame_id", "inst_id"]))
     per = all_rows.groupBy("frame_id", F.col("d").cast("int").alias("d"), "cls").agg(F.count("*").alias("vehicles"))
     return per.unionByName(all_rows.groupBy("frame_id", F.lit(0).alias("d"), "cls").agg(F.count("*").alias("vehicles")))
 
 
 def roi(road: DataFrame, width: int, height: int, pad: int = 32) -> DataFrame:
-    """Box of the road with a margin, clamped to the frame (upper edges exclusive); null without road."""
-    r = road.filter("d > 0").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    """Each camera's box of the road with a margin, clamped to the frame (upper edges exclusive); null without road."""
+    on = lambda c: F.when(F.col("d") > 0, F.col(c))
+    r = road.groupBy("camera_id").agg(F.min(on("x")).alias("x0"), F.min(on("y")).alias("y0"), F.max(on("x")).alias("x1"), F.max(on("y")).alias("y1"))
     low = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c) - pad, F.lit(0)))
     high = lambda c, n: F.when(F.col(c).isNotNull(), F.least(F.col(c) + 1 + pad, F.lit(n)))
-    return r.select(low("x0").alias("x0"), low("y0").alias("y0"), high("x1", width).alias("x1"), high("y1", height).alias("y1"))
+    return r.select("camera_id", low("x0").alias("x0"), low("y0").alias("y0"), high("x1", width).alias("x1"), high("y1", height).alias("y1"))
 
 
 def mask_out(veh: DataFrame, road: DataFrame) -> DataFrame:
     """Vehicle pixels on the road."""
-    return veh.join(road.filter("d > 0"), ["x", "y"], "left_semi").select("frame_id", "x", "y", "cls")
+    return veh.join(road.filter("d > 0"), ["camera_id", "x", "y"], "left_semi").select("frame_id", "x", "y", "cls")
 
 
-def keep_instances(inst: DataFrame, road: DataFrame) -> DataFrame:
+def keep_instances(inst: DataFrame, road: DataFrame, width: int, height: int) -> DataFrame:
     """Instances whose box is road by half at least, or whose centre is on the road."""
-    named = road.filter("d > 0").select("x", "y")
-    cells = inst.withColumn("y", F.explode(F.sequence("y1", F.col("y2") - 1))).withColumn("x", F.explode(F.sequence("x1", F.col("x2") - 1)))
-    on = cells.join(named, ["x", "y"]).groupBy("frame_id", "inst_id").agg(F.count("*").alias("on"))
-    centre = inst.select("frame_id", "inst_id", F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y")).join(named, ["x", "y"], "left_semi").select("frame_id", "inst_id", F.lit(True).alias("centred"))
+    any_road = road.withColumn("d", (F.col("d") > 0).cast("int"))
+    on = box_votes(inst, area_sums(any_road, width, height), width, height).select("frame_id", "inst_id", F.col("px").alias("on"))
+    named = road.filter("d > 0").select("camera_id", "x", "y")
+    centre = inst.select("frame_id", "inst_id", "camera_id", F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y")).join(named, ["camera_id", "x", "y"], "left_semi").select("frame_id", "inst_id", F.lit(True).alias("centred"))
     rows = inst.join(on, ["frame_id", "inst_id"], "left").join(centre, ["frame_id", "inst_id"], "left")
     share = F.coalesce("on", F.lit(0)) / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
     return rows.filter((share >= 0.5) | F.coalesce("centred", F.lit(False))).select("frame_id", "inst_id", "cls")
 
 
 def paint(pixels: DataFrame) -> DataFrame:
-    """Each pixel's class: of the smallest instance that covers it (frame_id, inst_id, cls, area, x, y)."""
+    """Each pixel's class: of the smallest instance that covers it (frame_id, camera_id, inst_id, cls, area, x, y)."""
     cls = F.when(F.col("cls").isin(*CLASSES), F.col("cls")).otherwise(1)
-    best = pixels.withColumn("cls", cls).groupBy("frame_id", "x", "y").agg(F.min(F.struct("area", "inst_id", "cls")).alias("b"))
-    return best.select("frame_id", "x", "y", F.col("b.cls").cast("int").alias("cls"))
+    best = pixels.withColumn("cls", cls).groupBy("frame_id", "camera_id", "x", "y").agg(F.min(F.struct("area", "inst_id", "cls")).alias("b"))
+    return best.select("frame_id", "camera_id", "x", "y", F.col("b.cls").cast("int").alias("cls"))
 
 
 def instance_stats(pixels: DataFrame) -> DataFrame:
@@ -101,20 +131,20 @@ def instance_stats(pixels: DataFrame) -> DataFrame:
 
 
 def resize_mask(road: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:
-    """Nearest-neighbour resize: every target pixel takes the source pixel at its scaled place."""
+    """Nearest-neighbour resize: every target pixel takes its camera's source pixel at its scaled place."""
     spark = road.sparkSession
     grid = spark.range(to_width * to_height).select((F.col("id") % to_width).cast("int").alias("x"), F.floor(F.col("id") / to_width).cast("int").alias("y"))
     grid = grid.select("x", "y", F.floor(F.col("x") * width / to_width).cast("long").alias("sx"), F.floor(F.col("y") * height / to_height).cast("long").alias("sy"))
-    source = road.select(F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"), "d")
-    return grid.join(source, ["sx", "sy"]).select("x", "y", "d")
+    source = road.select("camera_id", F.col("x").cast("long").alias("sx"), F.col("y").cast("long").alias("sy"), "d")
+    return source.join(grid, ["sx", "sy"]).select("camera_id", "x", "y", "d")
 
 
 def mask_stats(mask: DataFrame, directions: int) -> DataFrame:
-    """Pixels per direction (labels above the number of directions are no road), coverage, and
+    """Pixels per camera and direction (labels above the number of directions are no road), coverage, and
     whether every direction occurs."""
     rows = mask.withColumn("d", F.when(F.col("d") > directions, 0).otherwise(F.col("d")))
-    total = rows.agg(F.round(F.avg((F.col("d") > 0).cast("int")), 10).alias("coverage"), (F.count_distinct(F.when(F.col("d") > 0, F.col("d"))) == directions).alias("complete"))
-    return rows.groupBy(F.col("d").cast("int").alias("d")).agg(F.count("*").alias("px")).crossJoin(F.broadcast(total))  # one row
+    total = rows.groupBy("camera_id").agg(F.round(F.avg((F.col("d") > 0).cast("int")), 10).alias("coverage"), (F.count_distinct(F.when(F.col("d") > 0, F.col("d"))) == directions).alias("complete"))
+    return rows.groupBy("camera_id", F.col("d").cast("int").alias("d")).agg(F.count("*").alias("px")).join(total, "camera_id")
 
 
 def split_by_line(road: DataFrame, line: list[tuple[float, float]], left: int, right: int) -> DataFrame:
@@ -123,12 +153,13 @@ def split_by_line(road: DataFrame, line: list[tuple[float, float]], left: int, r
     px, py = F.col("x") + 0.5, F.col("y") + 0.5
     for (ax, ay), (bx, by) in zip(line, line[1:], strict=False):
         dx, dy = bx - ax, by - ay
-        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy)))
+        size = dx * dx + dy * dy  # a repeated point is a segment of no length
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / size)) if size else F.lit(0.0)
         d2 = F.pow(px - ax - share * dx, 2) + F.pow(py - ay - share * dy, 2)
         side = F.when(dx * (py - ay) - dy * (px - ax) >= 0, left).otherwise(right)
         here = F.struct(F.round(d2, 9).alias("d2"), side.alias("side"))
         best = here if best is None else F.when(here["d2"] < best["d2"], here).otherwise(best)
-    return road.filter("d > 0").select("x", "y", best["side"].alias("d"))
+    return road.filter("d > 0").select("camera_id", "x", "y", best["side"].alias("d"))
 
 
 def inside(x, y, polygon: list[tuple[float, float]]):
@@ -143,27 +174,36 @@ def inside(x, y, polygon: list[tuple[float, float]]):
 
 def assign_in_polygon(road: DataFrame, polygon: list[tuple[float, float]], label: int) -> DataFrame:
     hit = inside(F.col("x") + 0.5, F.col("y") + 0.5, polygon)
-    return road.select("x", "y", F.when(hit, label).otherwise(F.col("d")).alias("d"))
-
-
-def area_error(pred: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Per image and confidence threshold: predicted and true pixels, their IoU (1 if both are empty)
-    and the absolute error of the pixel counts. ``pred`` has image, pixel, conf; ``truth`` image, pixel."""
-    steps = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    p = pred.groupBy("image", "pixel").agg(F.max("conf").alias("conf")).select("*", steps).filter("conf >= threshold").select("image", "threshold", "pixel", F.lit(1).alias("p"))
-    t = truth.distinct().select("image", steps, "pixel").select("image", "threshold", "pixel", F.lit(1).alias("t"))
-    rows = p.join(t, ["image", "threshold", "pixel"], "full").groupBy("image", "threshold").agg(
-        F.count("p").alias("pred_px"), F.count("t").alias("true_px"), F.count_if(F.col("p").isNotNull() & F.col("t").isNotNull()).alias("both")
-    )
-    images = pred.select("image").union(truth.select("image")).distinct().select("image", steps)
-    rows = images.join(rows, ["image", "threshold"], "left").na.fill(0)
+    return road.select("camera_id", "x", "y", F.when(hit, label).otherwise(F.col("d")).alias("d"))
+
+
+def area_error(pred: DataFrame, truth: DataFrame, images: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Per image and confidence threshold: predicted and true share of the image in percent, how far they are
+    apart (``error``, percentage points), and the IoU of their pixels (1 if both are empty).
+
+    ``pred`` has image, pixel, conf; ``truth`` image, pixel; ``images`` image and px, its number of pixels. Images without
+    either have a row, others than those in ``images`` none."""
+    # a pixel counts at the thresholds up to its highest confidence: one row, whatever the number of thresholds
+    p = pred.groupBy("image", "pixel").agg(F.max("conf").alias("conf"))
+    t = truth.select("image", "pixel").distinct().withColumn("t", F.lit(1))
+    pixels = p.join(t, ["image", "pixel"], "full")
+    at = lambda c: [F.count_if((F.col("conf") >= th) & c).alias(str(k)) for k, th in enumerate(thresholds)]
+    n, m = len(thresholds), F.lit(True)
+    counts = pixels.groupBy("image").agg(F.count("t").alias("true_px"), F.array(*at(m)).alias("pred"), F.array(*at(F.col("t").isNotNull())).alias("both"))
+    rows = images.select("image", "px").join(counts, "image", "left")
+    th = F.array(*map(F.lit, thresholds))
+    zero = F.array_repeat(F.lit(0).cast("long"), n)
+    rows = rows.select("image", "px", F.coalesce("true_px", F.lit(0)).alias("true_px"), F.explode(F.arrays_zip(th.alias("threshold"), F.coalesce("pred", zero).alias("pred"), F.coalesce("both", zero).alias("both"))).alias("r"))
+    rows = rows.select("image", "px", "true_px", F.col("r.threshold").alias("threshold"), F.col("r.pred").alias("pred_px"), F.col("r.both").alias("both"))
+    share = lambda c: F.col(c) / F.col("px") * 100
     union = F.col("pred_px") + F.col("true_px") - F.col("both")
-    return rows.select("image", "threshold", "pred_px", "true_px", F.round(F.when(union > 0, F.col("both") / union).otherwise(1.0), 10).alias("iou"), F.abs(F.col("pred_px") - F.col("true_px")).alias("error"))
+    return rows.select("image", "threshold", F.round(share("pred_px"), 10).alias("pred_ratio"), F.round(share("true_px"), 10).alias("true_ratio"), F.round(F.when(union > 0, F.col("both") / union).otherwise(1.0), 10).alias("iou"), F.round(F.abs(share("pred_px") - share("true_px")), 10).alias("error"))
 
 
 def area_by_conf(errors: DataFrame) -> DataFrame:
     """Means per threshold, with the threshold of the least mean error (the lowest of equals)."""
-    per = errors.groupBy("threshold").agg(F.round(F.avg("error"), 10).alias("error"), F.round(F.avg("iou"), 10).alias("iou"))
+    mean = lambda c: F.round(F.avg(c), 10).alias(c)
+    per = errors.groupBy("threshold").agg(*map(mean, ("error", "iou", "pred_ratio", "true_ratio")))
     best = per.agg(F.min(F.struct("error", "threshold")).alias("b")).select(F.col("b.threshold").alias("best"))
     return per.crossJoin(F.broadcast(best))  # one row
 
@@ -248,24 +288,36 @@ def fill_label(label: np.ndarray, vehicles: np.ndarray, pad: int, touch: float,
 
 
 def fill_footprints(veh: DataFrame, road: DataFrame, width: int, height: int, pad: int = 12, touch: float = 0.1, hole: float = 0.02) -> DataFrame:
-    """Road pixels that vehicles hide, per frame: (frame_id, x, y, d) of all pixels that are added.
+    """Road pixels that vehicles hide, per frame: (frame_id, camera_id, x, y, d) of all pixels that are added.
 
     A connected run of vehicle pixels off the road takes the direction that its surroundings of
     ``pad`` pixels show most (the lowest of equals), if at least ``touch`` of them show it; then empty
     parts that one direction encloses, up to a share ``hole`` of the frame, take that direction.
-    A task holds the pixels of one frame at a time; the road labels are one frame of ``width`` by
-    ``height`` pixels, the highest direction of a pixel that is given twice. Pixels outside drop out."""
+    A task holds a camera's mask and the pixels of some ``FRAMES`` of its frames at a time; of a mask's pixel that is given twice the highest direction counts. Pixels outside drop out, and
+    frames whose camera has no mask have none."""
     inside = f"x >= 0 and x < {width} and y >= 0 and y < {height}"
-    pixels = road.filter(inside).groupBy("x", "y").agg(F.max("d").alias("d")).filter("d > 0").collect()  # at most width * height
-    label = np.zeros((height, width), np.int32)
-    for r in pixels:
-        label[r.y, r.x] = r.d
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mask = np.zeros((height, width), bool)
-        mask[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = True
-        out = fill_label(label, mask, pad, touch, hole)
-        y, x = np.nonzero(out != label)
-        return pd.DataFrame({"frame_id": np.full(len(y), pdf["frame_id"].iloc[0]), "x": x, "y": y, "d": out[y, x]})
-
-    return veh.filter(inside).select("frame_id", "x", "y").groupBy("frame_id").applyInPandas(run, "frame_id long, x int, y int, d int")
+    place = (F.col("y") * width + F.col("x")).cast("int").alias("at")
+    masks = road.filter(inside).filter("d > 0").groupBy("camera_id", place).agg(F.max("d").cast("int").alias("d"))
+    pixels = veh.filter(inside).select("frame_id", "camera_id", place)
+    # a camera's frames in parts, each beside the mask
+    parts = pixels.select("frame_id", "camera_id").distinct().groupBy("camera_id").agg(F.ceil(F.count("*") / FRAMES).cast("int").alias("parts"))
+    pixels = pixels.join(parts, "camera_id").withColumn("part", F.pmod(F.xxhash64("frame_id"), F.col("parts")).cast("int")).drop("parts")
+    masks = masks.join(parts, "camera_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def run(frames: pd.DataFrame, mask: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"frame_id": [], "camera_id": [], "x": [], "y": [], "d": []})]
+        if len(mask):
+            label = np.zeros(width * height, np.int32)
+            label[mask["at"].to_numpy()] = mask["d"].to_numpy()
+            label = label.reshape(height, width)
+            for frame, one in frames.groupby("frame_id"):
+                hidden = np.zeros(width * height, bool)
+                hidden[one["at"].to_numpy()] = True
+                filled = fill_label(label, hidden.reshape(height, width), pad, touch, hole)
+                y, x = np.nonzero(filled != label)
+                if len(y):
+                    out.append(pd.DataFrame({"frame_id": frame, "camera_id": one["camera_id"].iloc[0], "x": x, "y": y, "d": filled[y, x]}))
+        return pd.concat(out[1:] or out)
+
+    schema = f"frame_id {veh.schema['frame_id'].dataType.simpleString()}, camera_id {road.schema['camera_id'].dataType.simpleString()}, x int, y int, d int"
+    return pixels.groupBy("camera_id", "part").cogroup(masks.groupBy("camera_id", "part")).applyInPandas(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.kept import work_folder
 from ..operators import coverage as C
 from ..operators import dataset as D
 from ..operators import manifest as N
@@ -37,12 +38,34 @@ def _clip(date: str, text: str) -> str:
     return f"concat({p['site']}, '_', {p['channel']}, '_', {date}, '_', lpad({p['hh']}, 2, '0'), '30_MON_9m_', {p['hour_type']}, '_highway_TW5_', {p['weather']}, '_', {tail})"
 
 
-def manifest(spark, d):
+#: Where the manifest of a table folder is kept, by application.
+_KEPT: dict[tuple[str, str], str] = {}
+
+
+def parsed(spark, d):
+    """Images with the parts of their clip's name."""
     rows = read(spark, d, "orders").selectExpr(
         f"{_clip(chr(39).join(['date_format(o_orderdate, ', 'yyyyMMdd', ')']), 'STRING')} AS clip", "o_orderkey AS image_id", "o_orderkey % 100 AS frame", "o_orderkey % 7 AS n_car", "o_orderkey % 3 AS n_bus", "o_orderkey % 2 AS n_truck", "o_totalprice / 1000000D AS ratio",
         "CASE o_orderkey % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split", "o_totalprice AS score",
     )
-    return N.conditions(N.parse_clip(rows))
+    return N.parse_clip(rows)
+
+
+def conditioned(spark, d):
+    return N.conditions(parsed(spark, d))
+
+
+def manifest(spark, d):
+    """The manifest with its conditions, assembled once an application and folder; queries read their columns of it."""
+    key = spark.sparkContext.applicationId, d.rstrip("/")
+    path = _KEPT.get(key)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return spark.read.parquet(path)
+    _KEPT[key] = path = work_folder(spark, "manifest")
+    conditioned(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _M = f"""WITH m0 AS (SELECT {_clip("strftime(o_orderdate, '%Y%m%d')", "VARCHAR")} AS clip, o_orderkey AS image_id, o_orderkey % 100 AS frame, o_orderkey % 7 AS n_car, o_orderkey % 3 AS n_bus, o_orderkey % 2 AS n_truck, o_totalprice / 1000000.0::DOUBLE AS ratio,
@@ -66,23 +89,27 @@ _M = f"""WITH m0 AS (SELECT {_clip("strftime(o_orderdate, '%Y%m%d')", "VARCHAR")
 
 @query("t2_parse_clip", _M + " SELECT image_id, meta_parsed, site, channel, camera, weather, CASE WHEN meta_parsed THEN 9.0::DOUBLE END AS cam_height_m, CASE WHEN meta_parsed THEN 'two_way' ELSE '' END AS lane_direction, CASE WHEN meta_parsed THEN 5 END AS lane_count FROM man")
 def t2(spark, d):
-    return manifest(spark, d).select("image_id", "meta_parsed", "site", "channel", "camera", "weather", "cam_height_m", "lane_direction", "lane_count")
+    return parsed(spark, d).select("image_id", "meta_parsed", "site", "channel", "camera", "weather", "cam_height_m", "lane_direction", "lane_count")
 
 
 @query("t3_t7_conditions", _M + " SELECT image_id, time_band, day_night, road_form, hard_reasons, difficulty FROM man")
 def t37(spark, d):
-    return manifest(spark, d).select("image_id", "time_band", "day_night", "road_form", "hard_reasons", "difficulty")
+    return conditioned(spark, d).select("image_id", "time_band", "day_night", "road_form", "hard_reasons", "difficulty")
 
 
 @query("t4_sun_times", _M + " SELECT image_id, round(rise, 6) AS sunrise, round(fall, 6) AS sunset FROM man")
 def t4(spark, d):
     rise, fall = N.sun_minutes(F.try_to_timestamp("date", F.lit("yyyyMMdd")).cast("date"), F.col("site"))
-    return manifest(spark, d).select("image_id", F.round(rise, 6).alias("sunrise"), F.round(fall, 6).alias("sunset"))
+    return parsed(spark, d).select("image_id", F.round(rise, 6).alias("sunrise"), F.round(fall, 6).alias("sunset"))
+
 
+_ATTRS = ("site", "camera", "road_form", "day_night", "weather", "difficulty", "time_band", "hour_type", "date", "hard_reasons")
+_ATTR = ", ".join(_ATTRS)
 
-@query("t16_distributions", _M + " SELECT attribute, value, count(*) AS n FROM (UNPIVOT (SELECT site, weather, day_night, road_form, difficulty FROM man) ON site, weather, day_night, road_form, difficulty INTO NAME attribute VALUE value) GROUP BY ALL")
+
+@query("t16_distributions", _M + f" SELECT attribute, value, count(*) AS n FROM (UNPIVOT (SELECT {_ATTR} FROM man) ON {_ATTR} INTO NAME attribute VALUE value) GROUP BY ALL")
 def t16(spark, d):
-    return N.distributions(manifest(spark, d), ["site", "weather", "day_night", "road_form", "difficulty"])
+    return N.distributions(manifest(spark, d), list(_ATTRS))
 
 
 def _points(spark, d):
@@ -472,3 +499,47 @@ def e3(spark, d):
     rows = _points(spark, d).select(F.expr("vec_id div 4").alias("image_id"), moved.alias("points"), F.lit(_PX * 4).alias("width"), F.lit(_PX * 4).alias("height"))
     out = C.coverage(rows.select("image_id", "width", "height").distinct(), rows)
     return out.select("image_id", *(F.round(c, 9).alias(c) for c in out.columns[1:]))
+
+
+_IMAGES = "concat(clip, '_', lpad(CAST(image_id % 1000 AS {text}), 3, '0')) AS stem, 'r' AS region, 'a.zip' AS image_archive, 'b.zip' AS label_archive, 'm' AS zip_member, 'x' AS xml_member, CASE image_id % 4 WHEN 0 THEN 1920 WHEN 1 THEN 1280 WHEN 2 THEN 720 ELSE 1080 END AS width, CASE image_id % 4 WHEN 0 THEN 1080 WHEN 1 THEN 720 WHEN 2 THEN 1280 ELSE 1080 END AS height, 1920 AS xml_width, 1080 AS xml_height, 'RGB' AS src_mode, image_id * 3 AS src_bytes, image_id AS jpg_bytes, n_car AS gt_car, n_bus AS gt_bus, n_truck AS gt_truck, image_id % 2 AS n_dropped_polygons"
+
+
+@query("t14_manifest", _M + f""", i AS (SELECT {_IMAGES.format(text='VARCHAR')}, man.* FROM man)
+  SELECT stem AS image_id, stem || '.jpg' AS file_name, clip, width, height, width <> 1920 OR height <> 1080 AS size_scaled, concat(width, 'x', height) AS resolution, CASE WHEN width > height THEN 'landscape' WHEN height > width THEN 'portrait' ELSE 'square' END AS orientation,
+    CAST(src_bytes AS BIGINT) AS src_bytes, CAST(n_car + n_bus + n_truck AS INT) AS gt_total, meta_parsed, site, channel, camera, day_night, time_band, road_form, hard_reasons, difficulty, CAST(image_id % 1000 AS INT) AS frame FROM i""")
+def t14(spark, d):
+    """Assembled, written, and read back checked."""
+    rows = parsed(spark, d).select("clip", "image_id", "n_car", "n_bus", "n_truck")
+    path = work_folder(spark, "assembled")
+    N.build_manifest(rows.selectExpr("clip", *_split(_IMAGES.format(text="STRING")))).write.parquet(path)
+    columns = ("image_id", "file_name", "clip", "width", "height", "size_scaled", "resolution", "orientation", "src_bytes", "gt_total", "meta_parsed", "site", "channel", "camera", "day_night", "time_band", "road_form", "hard_reasons", "difficulty", "frame")
+    return N.read_kept_manifest(spark, path).select(*columns)
+
+
+def _split(columns: str) -> list[str]:
+    """The expressions of a list whose commas may stand in brackets."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        out = [*out, ""] if c == "," and not depth else [*out[:-1], out[-1] + c]
+    return [c.strip() for c in out]
+
+
+_NOTED = " UNION ALL ".join(f"SELECT '{a}', '{v}', count(*) FILTER ({a} = '{v}') / count(*) FROM f" for a, vs in D.NOTED.items() for v in vs)
+_SHARES = " UNION ALL ".join(f"SELECT 'class_share', '{c}', sum(n_{c}) / sum(n) FROM f" for c in D.CLASSES)
+
+
+@query("e29_findings", _M + f""", f AS (SELECT *, n_car + n_bus + n_truck AS n, score / 1000 AS brightness, ratio AS overlap FROM man), c AS (SELECT camera, count(DISTINCT clip) AS clips, count(*) FILTER (difficulty <> 'easy') AS hard FROM f GROUP BY 1),
+  b AS (SELECT site, sum(n_bus) AS k FROM f GROUP BY 1 HAVING sum(n_bus) > 0), t AS (SELECT * FROM b ORDER BY k DESC, site LIMIT 3), h AS (SELECT camera, avg(n) FILTER (hour_type = 'NH') AS nh, avg(n) FILTER (hour_type = 'RH') AS rh FROM f GROUP BY 1 HAVING nh IS NOT NULL AND rh IS NOT NULL),
+  p AS (SELECT CASE WHEN l_partkey % 9 = 0 THEN 'bus' ELSE 'car' END AS cls, l_quantity * 100 AS px FROM lineitem),
+  r(finding, name, value) AS ({_SHARES} UNION ALL {_NOTED} UNION ALL SELECT 'bus_images', '', count(*) FILTER (n_bus > 0) / count(*) FROM f UNION ALL SELECT 'empty_images', '', count(*) FILTER (n = 0) FROM f UNION ALL SELECT 'overlap', '', avg(overlap) FILTER (n >= 2) FROM f
+    UNION ALL SELECT 'easy', 'images', count(*) FILTER (difficulty = 'easy') FROM f UNION ALL SELECT 'easy', 'share', count(*) FILTER (difficulty = 'easy') / count(*) FROM f UNION ALL SELECT 'easy', 'hard_images', count(*) FILTER (difficulty <> 'easy') FROM f
+    UNION ALL SELECT 'easy', 'cameras_easy_only', count(*) FILTER (hard = 0) FROM c UNION ALL SELECT 'few_clips', camera, clips FROM c WHERE clips <= 2 UNION ALL SELECT 'night_clips', site, count(DISTINCT clip) FROM f WHERE day_night = 'night' GROUP BY site
+    UNION ALL SELECT 'bus_sites', site, k FROM t UNION ALL SELECT 'bus_sites', '(share)', (SELECT sum(k) FROM t) / (SELECT sum(k) FROM b) UNION ALL SELECT 'paired_hours', 'rush_clips', count(DISTINCT clip) FROM f WHERE hour_type = 'RH'
+    UNION ALL SELECT 'paired_hours', 'cameras_with_both', count(*) FROM h UNION ALL SELECT 'paired_hours', 'cameras_more_in_rush', count(*) FILTER (rh > nh) FROM h UNION ALL SELECT 'brightness', day_night, quantile_cont(brightness, 0.5) FROM f WHERE day_night <> '' GROUP BY day_night
+    UNION ALL SELECT 'small_objects', CASE WHEN grouping(cls) = 1 THEN '(all)' ELSE cls END, avg(CAST(px < 1024 AS INT)) FROM p GROUP BY GROUPING SETS ((cls), ()))
+  SELECT finding, name, round(CAST(value AS DOUBLE), 8) AS value FROM r""")
+def e29(spark, d):
+    rows = manifest(spark, d).withColumns({"brightness": F.col("score") / 1000, "overlap": F.col("ratio")})
+    polygons = read(spark, d, "lineitem").selectExpr("CASE WHEN l_partkey % 9 = 0 THEN 'bus' ELSE 'car' END AS cls", "l_quantity * 100 AS area_train_px")
+    return D.findings(rows, polygons).withColumn("value", F.round("value", 8))

@@ -21,13 +21,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Three cameras whose masks differ: road below, road further below in three directions, road above.
+_D = "CASE c WHEN 0 THEN CASE WHEN y < 12 THEN 0 ELSE 1 + {x32} END WHEN 1 THEN CASE WHEN y < 20 THEN 0 ELSE 1 + {x22} END ELSE CASE WHEN y >= 24 THEN 0 ELSE 1 + {x32} END END"
+
+
 def road(spark, d):
     rows = read(spark, d, "part").selectExpr("CAST(p_partkey % 64 AS INT) AS x", "CAST(floor(p_partkey / 64) % 36 AS INT) AS y").distinct()
-    return rows.selectExpr("x", "y", "CASE WHEN y < 12 THEN 0 ELSE CAST(1 + floor(x / 32) AS INT) END AS d")
+    rows = rows.selectExpr("x", "y", "explode(array(0L, 1L, 2L)) AS c")
+    return rows.selectExpr("c AS camera_id", "x", "y", f"CAST({_D.format(x32='floor(x / 32)', x22='floor(x / 22)')} AS INT) AS d")
+
+
+def frames(spark, d):
+    return read(spark, d, "orders").selectExpr("o_orderkey AS frame_id", "o_orderkey % 3 AS camera_id")
 
 
 def inst(spark, d):
-    rows = read(spark, d, "lineitem").selectExpr("l_orderkey AS frame_id", "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS inst_id", "CAST(1 + l_partkey % 3 AS INT) AS cls", "l_discount * 10 AS conf", "CAST(l_suppkey % 64 AS INT) AS cx", "CAST(l_partkey % 36 AS INT) AS cy")
+    rows = read(spark, d, "lineitem").selectExpr("l_orderkey AS frame_id", "l_orderkey % 3 AS camera_id", "CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS inst_id", "CAST(1 + l_partkey % 3 AS INT) AS cls", "l_discount * 10 AS conf", "CAST(l_suppkey % 64 AS INT) AS cx", "CAST(l_partkey % 36 AS INT) AS cy")
     return rows.selectExpr("*", "greatest(cx - 3, 0) AS x1", "greatest(cy - 2, 0) AS y1", "least(cx + 3, 64) AS x2", "least(cy + 2, 36) AS y2")
 
 
@@ -41,55 +50,56 @@ def veh(spark, d):
     return P.paint(inst_px(spark, d))
 
 
-_SQL = """WITH road AS (SELECT x, y, CASE WHEN y < 12 THEN 0 ELSE CAST(1 + x // 32 AS INT) END AS d FROM (SELECT DISTINCT CAST(p_partkey % 64 AS INT) AS x, CAST(p_partkey // 64 % 36 AS INT) AS y FROM part)),
+_SQL = f"""WITH road AS (SELECT c AS camera_id, x, y, CAST({_D.format(x32='x // 32', x22='x // 22')} AS INT) AS d FROM (SELECT DISTINCT CAST(p_partkey % 64 AS INT) AS x, CAST(p_partkey // 64 % 36 AS INT) AS y FROM part), range(3) t(c)),
   inst AS (SELECT *, greatest(cx - 3, 0) AS x1, greatest(cy - 2, 0) AS y1, least(cx + 3, 64) AS x2, least(cy + 2, 36) AS y2 FROM (
-    SELECT l_orderkey AS frame_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS inst_id, CAST(1 + l_partkey % 3 AS INT) AS cls, l_discount * 10 AS conf, CAST(l_suppkey % 64 AS INT) AS cx, CAST(l_partkey % 36 AS INT) AS cy FROM lineitem)),
+    SELECT l_orderkey AS frame_id, l_orderkey % 3 AS camera_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS inst_id, CAST(1 + l_partkey % 3 AS INT) AS cls, l_discount * 10 AS conf, CAST(l_suppkey % 64 AS INT) AS cx, CAST(l_partkey % 36 AS INT) AS cy FROM lineitem)),
   ipx AS (SELECT i.*, (x2 - x1) * (y2 - y1) AS area, CAST(gx.v AS INT) AS x, CAST(gy.v AS INT) AS y FROM inst i, range(64) gx(v), range(36) gy(v) WHERE gx.v >= x1 AND gx.v < x2 AND gy.v >= y1 AND gy.v < y2),
-  veh AS (SELECT frame_id, x, y, cls FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, x, y ORDER BY area, inst_id, cls) AS r FROM ipx) WHERE r = 1)"""
-_COUNTS = """, frames AS (SELECT DISTINCT frame_id FROM inst), hit AS (SELECT frame_id, d, cls, count(*) AS px FROM veh JOIN road USING (x, y) GROUP BY ALL),
-  counts AS (SELECT * FROM hit UNION ALL SELECT frame_id, d, 0, size - coalesce(used, 0) AS px FROM (SELECT frame_id, d, size FROM frames, (SELECT d, count(*) AS size FROM road GROUP BY d))
+  veh AS (SELECT frame_id, camera_id, x, y, cls FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, x, y ORDER BY area, inst_id, cls) AS r FROM ipx) WHERE r = 1)"""
+_COUNTS = """, frames AS (SELECT DISTINCT o_orderkey AS frame_id, o_orderkey % 3 AS camera_id FROM orders), hit AS (SELECT frame_id, d, cls, count(*) AS px FROM veh JOIN road USING (camera_id, x, y) GROUP BY ALL),
+  counts AS (SELECT * FROM hit UNION ALL SELECT frame_id, d, 0, size - coalesce(used, 0) AS px FROM (SELECT frame_id, d, size FROM frames JOIN (SELECT camera_id, d, count(*) AS size FROM road GROUP BY ALL) USING (camera_id))
     LEFT JOIN (SELECT frame_id, d, sum(px) AS used FROM hit GROUP BY ALL) USING (frame_id, d) WHERE size - coalesce(used, 0) > 0)"""
 
 
-@query("p1_count_table", _SQL + _COUNTS + " SELECT frame_id, d, cls, CAST(px AS BIGINT) AS px FROM counts")
+@query("p1_count_table", _SQL + _COUNTS + " SELECT frame_id, frame_id % 3 AS camera_id, d, cls, CAST(px AS BIGINT) AS px FROM counts")
 def p1(spark, d):
-    return P.count_table(inst(spark, d), road(spark, d), veh(spark, d))
+    return P.count_table(frames(spark, d), road(spark, d), veh(spark, d))
 
 
 @query("p2_occupancy", _SQL + _COUNTS + """, a AS (SELECT frame_id, d, sum(px) AS road_px, sum(px) FILTER (cls > 0) AS vehicle_px, sum(px) FILTER (cls = 1) AS car_px, sum(px) FILTER (cls = 2) AS bus_px, sum(px) FILTER (cls = 3) AS truck_px FROM counts WHERE d > 0 GROUP BY ALL
     UNION ALL SELECT f.frame_id, 0, sum(px), sum(px) FILTER (cls > 0), sum(px) FILTER (cls = 1), sum(px) FILTER (cls = 2), sum(px) FILTER (cls = 3) FROM frames f LEFT JOIN (SELECT * FROM counts WHERE d > 0) c ON c.frame_id = f.frame_id GROUP BY 1)
-  SELECT frame_id, d, CAST(coalesce(road_px, 0) AS BIGINT) AS road_px, CAST(coalesce(vehicle_px, 0) AS BIGINT) AS vehicle_px, CAST(coalesce(car_px, 0) AS BIGINT) AS car_px, CAST(coalesce(bus_px, 0) AS BIGINT) AS bus_px,
+  SELECT frame_id, frame_id % 3 AS camera_id, d, CAST(coalesce(road_px, 0) AS BIGINT) AS road_px, CAST(coalesce(vehicle_px, 0) AS BIGINT) AS vehicle_px, CAST(coalesce(car_px, 0) AS BIGINT) AS car_px, CAST(coalesce(bus_px, 0) AS BIGINT) AS bus_px,
     CAST(coalesce(truck_px, 0) AS BIGINT) AS truck_px, CASE WHEN coalesce(road_px, 0) > 0 THEN round(coalesce(vehicle_px, 0) / road_px::DOUBLE, 10) ELSE 0 END AS occupancy FROM a""")
 def p2(spark, d):
-    return P.occupancy(P.count_table(inst(spark, d), road(spark, d), veh(spark, d)), inst(spark, d))
+    return P.occupancy(P.count_table(frames(spark, d), road(spark, d), veh(spark, d)), frames(spark, d))
 
 
-@query("p6_count_vehicles", _SQL + """, n AS (SELECT * FROM road WHERE d > 0), h AS (SELECT i.*, n.d FROM inst i LEFT JOIN n ON n.x = i.cx AND n.y = i.cy),
-  v AS (SELECT frame_id, inst_id, cls, n.d, count(*) AS k FROM h JOIN n ON n.x >= x1 AND n.x < greatest(x2, x1 + 1) AND n.y >= y1 AND n.y < greatest(y2, y1 + 1) WHERE h.d IS NULL GROUP BY ALL),
+@query("p6_count_vehicles", _SQL + """, n AS (SELECT * FROM road WHERE d > 0), h AS (SELECT i.*, n.d FROM inst i LEFT JOIN n ON n.camera_id = i.camera_id AND n.x = i.cx AND n.y = i.cy),
+  v AS (SELECT frame_id, inst_id, cls, n.d, count(*) AS k FROM h JOIN n ON n.camera_id = h.camera_id AND n.x >= x1 AND n.x < greatest(x2, x1 + 1) AND n.y >= y1 AND n.y < greatest(y2, y1 + 1) WHERE h.d IS NULL GROUP BY ALL),
   r AS (SELECT frame_id, cls, d FROM h WHERE d IS NOT NULL UNION ALL SELECT frame_id, cls, d FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, inst_id, cls ORDER BY k DESC, d) AS o FROM v) WHERE o = 1)
   SELECT frame_id, d, cls, count(*) AS vehicles FROM r GROUP BY ALL UNION ALL SELECT frame_id, 0, cls, count(*) FROM r GROUP BY ALL""")
 def p6(spark, d):
     return P.count_vehicles(inst(spark, d), road(spark, d), W, H)
 
 
-@query("p8_roi", _SQL + " SELECT CASE WHEN count(*) > 0 THEN greatest(min(x) - 2, 0) END AS x0, CASE WHEN count(*) > 0 THEN greatest(min(y) - 2, 0) END AS y0, CASE WHEN count(*) > 0 THEN least(max(x) + 3, 64) END AS x1, CASE WHEN count(*) > 0 THEN least(max(y) + 3, 36) END AS y1 FROM road WHERE d > 0")
+@query("p8_roi", _SQL + """, b AS (SELECT camera_id, min(x) FILTER (d > 0) AS x0, min(y) FILTER (d > 0) AS y0, max(x) FILTER (d > 0) AS x1, max(y) FILTER (d > 0) AS y1 FROM road GROUP BY 1)
+  SELECT camera_id, CASE WHEN x0 IS NOT NULL THEN greatest(x0 - 2, 0) END AS x0, CASE WHEN y0 IS NOT NULL THEN greatest(y0 - 2, 0) END AS y0, CASE WHEN x1 IS NOT NULL THEN least(x1 + 3, 64) END AS x1, CASE WHEN y1 IS NOT NULL THEN least(y1 + 3, 36) END AS y1 FROM b""")
 def p8(spark, d):
     return P.roi(road(spark, d), W, H, 2)
 
 
-@query("p9_mask_out", _SQL + " SELECT frame_id, x, y, cls FROM veh WHERE (x, y) IN (SELECT (x, y) FROM road WHERE d > 0)")
+@query("p9_mask_out", _SQL + " SELECT frame_id, x, y, cls FROM veh WHERE (camera_id, x, y) IN (SELECT (camera_id, x, y) FROM road WHERE d > 0)")
 def p9(spark, d):
     return P.mask_out(veh(spark, d), road(spark, d))
 
 
-@query("p10_keep_instances", _SQL + """, n AS (SELECT x, y FROM road WHERE d > 0), o AS (SELECT frame_id, inst_id, count(*) AS k FROM ipx JOIN n USING (x, y) GROUP BY ALL)
-  SELECT i.frame_id, i.inst_id, cls FROM inst i LEFT JOIN o ON o.frame_id = i.frame_id AND o.inst_id = i.inst_id LEFT JOIN n ON n.x = i.cx AND n.y = i.cy
+@query("p10_keep_instances", _SQL + """, n AS (SELECT camera_id, x, y FROM road WHERE d > 0), o AS (SELECT frame_id, inst_id, count(*) AS k FROM ipx JOIN n USING (camera_id, x, y) GROUP BY ALL)
+  SELECT i.frame_id, i.inst_id, cls FROM inst i LEFT JOIN o ON o.frame_id = i.frame_id AND o.inst_id = i.inst_id LEFT JOIN n ON n.camera_id = i.camera_id AND n.x = i.cx AND n.y = i.cy
   WHERE coalesce(k, 0) / ((x2 - x1) * (y2 - y1)) >= 0.5 OR n.x IS NOT NULL""")
 def p10(spark, d):
-    return P.keep_instances(inst(spark, d), road(spark, d))
+    return P.keep_instances(inst(spark, d), road(spark, d), W, H)
 
 
-@query("p11_paint", _SQL + " SELECT frame_id, x, y, cls FROM veh")
+@query("p11_paint", _SQL + " SELECT frame_id, camera_id, x, y, cls FROM veh")
 def p11(spark, d):
     return veh(spark, d)
 
@@ -99,23 +109,23 @@ def p12(spark, d):
     return P.instance_stats(inst_px(spark, d).withColumn("mask", F.when((F.col("x") + F.col("y")) % 4 > 0, 0.9).otherwise(0.2)))
 
 
-@query("p13_resize_mask", _SQL + " SELECT CAST(gx.v AS INT) AS x, CAST(gy.v AS INT) AS y, d FROM range(160) gx(v), range(90) gy(v), road WHERE road.x = floor(gx.v * 64 / 160) AND road.y = floor(gy.v * 36 / 90)")
+@query("p13_resize_mask", _SQL + " SELECT camera_id, CAST(gx.v AS INT) AS x, CAST(gy.v AS INT) AS y, d FROM range(160) gx(v), range(90) gy(v), road WHERE road.x = floor(gx.v * 64 / 160) AND road.y = floor(gy.v * 36 / 90)")
 def p13(spark, d):
     return P.resize_mask(road(spark, d), W, H, 160, 90)
 
 
-@query("p14_mask_stats", _SQL + """, m AS (SELECT CASE WHEN (x // 16 + d) > 3 THEN 0 ELSE x // 16 + d END AS d FROM road)
-  SELECT CAST(d AS INT) AS d, count(*) AS px, (SELECT round(avg(CAST(d > 0 AS INT)), 10) FROM m) AS coverage, (SELECT count(DISTINCT d) FILTER (d > 0) = 3 FROM m) AS complete FROM m GROUP BY d""")
+@query("p14_mask_stats", _SQL + """, m AS (SELECT camera_id, CASE WHEN (x // 16 + d) > 3 THEN 0 ELSE x // 16 + d END AS d FROM road), a AS (SELECT camera_id, round(avg(CAST(d > 0 AS INT)), 10) AS coverage, count(DISTINCT d) FILTER (d > 0) = 3 AS complete FROM m GROUP BY 1)
+  SELECT camera_id, CAST(d AS INT) AS d, count(*) AS px, any_value(coverage) AS coverage, any_value(complete) AS complete FROM m JOIN a USING (camera_id) GROUP BY camera_id, d""")
 def p14(spark, d):
     return P.mask_stats(road(spark, d).withColumn("d", F.floor(F.col("x") / 16) + F.col("d")), 3)
 
 
-@query("p17_split_by_line", _SQL + " SELECT x, y, CASE WHEN 10 * (y + 0.5 - 0) - 36 * (x + 0.5 - 20) >= 0 THEN 5 ELSE 6 END AS d FROM road WHERE d > 0")
+@query("p17_split_by_line", _SQL + " SELECT camera_id, x, y, CASE WHEN 10 * (y + 0.5 - 0) - 36 * (x + 0.5 - 20) >= 0 THEN 5 ELSE 6 END AS d FROM road WHERE d > 0")
 def p17(spark, d):
     return P.split_by_line(road(spark, d), [(20.0, 0.0), (30.0, 36.0)], 5, 6)
 
 
-@query("p18_assign_in_polygon", _SQL + " SELECT x, y, CASE WHEN x >= 10 AND x < 40 AND y >= 8 AND y < 20 THEN 9 ELSE d END AS d FROM road")
+@query("p18_assign_in_polygon", _SQL + " SELECT camera_id, x, y, CASE WHEN x >= 10 AND x < 40 AND y >= 8 AND y < 20 THEN 9 ELSE d END AS d FROM road")
 def p18(spark, d):
     return P.assign_in_polygon(road(spark, d), [(10.0, 8.0), (40.0, 8.0), (40.0, 20.0), (10.0, 20.0)], 9)
 
@@ -125,15 +135,16 @@ _EV = """WITH pred AS (SELECT l_orderkey AS image, l_partkey AS pixel, l_discoun
   p AS (SELECT image, threshold, pixel FROM (SELECT image, pixel, max(conf) AS conf FROM pred GROUP BY ALL), th WHERE conf >= threshold), t AS (SELECT image, threshold, pixel FROM truth, th),
   c AS (SELECT coalesce(p.image, t.image) AS image, coalesce(p.threshold, t.threshold) AS threshold, count(p.pixel) AS pred_px, count(t.pixel) AS true_px, count(*) FILTER (p.pixel = t.pixel) AS hits
     FROM p FULL JOIN t ON p.image = t.image AND p.threshold = t.threshold AND p.pixel = t.pixel GROUP BY 1, 2),
-  err AS (SELECT i.image, th.threshold, coalesce(pred_px, 0) AS pred_px, coalesce(true_px, 0) AS true_px,
-    round(CASE WHEN coalesce(pred_px + true_px - hits, 0) > 0 THEN hits / (pred_px + true_px - hits)::DOUBLE ELSE 1 END, 10) AS iou, abs(coalesce(pred_px, 0) - coalesce(true_px, 0)) AS error
-    FROM (SELECT DISTINCT image FROM pred) i, th LEFT JOIN c ON c.image = i.image AND c.threshold = th.threshold)"""
+  err AS (SELECT i.image, th.threshold, round(coalesce(pred_px, 0) / px * 100, 10) AS pred_ratio, round(coalesce(true_px, 0) / px * 100, 10) AS true_ratio,
+    round(CASE WHEN coalesce(pred_px + true_px - hits, 0) > 0 THEN hits / (pred_px + true_px - hits)::DOUBLE ELSE 1 END, 10) AS iou, round(abs(coalesce(pred_px, 0) / px * 100 - coalesce(true_px, 0) / px * 100), 10) AS error
+    FROM (SELECT o_orderkey AS image, 20.0::DOUBLE + o_orderkey % 7 * 10 AS px FROM orders) i CROSS JOIN th LEFT JOIN c ON c.image = i.image AND c.threshold = th.threshold)"""
 
 
 def _errors(spark, d):
     rows = read(spark, d, "lineitem")
     pred = rows.selectExpr("l_orderkey AS image", "l_partkey AS pixel", "l_discount * 10 AS conf")
-    return P.area_error(pred, rows.filter("l_returnflag = 'R'").selectExpr("l_orderkey AS image", "l_partkey AS pixel"), [0.2, 0.5, 0.8])
+    images = read(spark, d, "orders").selectExpr("o_orderkey AS image", "20D + o_orderkey % 7 * 10 AS px")
+    return P.area_error(pred, rows.filter("l_returnflag = 'R'").selectExpr("l_orderkey AS image", "l_partkey AS pixel"), images, [0.2, 0.5, 0.8])
 
 
 @query("v1_area_error", _EV + " SELECT * FROM err")
@@ -141,7 +152,7 @@ def v1(spark, d):
     return _errors(spark, d)
 
 
-@query("v2_area_by_conf", _EV + ", a AS (SELECT threshold, round(avg(error), 10) AS error, round(avg(iou), 10) AS iou FROM err GROUP BY 1) SELECT *, (SELECT threshold FROM a ORDER BY error, threshold LIMIT 1) AS best FROM a")
+@query("v2_area_by_conf", _EV + ", a AS (SELECT threshold, round(avg(error), 10) AS error, round(avg(iou), 10) AS iou, round(avg(pred_ratio), 10) AS pred_ratio, round(avg(true_ratio), 10) AS true_ratio FROM err GROUP BY 1) SELECT *, (SELECT threshold FROM a ORDER BY error, threshold LIMIT 1) AS best FROM a")
 def v2(spark, d):
     return P.area_by_conf(_errors(spark, d))
 
@@ -188,4 +199,4 @@ def v9(spark, d):
 def p1516(spark, d):
     """Pixels added per frame and direction, on a road with holes below and above the largest size."""
     free = road(spark, d).withColumn("d", F.when((F.col("x") % 16 < 3) & (F.col("y") % 9 < 4), 0).otherwise(F.col("d")))
-    return P.fill_footprints(veh(spark, d), free, W, H, pad=3).groupBy("frame_id", "d").agg(F.count("*").alias("added"))
+    return P.fill_footprints(veh(spark, d), free, W, H, pad=3).groupBy("frame_id", "camera_id", "d").agg(F.count("*").alias("added"))

@@ -202,9 +202,13 @@ def s17r(spark, d):
     return spark.read.text(path).select(F.from_json("value", "id long, priority string, price double").alias("r")).select("r.*")
 
 
-@query("t1_match_key", "SELECT p_partkey, concat('frame_', p_partkey, '_a') AS key FROM part")
+@query("t1_match_key", r"""SELECT p_partkey, lower(regexp_replace(trim(regexp_replace(regexp_replace(n, '^.*[/\\]', ''), '\.[^.]*$', '')), '\s+', '_', 'g')) AS key
+  FROM (SELECT p_partkey, nfc_normalize(CASE p_partkey % 4 WHEN 0 THEN 'clips/Frame ' WHEN 1 THEN 'clips\\day 1\\Frame ' WHEN 2 THEN 'é' || chr(47) || 'Suwo' || chr(110) || 'é ' ELSE 'x/Suwone' || chr(769) || ' ' END || p_partkey || '  A.JPG') AS n FROM part)""")
 def t1(spark, d):
-    name = F.concat(F.lit("clips/Frame "), F.col("p_partkey"), F.lit("  A.JPG"))
+    """Names with either slash, and with composed and decomposed letters, whose keys are alike."""
+    k = F.col("p_partkey") % 4
+    front = F.when(k == 0, "clips/Frame ").when(k == 1, "clips\\day 1\\Frame ").when(k == 2, "é/Suwoné ").otherwise("x/Suwone\u0301 ")
+    name = F.concat(front, F.col("p_partkey").cast("string"), F.lit("  A.JPG"))
     return read(spark, d, "part").select("p_partkey", match_key(name).alias("key"))
 
 
