@@ -171,6 +171,23 @@ def label_line(cls: Column, points: Column, width: float, height: float) -> Colu
     return F.concat_ws(" ", cls.cast("string"), F.array_join(pair, " "))
 
 
+def label_lines(polygons: DataFrame, classes: tuple[str, ...], width: float, height: float, least_area: float) -> DataFrame:
+    """Per image the text of its label file, objects a class, and polygons that were dropped, by reason.
+
+    ``polygons`` has image_id, ord, label and points. A polygon of a class that is not in ``classes`` is dropped as
+    unknown_class, one that :func:`clean_polygon` refuses as degenerate. Lines keep the order of ``ord``; an image all of whose polygons
+    are dropped has an empty text."""
+    number = F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1
+    rows = settled(polygons, cls=number, clean=clean_polygon(F.col("points"), width, height, least_area))
+    known = F.coalesce(F.col("cls") >= 0, F.lit(False))
+    good = known & F.col("clean").isNotNull()
+    line = F.when(good, label_line(F.col("cls"), F.col("clean"), width, height))
+    rows = rows.select("image_id", "ord", "cls", line.alias("line"), good.alias("good"), known.alias("known"))
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("ord", "line")))), lambda r: r["line"])
+    counts = [F.count_if(F.col("good") & (F.col("cls") == k)).alias(f"n_{c}") for k, c in enumerate(classes)]
+    return rows.groupBy("image_id").agg(F.array_join(lines, "\n").alias("text"), *counts, F.count_if(~F.col("known")).alias("unknown_class"), F.count_if(F.col("known") & ~F.col("good")).alias("degenerate"))
+
+
 def match_images(images: DataFrame, labels: DataFrame) -> DataFrame:
     """Images and labels of one key: the first label, and the first image by depth and name."""
     depth = F.size(F.split("path", "/"))

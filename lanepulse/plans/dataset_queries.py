@@ -131,9 +131,12 @@ def t8(spark, d):
 
 @query("t9_t10_label_lines")
 def t910(spark, d):
-    moved = F.transform("points", lambda p: F.struct(((p["x"] + 1) * 50).alias("x"), ((p["y"] + 1) * 50).alias("y")))
-    rows = _points(spark, d).withColumn("clean", N.clean_polygon(moved, 100.0, 100.0, 1.0))
-    return rows.filter("clean is not null").select("vec_id", N.label_line(F.col("label") % 3, F.col("clean"), 100.0, 100.0).alias("line"))
+    """Label files of images of four polygons each; some of a class that is not known, some too small."""
+    far = F.when(F.col("vec_id") % 5 == 0, 0.5).otherwise(90.0)
+    moved = F.transform("points", lambda p: F.struct(((p["x"] * far) + 50).alias("x"), ((p["y"] * far) + 50).alias("y")))
+    label = F.when(F.col("vec_id") % 7 == 0, "bicycle").otherwise(F.get(F.array(*map(F.lit, D.CLASSES)), (F.col("label") % 3).cast("int")))
+    rows = _points(spark, d).select(F.expr("vec_id div 4").alias("image_id"), F.col("vec_id").alias("ord"), label.alias("label"), moved.alias("points"))
+    return N.label_lines(rows, D.CLASSES, 100.0, 100.0, 1.0)
 
 
 _FILES = """WITH i AS (SELECT l_orderkey AS key, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'a/b/' ELSE 'a/' END, l_orderkey, '_', l_partkey, '.jpg') AS path FROM lineitem WHERE l_orderkey % 3 > 0),

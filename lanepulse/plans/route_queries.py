@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import geo
 from ..functions.kept import kept
 from ..functions.levels import level
+from ..functions.presets import TOWNS, gazetteer
 from ..functions.text import normalise_place, parse_route
 from ..operators import metrics as M
 from ..operators import routes as R
@@ -370,13 +371,20 @@ def r25(spark, d):
     return names.select("id", normalise_place(F.col("name")).alias("place"))
 
 
-@query("r26_geocode", with_sql("cameras") + """ SELECT id, concat('P', id % 6) AS place, CASE id % 6 WHEN 0 THEN 37.5::DOUBLE WHEN 1 THEN 36.3::DOUBLE WHEN 2 THEN 35.0::DOUBLE WHEN 3 THEN 35.0::DOUBLE END AS lat,
-  CASE id % 6 WHEN 0 THEN 127.0::DOUBLE WHEN 1 THEN 127.4::DOUBLE WHEN 2 THEN 128.0::DOUBLE WHEN 3 THEN 128.0::DOUBLE END AS lon FROM cameras""")
+_TOWNS = ", ".join(f"('{n}', {y}::DOUBLE, {x}::DOUBLE)" for n, y, x in TOWNS)
+_NAMED = f"CASE id % 4 WHEN 0 THEN concat('P', id % 6) WHEN 1 THEN '대전 방면' ELSE [{', '.join(repr(n) for n, _, _ in TOWNS)}][CAST(id % {len(TOWNS)} AS INT) + 1] || ' IC' END"
+
+
+@query("r26_geocode", with_sql("cameras") + f""", g(place, lat, lon) AS (VALUES {_TOWNS}), n AS (SELECT id, {_NAMED} AS name FROM cameras), k AS (SELECT id, name, regexp_replace(regexp_replace(name, '[ 0-9]+', '', 'g'), '(방면|방향|쪽|행|시|군|IC|JC|나들목|분기점|톨게이트|TG)+$', '') AS place FROM n)
+  SELECT id, name, place, coalesce(lat, CASE WHEN place = 'P' THEN 35.0::DOUBLE END) AS lat, coalesce(lon, CASE WHEN place = 'P' THEN 128.0::DOUBLE END) AS lon FROM k LEFT JOIN g USING (place)""")
 def r26(spark, d):
-    names = cameras(spark, d).select("id", F.concat(F.lit("P"), (F.col("id") % 6).cast("string")).alias("place"))
-    fixed = spark.createDataFrame([("P0", 37.5, 127.0), ("P1", 36.3, 127.4)], "place string, lat double, lon double")
-    cached = names.filter("id % 6 in (1, 2, 3)").select("place").distinct().withColumn("lat", F.lit(35.0)).withColumn("lon", F.lit(128.0))
-    return R.geocode(names, fixed, cached)
+    """Names with kinds of places at their ends, in the gazetteer, in the cache, or in neither."""
+    towns = F.array(*(F.lit(n) for n, _, _ in TOWNS))
+    name = F.when(F.col("id") % 4 == 0, F.concat(F.lit("P"), (F.col("id") % 6).cast("string"))).when(F.col("id") % 4 == 1, "대전 방면")
+    name = name.otherwise(F.concat(F.get(towns, (F.col("id") % len(TOWNS)).cast("int")), F.lit(" IC")))
+    names = cameras(spark, d).select("id", name.alias("name")).withColumn("place", normalise_place(F.col("name")))
+    cached = names.filter("place = 'P'").select("place").distinct().withColumn("lat", F.lit(35.0)).withColumn("lon", F.lit(128.0))
+    return R.geocode(names, gazetteer(spark), cached)
 
 
 @query("r27_fill_positions", with_sql("cameras") + " SELECT id, CASE WHEN id % 3 = 0 THEN round((lat + lat + 0.5) / 2, 9) ELSE round(lat, 9) END AS lat, CASE WHEN id % 3 = 0 THEN round((lon + lon + 0.25) / 2, 9) ELSE round(lon, 9) END AS lon FROM cameras")

@@ -42,4 +42,4 @@ def test_matches_sql(spark, data, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, data, name):
-    assert registry.QUERIES[name](spark, data).count() >= 0
+    assert registry.QUERIES[name](spark, data).count() > 0  # plain versions in the other tests say what they hold
