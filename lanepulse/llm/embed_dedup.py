@@ -54,7 +54,10 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. A power of two first brings the largest component near 1, which is exact, so that squares of very
+    small and very large ones neither vanish nor overflow."""
     x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
