@@ -7,11 +7,15 @@ the latest sample, so that results are repeatable.
 
 from __future__ import annotations
 
+import math
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..functions.kept import ranked
 from ..functions.levels import LEVELS, level
 
 DAY = 86400
@@ -33,14 +37,26 @@ def since(samples: DataFrame, minutes: float, source: str = "live", as_of: float
     """Samples of a source in the window that ends at ``as_of`` (the latest sample if none)."""
     rows = samples.filter(F.col("source") == source)
     as_of = latest_time(samples) if as_of is None else as_of
-    return rows.filter(F.col("t") >= (as_of or 0) - minutes * 60)
+    return from_time(rows, (as_of or 0) - minutes * 60)
+
+
+def from_time(samples: DataFrame, start: float) -> DataFrame:
+    """Samples from a time on. Where they have the column ``ts`` that ``t`` is derived from, the filter names it too, for
+    files to be skipped by its statistics."""
+    rows = samples.filter(F.col("t") >= start)
+    kind = dict(samples.dtypes).get("ts")
+    if kind not in ("timestamp", "timestamp_ntz"):
+        return rows
+    at = datetime.fromtimestamp(math.floor(start), UTC)  # a whole second before: the exact bound is that of t
+    text = at.strftime("%Y-%m-%d %H:%M:%S") + ("+00:00" if kind == "timestamp" else "")
+    return rows.filter(F.col("ts") >= F.lit(text).cast(kind))
 
 
 def scan(samples: DataFrame, source: str | None = None, start: float | None = None, camera: int | None = None, direction: int | None = None) -> DataFrame:
     for name, op, value in (("source", "eq", source), ("camera_id", "eq", camera), ("direction_index", "eq", direction)):
         if value is not None:
             samples = samples.filter(F.col(name) == value)
-    return samples if start is None else samples.filter(F.col("t") >= start)
+    return samples if start is None else from_time(samples, start)
 
 
 def bucket(time: str, width: float) -> Column:
@@ -199,8 +215,8 @@ def ranking(states: DataFrame, by_direction: bool, measured: Column | None = Non
     """Places by occupancy, of whole cameras or of their measured directions."""
     rows = states.filter(F.col("direction_index") > 0 if by_direction else F.col("direction_index") == 0).filter("occupancy is not null")
     rows = rows if measured is None else rows.filter(measured)
-    w = W.orderBy(F.desc("occupancy"), "camera_id", "direction_index")  # one row per camera or direction
-    return rows.select("camera_id", "direction_index", "occupancy", "level", F.row_number().over(w).alias("place"))
+    rows = rows.select("camera_id", "direction_index", "occupancy", "level")
+    return ranked(rows, F.desc("occupancy"), F.asc("camera_id"), F.asc("direction_index"), name="place")
 
 
 def level_counts(states: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..functions.kept import ranked
 
 CLASSES = {1: "car", 2: "bus", 3: "truck"}
 FRAMES = 256
@@ -224,8 +225,7 @@ def latency_summary(rows: DataFrame, ms: str) -> DataFrame:
 
 def leaderboard(runs: DataFrame) -> DataFrame:
     """Runs but quick tests, by score, those without one last."""
-    w = W.orderBy(F.desc_nulls_last("score"), "run")  # one row per training run
-    return runs.filter("not quick").select("run", "model", "imgsz", "score", F.row_number().over(w).cast("long").alias("place"))
+    return ranked(runs.filter("not quick").select("run", "model", "imgsz", "score"), F.desc_nulls_last("score"), F.asc("run"), name="place")
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
