@@ -130,7 +130,7 @@ def w9(spark, d):
     return out.select("camera_id", "direction_index", t("start_ts"), t("end_ts"), "peak", F.round("mean", 10).alias("mean"), "samples")
 
 
-@query("w6_inference_rate", _SAMPLES + " SELECT camera_id, event_id AS seq, round(coalesce(CASE WHEN g > 0 THEN 1 / g END, 0), 10) AS fps FROM (SELECT *, t - lag(t) OVER (PARTITION BY camera_id ORDER BY t, event_id) AS g FROM samples)")
+@query("w6_inference_rate", _FRAMES + " SELECT camera_id, seq, round(coalesce(CASE WHEN g > 0 THEN 1 / g END, 0), 10) AS fps FROM (SELECT *, t - lag(t) OVER (PARTITION BY camera_id ORDER BY t, seq) AS g FROM f)")
 def w6(spark, d):
     return W.inference_rate(_frames(spark, d)).select("camera_id", "seq", F.round("fps", 10).alias("fps"))
 
