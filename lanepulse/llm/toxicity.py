@@ -201,16 +201,19 @@ def fit(
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["label", "kind", "w", "n"])
 
     counted = sample.filter("not half").select("label", "text").mapInArrow(count, "label int, kind int, w binary, n long")
-    counted = counted.groupBy("label", "kind", "w").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(counted.groupBy("label", "kind", "w").agg(F.sum("n").alias("n")), "counted")
     windows: list[dict[bytes, int]] = [{}, {}]
     openings: list[dict[bytes, int]] = [{}, {}]
     texts = [0, 0]
     for label in (0, 1):
-        for kind, w, n in counted.filter(F.col("label") == label).orderBy(F.desc("kind"), F.desc("n"), "w").limit(max_windows).select("kind", "w", "n").collect():
-            if kind == 2:
-                texts[label] = n
-            else:
-                (windows if kind == 0 else openings)[label][bytes(w)] = n
+        top = counted.filter(F.col("label") == label).orderBy(F.desc("kind"), F.desc("n"), "w").limit(max_windows)
+        # columns and not rows: a fraction of the driver's memory
+        for batch in top.select("kind", "w", "n").toArrow().to_batches(max_chunksize=20_000):
+            for kind, w, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 2:
+                    texts[label] = n
+                else:
+                    (windows if kind == 0 else openings)[label][w] = n
 
     def stands_out(w: bytes) -> bool:
         a, b = openings[1].get(w[:opening], 0), openings[0].get(w[:opening], 0)
