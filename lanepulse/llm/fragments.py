@@ -160,7 +160,17 @@ class FragmentEncoder:
                 at += n
 
 
-_ENCODERS: dict[tuple, FragmentEncoder] = {}
+_HELD: dict[tuple, FragmentEncoder] = {}
+
+
+def held(key: tuple, make: Callable[[], FragmentEncoder]) -> FragmentEncoder:
+    """This worker's lookup table; one at a time is kept, so that a worker that serves several stages holds the fragments of one."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 #: One pre-token for certain: an optional blank and Latin letters.
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
@@ -205,8 +215,5 @@ def library_encode(path: str, drop_space: bool) -> Callable[[list[str]], list]:
 def encoder(path: str, kind: str) -> FragmentEncoder:
     """This worker's encoder of a ``tokenizers`` file: kind ``byte`` keeps white space in
     pre-tokens, kind ``word`` drops it and lower-cases."""
-    key = (path, kind)
-    if key not in _ENCODERS:
-        cut = {"byte": cut_before_last_space, "word": cut_before_space}[kind]
-        _ENCODERS[key] = FragmentEncoder(library_encode(path, kind == "word"), cut, lower=kind == "word")
-    return _ENCODERS[key]
+    cut = {"byte": cut_before_last_space, "word": cut_before_space}[kind]
+    return held((path, kind), lambda: FragmentEncoder(library_encode(path, kind == "word"), cut, lower=kind == "word"))

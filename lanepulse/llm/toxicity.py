@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .fragments import FragmentEncoder, cut_before_space
+from .fragments import FragmentEncoder, cut_before_space, held
 from .token_store import text_bytes
 
 CARRIER = b"~carrier~0123456789~QWERTYUIOPASDFGHJKLZXCVBNM~"
@@ -99,13 +99,10 @@ class Distance:
         return hashlib.sha256(self.ordinary + b"|" + self.toxic).hexdigest()
 
 
-_BUCKETERS: dict[str, FragmentEncoder] = {}
-
-
 def bucketer(model: Distance) -> FragmentEncoder:
-    """This worker's lookup of windows' buckets; one model at a time is kept."""
-    key = model.key()
-    if key not in _BUCKETERS:
+    """This worker's lookup of windows' buckets."""
+
+    def make() -> FragmentEncoder:
         plain, toxic = _compressor(model.ordinary), _compressor(model.toxic)
 
         def bucket(fragment: str) -> list[int]:
@@ -113,9 +110,9 @@ def bucketer(model: Distance) -> FragmentEncoder:
             d = len(plain.compress(w + CARRIER)) - len(toxic.compress(w + CARRIER))
             return [min(len(w), _LENGTHS - 1) * _DIFFS + min(max(d + _ZERO, 0), _DIFFS - 1)]
 
-        _BUCKETERS.clear()
-        _BUCKETERS[key] = FragmentEncoder(lambda fs: [bucket(f) for f in fs], cut_before_space, lower=True)
-    return _BUCKETERS[key]
+        return FragmentEncoder(lambda fs: [bucket(f) for f in fs], cut_before_space, lower=True)
+
+    return held(("windows", model.key()), make)
 
 
 def histograms(model: Distance, texts: list[bytes]) -> np.ndarray:
@@ -222,11 +219,11 @@ def fit(
 
     marked = {w: n for w, n in windows[1].items() if stands_out(w)}
     model = Distance(_train(windows[0] or {b" ": 1}, ordinary_size, max_training_windows), _train(marked or {b" ": 1}, toxic_size, max_training_windows), np.zeros(BUCKETS), np.zeros(4))
-    held = spark.sparkContext.broadcast(model)  # two dictionaries of bounded size
+    shared = spark.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def spread(batches):
         for batch in batches:
-            hist = histograms(held.value, text_bytes(batch.column(1)))
+            hist = histograms(shared.value, text_bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(hist), pa.list_(pa.float64()))], names=["label", "h"])
 
     # at most max_docs rows of BUCKETS counts a class; a small fit calibrates on all it has
@@ -260,13 +257,13 @@ def score_column(text: Column, model: Distance) -> Column:
 def score(docs: DataFrame, model: Distance, doc_id: str | Column = "doc_id", text: str | Column = "text") -> DataFrame:
     """(doc_id, score) of each row's whole text."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 keys, texts = (batch.column(k)[lo : lo + 500] for k in (0, 1))
-                m = held.value
+                m = shared.value
                 p = predict(m, histograms(m, text_bytes(texts)) if m.constant is None else np.zeros((len(keys), 1)))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(p)], names=["doc_id", "score"])
 
