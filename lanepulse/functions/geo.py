@@ -12,6 +12,12 @@ DEGREE_LON_M, DEGREE_LAT_M = 111_320.0, 110_540.0
 COMPASS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half away from zero on the scaled binary value. Of a value that was rounded before, the decimal digits
+    that ``round`` goes by may end in a five whose scaled value lies below one half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres between two points."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

@@ -131,7 +131,7 @@ def _projected(spark, d):
 
 @query("r8_project", _PROJECT + " SELECT id, chain_id, round(s_m, 3) AS s_m, round(off_m, 3) AS off_m FROM proj")
 def r8(spark, d):
-    return _projected(spark, d).select("id", "chain_id", F.round("s_m", 3).alias("s_m"), F.round("off_m", 3).alias("off_m"))
+    return _projected(spark, d).select("id", "chain_id", geo.rounded(F.col("s_m"), 3).alias("s_m"), geo.rounded(F.col("off_m"), 3).alias("off_m"))
 
 
 @query("r9_point_at", _CHAIN + f""", pl AS (SELECT id, line AS chain_id, (id % 40) * 10000.0::DOUBLE AS s_m FROM lines)
@@ -187,7 +187,7 @@ _FIRST = "CASE WHEN road_type = prefer THEN 0 WHEN road_type = 'ex' THEN 1 ELSE
 def r12(spark, d):
     points = cameras(spark, d).selectExpr("id", "route", "CASE id % 3 WHEN 0 THEN 'ex' WHEN 1 THEN 'its' END AS prefer", "lat + 0.01D * (id % 9 - 4) AS plat", "lon + 0.003D * (id % 7 - 3) AS plon")
     found = R.nearest_chain(points, _route_chains(spark, d))
-    return found.select("id", "chain_id", "road_type", F.round("s_m", 3).alias("s_m"), F.round("off_m", 3).alias("off_m"))
+    return found.select("id", "chain_id", "road_type", geo.rounded(F.col("s_m"), 3).alias("s_m"), geo.rounded(F.col("off_m"), 3).alias("off_m"))
 
 
 _RESOLVE = _PROJECT + """, pr AS (SELECT a.id, a.s_m AS camera_s, b.s_m AS dest_s, b.off_m AS dest_off, l.length_m FROM (SELECT *, lead(id) OVER (PARTITION BY chain_id ORDER BY id) AS dest FROM proj) a LEFT JOIN proj b ON b.id = a.dest AND a.chain_id = b.chain_id
@@ -296,7 +296,7 @@ def _painted(spark, d):
   FROM (SELECT *, CAST(2 - id % 2 AS INT) AS index FROM ex) JOIN (SELECT id, count(*) AS points, arg_min(round(lat, 6), m) AS first_lat, arg_max(round(lat, 6), m) AS last_lat, arg_min(round(lon, 6), m) AS first_lon, arg_max(round(lon, 6), m) AS last_lon FROM cut GROUP BY id) USING (id)""")
 def r18p(spark, d):
     rows = _painted(spark, d)
-    return rows.select("camera_id", "index", "chain_id", "sign", F.round("from_m", 2).alias("from_m"), F.round("to_m", 2).alias("to_m"), F.size("coords").cast("long").alias("points"), F.round(F.col("coords")[0]["lat"] + 1e-7, 5).alias("start_lat"), F.round(F.col("coords")[0]["lon"] + 1e-7, 5).alias("start_lon"))
+    return rows.select("camera_id", "index", "chain_id", "sign", geo.rounded(F.col("from_m"), 2).alias("from_m"), geo.rounded(F.col("to_m"), 2).alias("to_m"), F.size("coords").cast("long").alias("points"), F.round(F.col("coords")[0]["lat"] + 1e-7, 5).alias("start_lat"), F.round(F.col("coords")[0]["lon"] + 1e-7, 5).alias("start_lon"))
 
 
 @query("r18_camera_segments", _PROJECT + """, pl AS (SELECT id, chain_id, CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS sign, s_m FROM proj),
@@ -306,7 +306,7 @@ def r18p(spark, d):
   FROM pl JOIN nb ON pl.chain_id = nb.chain_id AND pl.sign = nb.sign AND pl.s_m = nb.s_m""")
 def r18(spark, d):
     places = _projected(spark, d).select("id", "chain_id", F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("sign"), "s_m")
-    return R.camera_segments(places).select("id", "chain_id", "sign", F.round("from_m", 2).alias("from_m"), F.round("to_m", 2).alias("to_m"))
+    return R.camera_segments(places).select("id", "chain_id", "sign", geo.rounded(F.col("from_m"), 2).alias("from_m"), geo.rounded(F.col("to_m"), 2).alias("to_m"))
 
 
 @query("r19_route_lines", _CHAIN + " SELECT chain_id AS route, chain_id, count(*) AS points FROM ch GROUP BY 1 HAVING count(*) >= 2")
@@ -325,7 +325,7 @@ def r20(spark, d):
     points = _lines(spark, d).selectExpr("id", "line AS route", "plat", "plon", "'its' AS prefer")
     found = R.nearest_chain(points, chains.withColumns({"road_type": F.lit("its"), "route": F.col("chain_id")}))
     out = R.line_near(found, chains, 60_000.0)
-    return out.select("id", "chain_id", *(F.round(c, n).alias(c) for c, n in (("off_m", 3), ("s_m", 3), ("lat", 7), ("lon", 7))))
+    return out.select("id", "chain_id", *(geo.rounded(F.col(c), n).alias(c) for c, n in (("off_m", 3), ("s_m", 3), ("lat", 7), ("lon", 7))))
 
 
 @query("r21_offset_line", _CHAIN + """, o AS (SELECT chain_id, seq, lat, lon, (coalesce(lead(lon) OVER w, lon) - coalesce(lag(lon) OVER w, lon)) * cos(radians(lat)) * 111320.0::DOUBLE AS dx,
