@@ -42,9 +42,15 @@ def _clip(date: str, text: str) -> str:
 _KEPT: dict[tuple[str, str], str] = {}
 
 
+#: Images that a task parses, about.
+TASK_ROWS = 100_000
+
+
 def parsed(spark, d):
-    """Images with the parts of their clip's name."""
-    rows = read(spark, d, "orders").selectExpr(
+    """Images with the parts of their clip's name; a small file holds many, so they are dealt out before they are parsed."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), orders.count() // TASK_ROWS + 1)
+    rows = orders.repartition(parts, "o_orderkey").selectExpr(
         f"{_clip(chr(39).join(['date_format(o_orderdate, ', 'yyyyMMdd', ')']), 'STRING')} AS clip", "o_orderkey AS image_id", "o_orderkey % 100 AS frame", "o_orderkey % 7 AS n_car", "o_orderkey % 3 AS n_bus", "o_orderkey % 2 AS n_truck", "o_totalprice / 1000000D AS ratio",
         "CASE o_orderkey % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split", "o_totalprice AS score",
     )
