@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Groups of cameras whose open episodes are one state.
+BUCKETS = 1024
 MEANS = ("occupancy", "vehicle_px", "road_px", "n_car", "n_bus", "n_truck")
 
 
@@ -203,39 +205,49 @@ def video_summary(frames: DataFrame, fps: float) -> DataFrame:
 def episode_stream(samples: DataFrame, threshold: float, gap_s: float, least_s: float) -> DataFrame:
     """Congestion episodes of a stream of samples (camera_id, direction_index, ts, occupancy).
 
-    State per camera and direction is one open episode; a lower sample, a gap or the event-time
-    timeout closes it. Samples need a watermark on ts. Times are carried as seconds since 1970, so that
+    A camera and direction has one open episode; a lower sample, a gap or the event-time
+    timeout closes it. Cameras are dealt into ``BUCKETS``, a state each of the open episodes, so that the groups of a
+    micro-batch do not grow with the cameras. Samples need a watermark on ts. Times are carried as seconds since 1970, so that
     the session's zone plays no part."""
-    out = "camera_id long, direction_index int, start_t double, end_t double, peak double, mean double, samples long"
-    state_type = "start double, end double, peak double, total double, n long"
+    out = "camera_id string, direction_index string, start_t double, end_t double, peak double, mean double, samples long"
+    numbers = ("start", "end", "peak", "total")
+    state_type = "camera array<string>, direction array<string>, " + "".join(f"{n} array<double>, " for n in numbers) + "n array<long>, due array<long>"
 
     def step(key, parts, state):
-        done = []
-        held = list(state.get) if state.exists else None
-
-        def close():
-            nonlocal held
-            if held and held[4] >= 2 and held[1] - held[0] >= least_s:
-                done.append((*key, held[0], held[1], held[2], held[3] / held[4], held[4]))
-            held = None
-
-        if state.hasTimedOut:
-            close()
-        else:
-            rows = sorted((t, o) for pdf in parts for t, o in zip(pdf["t"], pdf["occupancy"], strict=True))
-            for t, o in rows:
-                if held and (o < threshold or t - held[1] > gap_s):
-                    close()
-                if o >= threshold:
-                    held = [t, t, o, o, 1] if held is None else [held[0], t, max(held[2], o), held[3] + o, held[4] + 1]
-        if held is None:
+        done, mark = [], state.getCurrentWatermarkMs()
+        open_ = {tuple(e[:2]): list(e[2:]) for e in zip(*state.get, strict=True)} if state.exists else {}
+
+        def close(k):
+            start, end, peak, total, n, _ = open_.pop(k)
+            if n >= 2 and end - start >= least_s:
+                done.append((*k, start, end, peak, total / n, n))
+
+        rows = [] if state.hasTimedOut else [r for pdf in parts for r in zip(pdf["camera"], pdf["direction"], pdf["t"], pdf["occupancy"], strict=True)]
+        seen = set()
+        for c, d, t, o in sorted(rows, key=lambda r: r[2:]):
+            k = (c, d)
+            seen.add(k)
+            held = open_.get(k)
+            if held and (o < threshold or t - held[1] > gap_s):
+                close(k)
+                held = None
+            if o >= threshold:
+                open_[k] = [t, t, o, o, 1, 0] if held is None else [held[0], t, max(held[2], o), held[3] + o, held[4] + 1, 0]
+        for k in list(open_):
+            if k in seen:
+                open_[k][5] = max(int((open_[k][1] + gap_s) * 1000), mark) + 1
+            elif open_[k][5] < mark or (state.hasTimedOut and open_[k][5] <= mark):
+                close(k)
+        if open_:
+            state.update(tuple(map(list, zip(*((*k, *e) for k, e in open_.items()), strict=True))))
+            state.setTimeoutTimestamp(max(min(e[5] for e in open_.values()), mark + 1))
+        elif state.exists:
             state.remove()
-        else:
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(max(int((held[1] + gap_s) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame(done, columns=["camera_id", "direction_index", "start_t", "end_t", "peak", "mean", "samples"])
 
-    rows = samples.withColumn("t", F.unix_micros("ts") / 1_000_000)
-    found = rows.groupBy("camera_id", "direction_index").applyInPandasWithState(step, out, state_type, "append", "EventTimeTimeout")
+    bucket = F.pmod(F.xxhash64("camera_id", "direction_index"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    # as text, null stays apart from all numbers
+    rows = samples.select("ts", bucket, F.col("camera_id").cast("string").alias("camera"), F.col("direction_index").cast("string").alias("direction"), (F.unix_micros("ts") / 1_000_000).alias("t"), "occupancy")
+    found = rows.groupBy("bucket").applyInPandasWithState(step, out, state_type, "append", "EventTimeTimeout")
     at = lambda c: F.timestamp_micros(F.round(F.col(c) * 1_000_000).cast("long"))
-    return found.select("camera_id", "direction_index", at("start_t").alias("start_ts"), at("end_t").alias("end_ts"), "peak", "mean", "samples")
+    return found.select(F.col("camera_id").cast("long"), F.col("direction_index").cast("int"), at("start_t").alias("start_ts"), at("end_t").alias("end_ts"), "peak", "mean", "samples")

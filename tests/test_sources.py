@@ -139,3 +139,21 @@ def test_episode_stream_in_another_zone(spark, tmp_path):
         q.awaitTermination()
         (row,) = session.read.parquet(out).select(F.unix_seconds("start_ts").alias("a"), F.unix_seconds("end_ts").alias("b"), "samples").collect()
         assert tuple(row) == (1704067200, 1704067259, 60), zone
+
+
+def test_open_episodes_are_held_by_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BUCKETS", 8)
+    path, schema = str(tmp_path / "in"), "camera_id long, direction_index int, ts timestamp, occupancy double"
+    rows = spark.range(900).selectExpr("nullif(id % 300, 7) AS camera_id", "0 AS direction_index", "timestamp_seconds(1000 + id DIV 300 * 20) AS ts", "IF(id % 300 < 200, 0.5D, 0.1D) AS occupancy")
+    rows.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "1 second")
+    q = W.episode_stream(stream, 0.25, 20, 30).writeStream.format("memory").queryName("buckets").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8
+    # one later sample closes them all
+    rows.limit(1).selectExpr("-1L AS camera_id", "0 AS direction_index", "timestamp_seconds(9000) AS ts", "0.5D AS occupancy").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).parquet(path).withWatermark("ts", "1 second")
+    q = W.episode_stream(stream, 0.25, 20, 30).writeStream.format("memory").queryName("buckets2").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("buckets2").collect()
+    assert len(got) == 200 and {r.camera_id for r in got} == {None if c == 7 else c for c in range(200)} and {r.samples for r in got} == {3}
