@@ -32,10 +32,9 @@ def s3(spark, d):
   concat(l_partkey % 3, ' ', l_partkey, ' ', l_orderkey) AS line FROM lineitem""")
 def s4(spark, d):
     path = S.work_folder(spark, "labels")
-    rows = read(spark, d, "lineitem").selectExpr("l_suppkey AS image", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "concat(l_partkey % 3, ' ', l_partkey, '  ', l_orderkey) AS value")
-    rows = rows.repartition("image").sortWithinPartitions("image", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    rows.select("image", "value").write.partitionBy("image").text(path)
-    got = S.read_labels(spark, f"{path}/*", r"image=([^/]+)/")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    S.write_labels(read(spark, d, "lineitem").selectExpr("l_suppkey AS image_id", *order, "concat(l_partkey % 3, ' ', l_partkey, '  ', l_orderkey) AS value"), path, order)
+    got = S.read_labels(spark, path)
     return got.select("image_id", "line_no", F.array_join("tokens", " ").alias("line"))
 
 

@@ -157,3 +157,15 @@ def test_open_episodes_are_held_by_buckets(spark, tmp_path, monkeypatch):
     q.awaitTermination()
     got = spark.table("buckets2").collect()
     assert len(got) == 200 and {r.camera_id for r in got} == {None if c == 7 else c for c in range(200)} and {r.samples for r in got} == {3}
+
+
+def test_label_files_in_one_folder(spark, tmp_path):
+    """A file for each image, none beside them, lines in order over batches and tasks; images share no folder of their own."""
+    path = f"file://{tmp_path}/labels"
+    rows = spark.range(30_000).selectExpr("id % 7 AS image_id", "CAST(id AS INT) AS at", "concat(id % 3, '  ', id, ' é') AS value")
+    S.write_labels(rows.orderBy(F.desc("at")), path, ["at"])
+    assert sorted(p.name for p in (tmp_path / "labels").iterdir()) == [f"{k}.txt" for k in range(7)]
+    got = S.read_labels(spark, path).filter("image_id in ('0', '3')").orderBy("image_id", "line_no").collect()
+    assert [(r.image_id, r.line_no, r.tokens) for r in got] == [(str(k), n + 1, [str(i % 3), str(i), "é"]) for k in (0, 3) for n, i in enumerate(range(k, 30_000, 7))]
+    with pytest.raises(Exception, match="not a file's name"):
+        S.write_labels(rows.selectExpr("'a/b' AS image_id", "at", "value"), path, ["at"])
